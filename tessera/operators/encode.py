@@ -105,16 +105,22 @@ def levels(df: DataFrame, train: Column, col: str, out: str, at: tuple[float, fl
     return d.withColumn(out, F.when(v.isNotNull(), level)).drop("__e")
 
 
-# Parts of a body-location code.
-SIDES = {"A": "anterior", "P": "posterior", "L": "lateral"}
-HALVES = {"l": "left", "r": "right"}
+# First letter of a location code, and its second letter.
+REGIONS = {"A": "anterior", "P": "posterior", "L": "lateral", "T": "tracheal"}
+BODY_SIDES = {"l": "left", "r": "right", "c": "central"}
 
 
 def parse_location(code: Column) -> Column:
-    """``Al`` -> ``left anterior``; NULL for unknown codes."""
-    lookup = lambda values, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c)
-    side, half = lookup(SIDES, F.substring(code, 1, 1)), lookup(HALVES, F.substring(code, 2, 1))
-    return F.when(F.upper(code) == "TC", F.lit("trachea")).otherwise(F.concat(half, F.lit(" "), side))
+    """``Al`` -> (anterior, left), with ``unknown`` / ``unspecified`` for letters outside the tables."""
+
+    def lookup(values: Mapping[str, str], c: Column, default: str) -> Column:
+        table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+        return F.coalesce(F.try_element_at(table, c), F.lit(default))
+
+    return F.struct(
+        lookup(REGIONS, F.substring(code, 1, 1), "unknown").alias("region"),
+        lookup(BODY_SIDES, F.lower(F.substring(code, 2, 1)), "unspecified").alias("side"),
+    )
 
 
 def encoded_nodes(rows: DataFrame, unit: str, train: DataFrame, salt: str, anonymous: bool = False) -> DataFrame:

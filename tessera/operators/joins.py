@@ -152,21 +152,18 @@ def per_distinct(df: DataFrame, col: str, out: str, fn) -> DataFrame:
     return keyed.join(once, "__d", "left").drop("__d")
 
 
-def link_sessions(sessions: DataFrame, files: DataFrame, shared_platform: str) -> DataFrame:
-    """Attach recordings to ``(uid, folder)`` sessions.
+def link_sessions(sessions: DataFrame, files: DataFrame, shared_platform: str, shared_uid: str, word: str) -> DataFrame:
+    """Recordings of each ``(uid, folder, platform, listed_name)`` session, one row per file.
 
-    On the shared platform all users have the same uid, so the folder alone identifies the
-    session. The listed file name is preferred; otherwise the first name in order is taken.
+    On the shared platform all users have one uid, so the folder alone identifies the session.
+    Files are linked by the exact folder and only if their name holds ``word``; ``listed`` marks the
+    file the metadata names. A session without files keeps one row with NULL path.
     """
-    shared = F.col("platform") == shared_platform
-    key = F.when(shared, F.concat_ws("/", F.lit(shared_platform), "folder")).otherwise(F.concat_ws("/", "uid", "folder"))
-    held = files.select(key.alias("__s"), F.col("file_name"), F.col("path"))
-    wanted = sessions.withColumn("__s", key)
-    joined = wanted.join(held, "__s", "left").withColumn(
-        "__miss", (~F.coalesce(F.col("file_name") == F.col("listed_name"), F.lit(False))).cast("int")
+    owner = F.when(F.col("platform") == shared_platform, F.lit(shared_uid)).otherwise(F.col("uid"))
+    wanted = sessions.withColumn("__s", F.concat_ws("/", owner, "folder"))
+    held = files.where(F.lower("file_name").contains(word)).select(
+        F.concat_ws("/", "uid", "folder").alias("__s"), "file_name", "path"
     )
-    best = joined.groupBy("uid", "folder", "platform").agg(
-        F.min(F.when(F.col("path").isNotNull(), F.struct("__miss", "file_name", "path"))).alias("b"),
-        F.count("path").alias("n_files"),
+    return wanted.join(held, "__s", "left").select(
+        "uid", "folder", "platform", "path", F.coalesce(F.col("file_name") == F.col("listed_name"), F.lit(False)).alias("listed")
     )
-    return best.select("uid", "folder", "platform", "n_files", F.col("b.path").alias("path"), (F.col("b.__miss") == 0).alias("listed_found"))
