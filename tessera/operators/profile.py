@@ -136,9 +136,9 @@ def domains_with_both(df: DataFrame, domain: str, label: str) -> DataFrame:
 
 def leaked_texts(df: DataFrame, text: str, forbidden: Sequence[str]) -> DataFrame:
     """Per forbidden token the number of texts that contain it."""
-    low = F.lower(text)
-    counts = [F.sum(low.contains(t.lower()).cast("long")).alias(t) for t in forbidden]
-    return df.agg(*counts).unpivot([], list(forbidden), "token", "n_texts")
+    lowered = df.select(F.lower(text).alias("__low"))
+    counts = [F.sum(F.col("__low").contains(t.lower()).cast("long")).alias(t) for t in forbidden]
+    return lowered.agg(*counts).unpivot([], list(forbidden), "token", "n_texts")
 
 
 def text_resolution(df: DataFrame, condition: str, text: str) -> DataFrame:
