@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.bindings.base import CUST, H, HU, UNITS, query, r, rounded
+from tessera.bindings.base import CUST, HU, UNITS, query, r, rounded
 from tessera.operators import balance, gates, joins, matching, pairing, profile, splits
 from tessera.plans.cohort import match_first, split_and_balance, split_first
 
@@ -584,5 +584,3 @@ def _(t):
     out = matching.agreement_targets(b, "batch", ["lang", "source", "toxic"])
     return rounded(out, "exact_total", "soft_total", "sharp_total")
 
-
-__all__ = ["H"]
