@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.bindings.base import CUST, UNITS, query, r, rounded
-from tessera.bindings.splits_balance import PAIRS_C, SMD_CONT, SPLIT_U, cust_pairs, smd_sql
+from tessera.bindings.splits_balance import PAIRS_C, SMD_CONT, SPLIT_U, cust_pairs, frozen_split, smd_sql
 from tessera.operators import gates, joins, profile, sampling, setops, splits
 from tessera.plans.cohort import data_gate
 from tessera.sinks import tables as sinks
@@ -25,7 +25,7 @@ COUNT = F.count(F.lit(1)).alias("n")
     f"WITH {UNITS}, s AS ({SPLIT_U}) SELECT split, sum((y=0)::INT)::BIGINT AS n_0, sum((y=1)::INT)::BIGINT AS n_1, count(*) AS n FROM s GROUP BY 1",
 )
 def _(t):
-    s = splits.stratified_split(t.units().drop("text"), "unit_id", ["y", "lang"], "cohort-v1", [("train", 0.70), ("validation", 0.15)], "test")
+    s = frozen_split(t)
     return splits.split_by_label(s, "split", "y")
 
 
@@ -374,7 +374,7 @@ def _(t):
     f"""WITH {UNITS}, s AS ({SPLIT_U}) SELECT 'train_and_test' AS guard, 0::BIGINT AS n_overlap UNION ALL SELECT 'train_and_matched', sum((split='train' AND lang<>'en')::INT)::BIGINT FROM s""",
 )
 def _(t):
-    s = splits.stratified_split(t.units().drop("text"), "unit_id", ["y", "lang"], "cohort-v1", [("train", 0.70), ("validation", 0.15)], "test")
+    s = frozen_split(t)
     train = F.col("split") == "train"
     return gates.overlap_guard(s, {"train_and_test": (train, F.col("split") == "test"), "train_and_matched": (train, F.col("lang") != "en")})
 

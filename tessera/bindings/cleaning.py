@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import functions as fn
 from tessera.bindings.base import CUST, UNITS, query, r, rounded
-from tessera.bindings.splits_balance import SPLIT_U, derange_sql
+from tessera.bindings.splits_balance import SPLIT_U, derange_sql, frozen_split
 from tessera.operators import encode, joins, pairing, profile, sampling, setops, splits, validate
 from tessera.sources import recordings, tables
 
@@ -451,7 +451,7 @@ def _(t):
     SELECT split, CASE WHEN n_chars < a THEN 'low' WHEN n_chars < b THEN 'medium' ELSE 'high' END AS level, count(*) AS n FROM s, e GROUP BY 1, 2""",
 )
 def _(t):
-    s = splits.stratified_split(t.units().drop("text"), "unit_id", ["y", "lang"], "cohort-v1", [("train", 0.70), ("validation", 0.15)], "test")
+    s = frozen_split(t)
     return encode.levels(s, F.col("split") == "train", "n_chars", "level").groupBy("split", "level").agg(COUNT)
 
 
@@ -473,7 +473,7 @@ vo AS (SELECT token, row_number() OVER (ORDER BY sha256('vocab|' || token)) AS v
 
 @query("p24_vocabulary_encoding", f"WITH {ENC} SELECT unit_id, field, coalesce(value_id, 0)::BIGINT AS value_id, 0 AS missing FROM tk LEFT JOIN vo ON vo.token = tk.token")
 def _(t):
-    s = splits.stratified_split(t.units().drop("text"), "unit_id", ["y", "lang"], "cohort-v1", [("train", 0.70), ("validation", 0.15)], "test")
+    s = frozen_split(t)
     rows = encode.field_rows(s, "unit_id", {"lang": ("a", "d"), "n_chars": ("a", "d")})
     return encode.encoded_nodes(rows, "unit_id", s.where("split = 'train'"), "vocab")
 

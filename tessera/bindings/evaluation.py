@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.bindings.base import H, HU, PREDS, UNITS, query, r, rounded
-from tessera.bindings.splits_balance import SPLIT_U, split_sql
+from tessera.bindings.splits_balance import SPLIT_U, frozen_split, split_sql
 from tessera.operators import bootstrap, calibrate, gates, heads, metrics, profile, retrieval, splits
 from tessera.plans.evaluation import compare_arms
+from tessera.session import cut_lineage
 
 CELL = ["arm", "seed"]
 BASE = f"WITH {UNITS}, {PREDS}"
@@ -568,7 +569,7 @@ def _(t):
 
 def study(t) -> DataFrame:
     """Labelled documents with the cohort split."""
-    return splits.stratified_split(t.units().drop("text"), "unit_id", ["y", "lang"], "cohort-v1", [("train", 0.70), ("validation", 0.15)], "test")
+    return frozen_split(t)
 
 
 def vectors(t) -> DataFrame:
@@ -581,8 +582,8 @@ def vectors(t) -> DataFrame:
 
 @query("l2_logistic_head")
 def _(t):
-    d = heads.assemble_features(vectors(t), [F.col("embedding")])
-    train = d.where("split = 'train'").persist()
+    d = cut_lineage(heads.assemble_features(vectors(t), [F.col("embedding")]))
+    train = d.where("split = 'train'")
     model = heads.fit_head(train, "features", "y", 1.0, train.count())
     return metrics.auroc(heads.head_logits(d, model, "features"), ["split"], "logit", "y")
 
@@ -660,7 +661,8 @@ def _(t):
 
 @query("l9_nuisance_eraser")
 def _(t):
-    d = heads.assemble_features(vectors(t).withColumns({"n1": (F.col("label") % 2), "n2": (F.col("label") < 3).cast("int")}), [F.col("embedding")])
+    e = t("embeddings").select((F.col("label") % 2).alias("n1"), (F.col("label") < 3).cast("int").alias("n2"), "embedding")
+    d = heads.assemble_features(e, [F.col("embedding")])
     basis = heads.nuisance_basis(d, "features", ["n1", "n2"])
     out = heads.erase(d, "features", basis)
     return out.select(vector_to_array("features").alias("x"), "erased").agg(

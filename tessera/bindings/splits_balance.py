@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.bindings.base import CUST, HU, UNITS, query, r, rounded
 from tessera.operators import balance, gates, joins, matching, pairing, profile, splits
 from tessera.plans.cohort import match_first, split_and_balance, split_first
+from tessera.session import cut_lineage
 
 QUOTAS = [("train", 0.70), ("validation", 0.15)]
 
@@ -27,6 +28,12 @@ def smd_sql(pa: str, pb: str) -> str:
     return f"CASE WHEN {scale} > 0 THEN ({pa}-{pb})/{scale} WHEN {pa}={pb} THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END"
 
 
+def frozen_split(t):
+    """Labelled documents with their split, frozen once and then read by everything that follows."""
+    s = splits.stratified_split(t.units().drop("text"), "unit_id", ["y", "lang"], "cohort-v1", QUOTAS, "test")
+    return cut_lineage(s)
+
+
 SPLIT_U = split_sql("units", "y, lang", "cohort-v1")
 LEVELS_U = """cells AS (SELECT split, y, 'lang' AS field, lang AS level FROM s UNION ALL
     SELECT split, y, 'toxic', toxic::VARCHAR FROM s),

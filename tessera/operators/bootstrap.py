@@ -18,6 +18,7 @@ from tessera.functions import hash_below, hash_unit, poisson_weight, salted_sha
 from tessera.operators import metrics
 from tessera.operators.joins import ContractError, same_key_join
 from tessera.operators.ranked import range_edges, ranked
+from tessera.session import cut_lineage
 
 METRICS = ("auroc", "neg_nll", "neg_brier")
 
@@ -37,7 +38,7 @@ def draws(
         return spread.withColumn("times", times.cast("long")).where("times > 0")
     if scheme != "multinomial":
         raise ValueError(scheme)
-    placed = ranked(base.withColumn("__h", salted_sha(salt, unit)), by, "__h", "__r", "__n").drop("__h")
+    placed = cut_lineage(ranked(base.withColumn("__h", salted_sha(salt, unit)), by, "__h", "__r", "__n").drop("__h"))
     slots = placed.withColumn("rep", _replicates(reps)).select(*by, "rep", F.col("__r").alias("slot"), "__n")
     hit = 1 + hash_below(salted_sha(salt, *by, "rep", "slot"), F.col("__n"))
     times = slots.groupBy(*by, "rep", hit.alias("__r")).agg(F.count(F.lit(1)).alias("times"))

@@ -7,12 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import clip, logit, sigmoid
-from tessera.operators.joins import same_key_join
+from tessera.functions import logit, sigmoid
+from tessera.operators.joins import BROADCAST_ROWS, broadcast_if_small, same_key_join
 from tessera.operators.ranked import range_bucket, range_edges
 from tessera.session import cut_lineage
 
-ITERATIONS = 9
+ITERATIONS = 30
+TOLERANCE = 1e-10
+
+
+def cell_counts(df: DataFrame, cell: Sequence[str], x: str, label: str, weight: str | None = None) -> DataFrame:
+    """Rows reduced to weights per (cell, x, label), materialised because every Newton step reads them."""
+    w = F.col(weight) if weight else F.lit(1)
+    return cut_lineage(
+        df.groupBy(*cell, F.col(x).cast("double").alias("__x"), F.col(label).cast("double").alias("__y")).agg(
+            F.sum(w).cast("double").alias("__w")
+        )
+    )
 
 
 def fit_cells(
@@ -22,55 +33,68 @@ def fit_cells(
     label: str,
     weight: str | None = None,
     l2: float = 0.0,
-    iterations: int = ITERATIONS,
     fixed_slope: bool = False,
 ) -> DataFrame:
     """``(cell..., intercept, slope)`` of the logistic regression of ``label`` on ``x`` per cell.
 
-    Rows are reduced to counts per (cell, x, label). Every Newton step is one join with the
-    small coefficient table and one grouped sum; the 2x2 system is solved in column expressions.
     ``l2`` penalises the slope. With ``fixed_slope`` the slope stays 1.
     """
-    w = F.col(weight) if weight else F.lit(1)
-    data = cut_lineage(
-        df.groupBy(*cell, F.col(x).cast("double").alias("__x"), F.col(label).cast("double").alias("__y")).agg(
-            F.sum(w).cast("double").alias("__w")
-        )
-    )
-    mean = lambda v: F.sum(F.col("__w") * F.col(v)) / F.sum("__w")
-    start = logit(mean("__y"), 1e-12)
+    return fit_counts(cell_counts(df, cell, x, label, weight), cell, l2, fixed_slope)
+
+
+def fit_counts(data: DataFrame, cell: Sequence[str], l2: float = 0.0, fixed_slope: bool = False) -> DataFrame:
+    """Newton steps over all cells at once until the largest step is below the tolerance.
+
+    One step is a join with the coefficient table and one grouped sum; the 2x2 system is solved in
+    column expressions. Up to ``BROADCAST_ROWS`` cells the coefficients are broadcast and kept on
+    the driver between steps; beyond that they are checkpointed and joined by a shuffle.
+    """
+    mean_x, mean_y = "sum(__w * __x) / sum(__w)", "sum(__w * __y) / sum(__w)"
+    start = logit(F.expr(mean_y), 1e-12)
     beta = data.groupBy(*cell).agg(
-        ((start - mean("__x")) if fixed_slope else start).alias("intercept"), F.lit(1.0).alias("slope")
+        ((start - F.expr(mean_x)) if fixed_slope else start).alias("intercept"), F.lit(1.0).alias("slope")
     )
-    for _ in range(iterations):
-        j = same_key_join(data, beta, cell)
-        eta = clip(F.col("intercept") + F.col("slope") * F.col("__x"), -40.0, 40.0)
-        j = j.withColumn("__p", sigmoid(eta)).withColumn(
-            "__h", F.col("__w") * F.greatest(F.col("__p") * (1 - F.col("__p")), F.lit(1e-9))
-        )
-        r = F.col("__w") * (F.col("__p") - F.col("__y"))
-        sums = j.groupBy(*cell).agg(
-            F.first("intercept").alias("b0"),
-            F.first("slope").alias("b1"),
-            F.sum(r).alias("g0"),
-            F.sum(r * F.col("__x")).alias("g1"),
-            F.sum("__h").alias("h00"),
-            F.sum(F.col("__h") * F.col("__x")).alias("h01"),
-            F.sum(F.col("__h") * F.col("__x") * F.col("__x")).alias("h11"),
-        )
-        if fixed_slope:
-            step0, step1 = F.col("g0") / F.col("h00"), F.lit(0.0)
+    # eta is clipped to +-40, so the plain logistic form cannot overflow
+    p = "1D / (1D + exp(-greatest(least(intercept + slope * __x, 40D), -40D)))"
+    sums = {
+        "b0": "first(intercept)",
+        "b1": "first(slope)",
+        "g0": "sum(__r)",
+        "g1": "sum(__r * __x)",
+        "h00": "sum(__h)",
+        "h01": "sum(__h * __x)",
+        "h11": "sum(__h * __x * __x)",
+    }
+    g1, h11 = f"(g1 + {l2!r}D * b1)", f"(h11 + {l2!r}D)"
+    det = f"(h00 * {h11} - h01 * h01)"
+    if fixed_slope:
+        step0, step1 = "g0 / h00", "0D"
+    else:
+        step0 = f"IF({det} > 0, ({h11} * g0 - h01 * {g1}) / {det}, 0D)"
+        step1 = f"IF({det} > 0, (h00 * {g1} - h01 * g0) / {det}, 0D)"
+    update = [
+        F.expr(f"greatest(least({b} - {s}, 100D), -100D) AS {n}")
+        for b, s, n in (("b0", step0, "intercept"), ("b1", step1, "slope"))
+    ]
+    moved = F.expr(f"greatest(abs({step0}), abs({step1})) AS __moved")
+    terms = [F.expr(f"{v} AS {n}") for n, v in sums.items()]
+    beta = cut_lineage(beta)
+    few = beta.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for _ in range(ITERATIONS):
+        j = same_key_join(data, F.broadcast(beta) if few else beta, cell).withColumn("__p", F.expr(p))
+        j = j.withColumns({"__r": F.expr("__w * (__p - __y)"), "__h": F.expr("__w * greatest(__p * (1D - __p), 1e-9D)")})
+        step = j.groupBy(*cell).agg(*terms).select(*cell, *update, moved)
+        if few:
+            # one row per cell, counted above: the driver holds the coefficients between steps
+            rows = step.collect()
+            beta = data.sparkSession.createDataFrame(rows, step.schema).drop("__moved")
+            largest = max((row["__moved"] for row in rows if row["__moved"] is not None), default=None)
         else:
-            g1 = F.col("g1") + F.lit(l2) * F.col("b1")
-            h11 = F.col("h11") + F.lit(l2)
-            det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
-            step0 = F.when(det > 0, (h11 * F.col("g0") - F.col("h01") * g1) / det).otherwise(F.lit(0.0))
-            step1 = F.when(det > 0, (F.col("h00") * g1 - F.col("h01") * F.col("g0")) / det).otherwise(F.lit(0.0))
-        beta = sums.select(
-            *cell,
-            clip(F.col("b0") - step0, -100.0, 100.0).alias("intercept"),
-            clip(F.col("b1") - step1, -100.0, 100.0).alias("slope"),
-        )
+            step = cut_lineage(step)
+            beta = step.drop("__moved")
+            largest = step.agg(F.max("__moved")).first()[0]
+        if largest is None or largest < TOLERANCE:
+            break
     return beta
 
 
@@ -79,21 +103,21 @@ def monotone_fit(df: DataFrame, cell: Sequence[str], x: str, label: str, weight:
 
     At the boundary the score has no weight left, so the intercept is the logit of the base rate.
     """
-    free = fit_cells(df, cell, x, label, weight)
-    w = F.col(weight) if weight else F.lit(1)
-    rates = df.groupBy(*cell).agg((F.sum(w * F.col(label)) / F.sum(w)).alias("__rate"))
-    j = same_key_join(free, rates, cell)
+    data = cell_counts(df, cell, x, label, weight)
+    rates = data.groupBy(*cell).agg(F.expr("sum(__w * __y) / sum(__w) AS __rate"))
+    j = same_key_join(fit_counts(data, cell), rates, cell)
     low = F.col("slope") <= 0
-    return j.select(
+    fits = j.select(
         *cell,
         F.when(low, logit(F.col("__rate"), 1e-12)).otherwise(F.col("intercept")).alias("intercept"),
         F.when(low, F.lit(1e-12)).otherwise(F.col("slope")).alias("slope"),
         low.alias("boundary_fit"),
     )
+    return cut_lineage(fits)
 
 
 def apply_fit(df: DataFrame, fits: DataFrame, cell: Sequence[str], x: str, out: str) -> DataFrame:
-    j = same_key_join(df, fits.select(*cell, "intercept", "slope"), cell)
+    j = same_key_join(df, broadcast_if_small(fits.select(*cell, "intercept", "slope")), cell)
     return j.withColumn(out, sigmoid(F.col("intercept") + F.col("slope") * F.col(x))).drop("intercept", "slope")
 
 
@@ -104,7 +128,8 @@ def transport_audit(df: DataFrame, cell: Sequence[str], x: str, prob: str, eps:
     a range is compared with the largest probability of all lower ranges.
     """
     levels = df.groupBy(*cell, F.col(x).alias("x")).agg(F.max(prob).alias("p"), F.count(F.lit(1)).alias("n"))
-    levels = levels.withColumn("__b", range_bucket(F.col("x"), range_edges(df, x)))
+    levels = cut_lineage(levels)
+    levels = levels.withColumn("__b", range_bucket("x", range_edges(levels, "x")))
     inside = Window.partitionBy(*cell, "__b").orderBy("x")
     levels = levels.withColumn("__rev", (F.col("p") < F.lag("p").over(inside)).cast("long"))
     ranges = levels.groupBy(*cell, "__b").agg(

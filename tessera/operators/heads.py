@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import calibrate, metrics
 from tessera.operators.joins import same_key_join
+from tessera.session import cut_lineage
 
 # The grid of inverse regularisation strengths.
 C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0)
@@ -50,8 +51,8 @@ def fit_head(train: DataFrame, features: str, label: str, c: float, n: int, weig
         regParam=1.0 / (c * n),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=200,
-        tol=1e-9,
+        maxIter=100,
+        tol=1e-6,
     )
     return (lr.setWeightCol(weight) if weight else lr).fit(train)
 
@@ -82,10 +83,12 @@ def select_head(
 
     Returns the chosen C, the selection table and all rows with the chosen head's logit.
     """
-    train = df.where((F.col(split) == "train") & F.col(label).isNotNull()).persist()
+    df = cut_lineage(df)
+    usable = (F.col(split) == "train") & F.col(label).isNotNull()
+    train = df.where(usable)
     n = train.count()
     scaled = standardise(df, fit_scaler(train, features), n, features, "__x")
-    fit_rows = scaled.where((F.col(split) == "train") & F.col(label).isNotNull()).persist()
+    fit_rows = scaled.where(usable).select("__x", label).persist()
     models = {c: fit_head(fit_rows, "__x", label, c, n) for c in grid}
     held = scaled.where((F.col(fold) >= 0) & F.col(label).isNotNull())
     scored = reduce(
@@ -94,7 +97,6 @@ def select_head(
     )
     selection = one_se_choice(metrics.auroc(scored, ["c", fold], "logit", label), "c", fold)
     chosen = selection.where("chosen").select("c").first()[0]
-    train.unpersist()
     fit_rows.unpersist()
     return chosen, selection, head_logits(scaled, models[chosen], "__x").drop("__x")
 
@@ -105,6 +107,7 @@ def platt_scores(scored: DataFrame, label: str, split: str, fold: str, l2: float
     All ``k + 1`` calibrators are cells of one grouped fit: a validation row takes part in the
     final cell (-1) and in the cell of every fold but its own.
     """
+    scored = cut_lineage(scored)
     val = scored.where((F.col(split) == "validation") & F.col(label).isNotNull())
     folds = val.select(fold).distinct().agg(F.array_sort(F.collect_set(fold)).alias("f"))
     rows = val.withColumn("__f", folds.scalar()).select(
@@ -140,6 +143,7 @@ def cross_fitted(df: DataFrame, features: str, label: str, fold: str, c: float =
 
     The number of folds is a small constant. Out-of-fold calibration follows on the same folds.
     """
+    df = cut_lineage(df)
     folds = sorted(r[0] for r in df.where(F.col(fold) >= 0).select(fold).distinct().collect())
     parts = []
     for k in folds:
@@ -159,6 +163,7 @@ def cross_fitted(df: DataFrame, features: str, label: str, fold: str, c: float =
 
 def metadata_reference(df: DataFrame, features: str, label: str, split: str, c: float = 1.0) -> DataFrame:
     """Scores of two metadata readouts, logistic and boosted trees, in one long table."""
+    df = cut_lineage(df)
     train = df.where(F.col(split) == "train").persist()
     n = train.count()
     linear = fit_head(train, features, label, c, n)
@@ -177,6 +182,7 @@ def metadata_reference(df: DataFrame, features: str, label: str, split: str, c:
 
 def nuisance_basis(df: DataFrame, features: str, targets: Sequence[str], c: float = 1.0, tolerance: float = 1e-6) -> np.ndarray:
     """Orthonormal basis of the unit nuisance directions; a (targets x width) problem on the driver."""
+    df = cut_lineage(df.select(features, *targets))
     directions = []
     for t in targets:
         rows = df.where(F.col(t).isNotNull())
@@ -199,7 +205,7 @@ def erase(df: DataFrame, features: str, basis: np.ndarray, out: str = "erased")
 
 def fusion_results(df: DataFrame, arms: dict[str, Sequence[Column]], label: str, split: str, c: float = 1.0) -> DataFrame:
     """Every feature combination fitted under one protocol: ``(arm, split, auroc)``."""
-    parts = []
+    parts, df = [], cut_lineage(df)
     for arm, cols in arms.items():
         base = assemble_features(df, cols, "__f")
         train = base.where(F.col(split) == "train")

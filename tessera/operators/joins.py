@@ -22,6 +22,17 @@ def same_key_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     return a.join(b.drop(*on), keys, how).drop(*keys)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint behind a row count; a larger table is left to a shuffled join.
+
+    For narrow tables of one row per cell that are already materialised.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def duplicated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with their count."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

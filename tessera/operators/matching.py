@@ -75,7 +75,7 @@ def match_in_tiers(
         left = placed.where(F.col("rank") > F.least("n0", "n1")).drop("rank", "n0", "n1")
     pairs = reduce(DataFrame.unionByName, found)
     identity = F.substring(salted_sha(f"{salt}-pair", "negative_id", "positive_id"), 1, 16)
-    return pairs.select(identity.alias("pair_id"), "negative_id", "positive_id", "tier")
+    return cut_lineage(pairs.select(identity.alias("pair_id"), "negative_id", "positive_id", "tier"))
 
 
 def _masks(fields: Sequence[str], most: int) -> list[tuple[int, ...]]:
@@ -115,7 +115,7 @@ def _coefficients(k: int, most: int) -> list[int]:
 
 def _cells(df: DataFrame, spec: MatchSpec, label: str) -> DataFrame:
     num = [spec.numeric] if spec.numeric else []
-    return df.groupBy(label, *spec.equal, *spec.hamming, *num).agg(F.count(F.lit(1)).alias("__c"))
+    return cut_lineage(df.groupBy(label, *spec.equal, *spec.hamming, *num).agg(F.count(F.lit(1)).alias("__c")))
 
 
 def partner_counts(units: DataFrame, label: str, spec: MatchSpec, out: str = "n_partner") -> DataFrame:

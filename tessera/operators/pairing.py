@@ -11,6 +11,7 @@ from tessera.functions import salted_sha
 from tessera.operators.joins import ContractError, same_key_join
 from tessera.operators.ranked import ranked
 from tessera.operators.splits import drop_singletons, stratum_support
+from tessera.session import cut_lineage
 
 
 def derangement(
@@ -29,7 +30,9 @@ def derangement(
         base = drop_singletons(df, strata)
     spread = base.select(unit, *strata).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     keys = ["seed", *strata]
-    r = ranked(spread.withColumn("__h", salted_sha(salt, "seed", unit)), keys, "__h", out="__r", size="__n").drop("__h")
+    r = cut_lineage(
+        ranked(spread.withColumn("__h", salted_sha(salt, "seed", unit)), keys, "__h", out="__r", size="__n").drop("__h")
+    )
     left = r.withColumn("__r", F.col("__r") % F.col("__n") + 1)
     right = r.select(*keys, "__r", F.col(unit).alias("donor_id"))
     return same_key_join(left, right, [*keys, "__r"]).select("seed", F.col(unit).alias("unit_id"), "donor_id")

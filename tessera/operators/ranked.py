@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 HASH_DIGITS = 3
 RANGE_BUCKETS = 128
 _NULL_KEY = "\u0000"
@@ -86,16 +88,16 @@ def range_edges(df: DataFrame, col: str, buckets: int = RANGE_BUCKETS, error: fl
     return sorted({e for e in edges if math.isfinite(e)})
 
 
-def range_bucket(value: Column, edges: Sequence[float]) -> Column:
-    """Number of edges below the value, as a balanced comparison tree (stays in codegen)."""
+def range_bucket(value: str, edges: Sequence[float]) -> Column:
+    """Number of edges below a numeric column, as a balanced comparison tree (stays in codegen)."""
 
-    def tree(low: int, high: int) -> Column:
+    def tree(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         mid = (low + high) // 2
-        return F.when(value <= F.lit(edges[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
+        return f"IF(`{value}` <= {edges[mid]!r}D, {tree(low, mid)}, {tree(mid + 1, high)})"
 
-    return tree(0, len(edges))
+    return F.expr(tree(0, len(edges)))
 
 
 def running_total(
@@ -109,11 +111,14 @@ def running_total(
     """Adds ``<name>_before``, the sum of ``amounts[name]`` over earlier rows of the group, and ``<name>_total``.
 
     ``order`` is numeric; with ``then`` it must be distinct inside a group (aggregate ties first).
+    The input is checkpointed: it is read for the edges, the bucket totals and the rows, and
+    what comes before it (joins, large aggregates) should run once.
     """
+    df = cut_lineage(df)
     if edges is None:
         edges = range_edges(df, order)
     base, keys = _keyed(df, by)
-    base = base.withColumn("__bucket", range_bucket(F.col(order).cast("double"), edges))
+    base = base.withColumn("__bucket", range_bucket(order, edges))
     offsets = _offsets(base, keys, amounts)
     local = Window.partitionBy(*keys, "__bucket").orderBy(order, *then)
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
@@ -160,10 +165,10 @@ def nearest_value(
     """
     points = queries.select(*by, value).distinct().withColumn("__p", F.lit(None).cast("double"))
     held = pool.select(*by, value).distinct().withColumn("__p", F.col(value).cast("double"))
-    both = points.unionByName(held)
-    edges = range_edges(pool, value)
+    both = cut_lineage(points.unionByName(held))
+    edges = range_edges(both, "__p")
     both, keys = _keyed(both, by)
-    both = both.withColumn("__bucket", range_bucket(F.col(value).cast("double"), edges))
+    both = both.withColumn("__bucket", range_bucket(value, edges))
     ends = both.groupBy(*keys, "__bucket").agg(F.min("__p").alias("__lo"), F.max("__p").alias("__hi"))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket")
     ends = ends.select(

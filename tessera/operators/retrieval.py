@@ -116,10 +116,9 @@ def cosine_ranks(
     else:
         n_chunks = -(-size["n"] // BLOCK_ROWS)
         n_blocks = max(1, -(-asks.count() // BLOCK_ROWS))
-        blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-        chunks = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
-        left = asks.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_blocks))).withColumn("cb", chunks.cast("long"))
-        right = held.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_chunks))).withColumn("qb", blocks.cast("long"))
+        blocks, chunks = (F.explode(F.expr(f"sequence(0L, {n - 1}L)")) for n in (n_blocks, n_chunks))
+        left = asks.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_blocks).cast("long"))).withColumn("cb", chunks)
+        right = held.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_chunks).cast("long"))).withColumn("qb", blocks)
 
         def block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if len(q) and len(c):
@@ -196,65 +195,66 @@ def prototype_scores(df: DataFrame, vector: str, prototypes: DataFrame, label: s
     return d.withColumn("score", cosine(F.col(vector), F.col("__p.p")) - cosine(F.col(vector), F.col("__p.n"))).drop("__p")
 
 
-def gram_sums(df: DataFrame, left: str, right: str) -> DataFrame:
-    """``(i, j, value)`` of the centred cross product of two aligned vector columns.
+def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, j, v, width)`` of Z'Z with Z = [vectors side by side, 1], in one pass.
 
-    Every task adds up its own d x d matrix with matrix products; only those sums are shuffled.
+    Every task adds up its own matrix with matrix products; only those sums are shuffled, one
+    matrix per task. The constant column carries the column sums and the row count.
     """
+    names = [f"v{k}" for k in range(len(cols))]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows = None, 0
+        total, width = None, 0
         for b in batches:
             if not len(b):
                 continue
-            x = np.asarray(b["x"].tolist(), dtype=np.float64)
-            y = np.asarray(b["y"].tolist(), dtype=np.float64)
-            # one extra constant column carries the column sums and the row count
-            x, y = (np.hstack([m, np.ones((len(m), 1))]) for m in (x, y))
-            total = x.T @ y if total is None else total + x.T @ y
-            rows += len(b)
-        if rows:
+            parts = [np.asarray(b[n].tolist(), dtype=np.float64) for n in names]
+            width = parts[0].shape[1]
+            z = np.hstack([*parts, np.ones((len(b), 1))])
+            total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
             i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    pair = df.select(F.col(left).cast("array<double>").alias("x"), F.col(right).cast("array<double>").alias("y"))
-    raw = pair.mapInPandas(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    dims = df.select(F.size(left).alias("p"), F.size(right).alias("q")).agg(F.max("p").alias("p"), F.max("q").alias("q"))
-    r = raw.withColumn("__d", dims.select(F.struct("p", "q")).scalar())
-    n = r.where((F.col("i") == F.col("__d.p")) & (F.col("j") == F.col("__d.q"))).select(F.col("v"))
-    row_sums = r.where((F.col("j") == F.col("__d.q")) & (F.col("i") < F.col("__d.p"))).select("i", F.col("v").alias("sx"))
-    col_sums = r.where((F.col("i") == F.col("__d.p")) & (F.col("j") < F.col("__d.q"))).select("j", F.col("v").alias("sy"))
-    inner = r.where((F.col("i") < F.col("__d.p")) & (F.col("j") < F.col("__d.q"))).drop("__d")
-    return inner.join(row_sums, "i").join(col_sums, "j").select(
-        "i", "j", (F.col("v") - F.col("sx") * F.col("sy") / n.scalar()).alias("value")
-    )
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel(), "width": width})
 
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(*[F.col(c).cast("array<double>").alias(n) for c, n in zip(cols, names)]).coalesce(tasks)
+    sums = rows.mapInPandas(partial, "i long, j long, v double, width long")
+    return sums.groupBy("i", "j").agg(F.sum("v").alias("v"), F.max("width").alias("width"))
 
-def linear_cka(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Centred linear CKA of two aligned representations."""
-    square = lambda a, b: gram_sums(df, a, b).agg(F.sum(F.col("value") * F.col("value")).alias("s"))
-    cross = square(left, right)
-    return cross.withColumns({"a": square(left, left).scalar(), "b": square(right, right).scalar()}).select(
-        (F.col("s") / (F.sqrt("a") * F.sqrt("b"))).alias("cka")
-    )
 
+def _centred(m: pd.DataFrame) -> np.ndarray:
+    """Centred cross products from the moment table."""
+    d = int(m["i"].max()) + 1
+    z = np.zeros((d, d))
+    z[m["i"], m["j"]] = m["v"]
+    return z[:-1, :-1] - np.outer(z[-1, :-1], z[-1, :-1]) / z[-1, -1]
 
-def effective_rank(df: DataFrame, vector: str) -> DataFrame:
-    """exp(entropy) of the normalised singular values of the centred matrix.
 
-    The eigenvalues are taken from the d x d Gram matrix, whose size depends on the width only.
+def linear_cka(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Centred linear CKA of two aligned representations.
+
+    The last step works on the moment table, whose size depends on the vector widths only.
     """
 
-    def spectrum(g: pd.DataFrame) -> pd.DataFrame:
-        d = int(g["i"].max()) + 1
-        m = np.zeros((d, d))
-        m[g["i"], g["j"]] = g["value"]
-        s = np.sqrt(np.clip(np.linalg.eigvalsh(m), 0.0, None))
-        p = s / s.sum()
+    def ratio(m: pd.DataFrame) -> pd.DataFrame:
+        g, p = _centred(m), int(m["width"].iloc[0])
+        scale = np.linalg.norm(g[:p, :p]) * np.linalg.norm(g[p:, p:])
+        return pd.DataFrame({"cka": [float(np.linalg.norm(g[:p, p:]) ** 2 / max(scale, 1e-30))]})
+
+    return _moments(df, [left, right]).groupBy().applyInPandas(ratio, "cka double")
+
+
+def effective_rank(df: DataFrame, vector: str) -> DataFrame:
+    """exp(entropy) of the normalised singular values of the centred matrix."""
+
+    def spectrum(m: pd.DataFrame) -> pd.DataFrame:
+        g = _centred(m)
+        s = np.sqrt(np.clip(np.linalg.eigvalsh(g), 0.0, None))
+        p = s / max(s.sum(), 1e-12)
         p = p[p > 0]
-        return pd.DataFrame({"effective_rank": [float(np.exp(-(p * np.log(p)).sum()))], "dim": [d]})
+        return pd.DataFrame({"effective_rank": [float(np.exp(-(p * np.log(p)).sum()))], "dim": [len(g)]})
 
-    return gram_sums(df, vector, vector).groupBy().applyInPandas(spectrum, "effective_rank double, dim long")
+    return _moments(df, [vector]).groupBy().applyInPandas(spectrum, "effective_rank double, dim long")
 
 
 def representation_check(stored: DataFrame, raw: DataFrame, key: str, vector: str, raw_vector: str, dim: int) -> DataFrame:
