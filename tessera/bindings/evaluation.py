@@ -78,7 +78,7 @@ def newton_sql(src: str, cell: str, x: str, steps: int = 9, l2: float = 0.0, fix
     start = "ln(my) - ln(1 - my)" + (" - mx" if fixed else "")
     out = [
         f"da AS (SELECT {cell}, {x} AS x, y::DOUBLE AS y, sum({weight})::DOUBLE AS w FROM {src} GROUP BY ALL)",
-        f"b0 AS (SELECT {cell}, {start} AS a, 1.0::DOUBLE AS s FROM (SELECT {cell}, sum(w*y)/sum(w) AS my, sum(w*x)/sum(w) AS mx FROM da GROUP BY {cell}))",
+        f"b0 AS (SELECT {cell}, {start} AS a, {1.0 if fixed else 0.0}::DOUBLE AS s FROM (SELECT {cell}, sum(w*y)/sum(w) AS my, sum(w*x)/sum(w) AS mx FROM da GROUP BY {cell}))",
     ]
     for i in range(steps):
         step = (

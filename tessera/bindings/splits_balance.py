@@ -419,23 +419,25 @@ def _(t):
     f"""WITH {U_CELLS}, d AS (SELECT a.unit_id, round(abs(a.size-b.size)/10.0::DOUBLE + {HAM}, 9) AS tt, {HAM} AS h, abs(a.size-b.size)::DOUBLE AS g
       FROM uc a JOIN uc b ON a.lang=b.lang AND a.y<>b.y),
     k AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY tt, h, g) AS rn FROM d)
-    SELECT u.unit_id, g AS nearest_gap, h AS nearest_hamming, tt AS nearest_total FROM units u LEFT JOIN k ON k.unit_id=u.unit_id AND rn=1""",
+    SELECT u.unit_id, g AS nearest_gap, coalesce(h, -1) AS nearest_hamming, tt AS nearest_total FROM units u LEFT JOIN k ON k.unit_id=u.unit_id AND rn=1""",
 )
 def _(t):
-    return matching.nearest_partner(unit_cells(t), "y", SPEC, 10.0).select("unit_id", "nearest_gap", "nearest_hamming", "nearest_total")
+    out = matching.nearest_partner(unit_cells(t), "y", SPEC, 10.0)
+    return out.select("unit_id", "nearest_gap", F.coalesce("nearest_hamming", F.lit(-1)).alias("nearest_hamming"), "nearest_total")
 
 
 @query(
     "j11_nearest_mismatches",
     f"""WITH {U_CELLS}, d AS (SELECT a.unit_id, {HAM} AS h, (a.size < 5) = (b.size < 5) AS same FROM uc a JOIN uc b ON a.lang=b.lang AND a.y<>b.y)
-    SELECT u.unit_id, min(h) AS nearest_mismatches, {r('avg(same::INT) FILTER (h = 0)')} AS strict_agreement
+    SELECT u.unit_id, coalesce(min(h), -1) AS nearest_mismatches, {r('avg(same::INT) FILTER (h = 0)')} AS strict_agreement
     FROM units u LEFT JOIN d ON d.unit_id=u.unit_id GROUP BY 1""",
 )
 def _(t):
     u = unit_cells(t).withColumn("short", F.col("size") < 5)
     spec = matching.MatchSpec(equal=("lang",), hamming=("toxic", "source", "grp"))
-    out = matching.nearest_mismatches(u, "y", spec, "short").select("unit_id", "nearest_mismatches", "strict_agreement")
-    return rounded(out, "strict_agreement")
+    out = matching.nearest_mismatches(u, "y", spec, "short")
+    known = F.coalesce("nearest_mismatches", F.lit(-1)).alias("nearest_mismatches")
+    return rounded(out.select("unit_id", known, "strict_agreement"), "strict_agreement")
 
 
 TIER_COUNTS = f"""{UNITS}, pt AS (SELECT a.unit_id, a.y, a.source, a.lang, a.toxic,

@@ -77,10 +77,10 @@ def replicate_means(
     per = sums.join(d, cluster).groupBy(*cell, *extra, "rep").agg(
         (F.sum(F.col("times") * F.col("__s")) / F.sum(F.col("times") * F.col("__c"))).alias("value")
     )
-    return _over_seeds(per, values, cell, seed, reps, salt)
+    return over_seeds(per, values, cell, seed, reps, salt)
 
 
-def _over_seeds(per: DataFrame, rows: DataFrame, cell: Sequence[str], seed: str | None, reps: int, salt: str) -> DataFrame:
+def over_seeds(per: DataFrame, rows: DataFrame, cell: Sequence[str], seed: str | None, reps: int, salt: str) -> DataFrame:
     """Mean over seeds drawn with replacement; a replicate with an undefined seed value is undefined."""
     if seed is None:
         return per
@@ -128,7 +128,7 @@ def replicate_metric(
         per = sums.join(d, cluster).groupBy(*cell, *extra, "rep").agg(
             F.when(both, F.sum(t * F.col("__s")) / F.sum(t * F.col("__c"))).alias("value")
         )
-    return _over_seeds(per.select(*cell, *extra, "rep", "value"), pred, cell, seed, reps, salt)
+    return over_seeds(per.select(*cell, *extra, "rep", "value"), pred, cell, seed, reps, salt)
 
 
 def paired_replicates(values: DataFrame, arm: str, a: str, b: str, shared: Sequence[str] = ()) -> DataFrame:

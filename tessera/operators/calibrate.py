@@ -52,7 +52,8 @@ def fit_counts(data: DataFrame, cell: Sequence[str], l2: float = 0.0, fixed_slop
     mean_x, mean_y = "sum(__w * __x) / sum(__w)", "sum(__w * __y) / sum(__w)"
     start = logit(F.expr(mean_y), 1e-12)
     beta = data.groupBy(*cell).agg(
-        ((start - F.expr(mean_x)) if fixed_slope else start).alias("intercept"), F.lit(1.0).alias("slope")
+        ((start - F.expr(mean_x)) if fixed_slope else start).alias("intercept"),
+        F.lit(1.0 if fixed_slope else 0.0).alias("slope"),
     )
     # eta is clipped to +-40, so the plain logistic form cannot overflow
     p = "1D / (1D + exp(-greatest(least(intercept + slope * __x, 40D), -40D)))"
@@ -127,26 +128,28 @@ def transport_audit(df: DataFrame, cell: Sequence[str], x: str, prob: str, eps:
     Distinct scores are compared with their predecessor inside value ranges; the first score of
     a range is compared with the largest probability of all lower ranges.
     """
-    levels = df.groupBy(*cell, F.col(x).alias("x")).agg(F.max(prob).alias("p"), F.count(F.lit(1)).alias("n"))
+    levels = df.groupBy(*cell, F.col(x).alias("__x")).agg(F.max(prob).alias("__p"), F.count(F.lit(1)).alias("__n"))
     levels = cut_lineage(levels)
-    levels = levels.withColumn("__b", range_bucket("x", range_edges(levels, "x")))
-    inside = Window.partitionBy(*cell, "__b").orderBy("x")
-    levels = levels.withColumn("__rev", (F.col("p") < F.lag("p").over(inside)).cast("long"))
+    levels = levels.withColumn("__b", range_bucket("__x", range_edges(levels, "__x")))
+    inside = Window.partitionBy(*cell, "__b").orderBy("__x")
+    levels = levels.withColumn("__rev", (F.col("__p") < F.lag("__p").over(inside)).cast("long"))
+    at_clip = (F.col("__p") <= eps) | (F.col("__p") >= 1 - eps)
     ranges = levels.groupBy(*cell, "__b").agg(
         F.count(F.lit(1)).alias("n_x"),
         F.coalesce(F.sum("__rev"), F.lit(0)).alias("rev"),
-        F.min_by("p", "x").alias("p_first"),
-        F.max("p").alias("p_max"),
-        F.sum(F.when((F.col("p") <= eps) | (F.col("p") >= 1 - eps), F.col("n")).otherwise(0)).alias("n_clip"),
+        F.min_by("__p", "__x").alias("p_first"),
+        F.max("__p").alias("p_max"),
+        F.sum(F.when(at_clip, F.col("__n")).otherwise(0)).alias("n_clip"),
     )
     across = Window.partitionBy(*cell).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("__c", F.coalesce((F.col("p_first") < F.max("p_max").over(across)).cast("long"), F.lit(0)))
+    fell = F.col("p_first") < F.max("p_max").over(across)
+    ranges = ranges.withColumn("__c", F.coalesce(fell.cast("long"), F.lit(0)))
     per = ranges.groupBy(*cell).agg(
         F.sum("n_x").alias("n_unique_score"),
         F.sum(F.col("rev") + F.col("__c")).alias("order_reversals"),
         F.sum("n_clip").alias("n_at_clip"),
     )
-    probs = levels.groupBy(*cell, "p").agg(F.count(F.lit(1)).alias("c")).groupBy(*cell).agg(F.count(F.lit(1)).alias("n_unique_prob"))
+    probs = levels.groupBy(*cell, "__p").agg(F.count(F.lit(1)).alias("__m")).groupBy(*cell).agg(F.count(F.lit(1)).alias("n_unique_prob"))
     return same_key_join(per, probs, cell).withColumn(
         "new_ties", F.greatest(F.col("n_unique_score") - F.col("n_unique_prob"), F.lit(0))
     )

@@ -170,12 +170,13 @@ def nearest_partner(units: DataFrame, label: str, spec: MatchSpec, scale: float)
     near = nearest_value(asks, pool, keys, spec.numeric, "__gap").where(F.col("__gap").isNotNull())
     total = F.round(F.col("__gap") / F.lit(scale) + F.col("__width"), 9)
     cell = [label, *spec.equal, *spec.hamming, spec.numeric]
-    best = near.groupBy(*cell).agg(F.min(F.struct(total.alias("t"), F.col("__width").alias("h"), F.col("__gap").alias("g"))).alias("b"))
+    least = F.min(F.struct(total.alias("t"), F.col("__width").alias("h"), F.col("__gap").alias("g")))
+    best = near.groupBy(*cell).agg(least.alias("__best"))
     return same_key_join(units, best, cell, "left").select(
         *units.columns,
-        F.col("b.g").alias("nearest_gap"),
-        F.col("b.h").alias("nearest_hamming"),
-        F.col("b.t").alias("nearest_total"),
+        F.col("__best.g").alias("nearest_gap"),
+        F.col("__best.h").alias("nearest_hamming"),
+        F.col("__best.t").alias("nearest_total"),
     )
 
 
@@ -224,24 +225,25 @@ def positive_tiers(
     All counts come from cell counts by inclusion-exclusion.
     """
     cell = [label, source, first, second]
-    cells = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    cells = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
 
     def other_source(keys: Sequence[str], name: str) -> DataFrame:
-        whole = cells.groupBy(label, *keys).agg(F.sum("n").alias("w"))
-        own = cells.groupBy(label, source, *keys).agg(F.sum("n").alias("o"))
-        return same_key_join(own, whole, [label, *keys]).select(label, source, *keys, (F.col("w") - F.col("o")).alias(name))
-
-    out = same_key_join(cells, other_source([], "a"), [label, source])
-    out = same_key_join(out, other_source([first], "f"), [label, source, first])
-    out = same_key_join(out, other_source([second], "s"), [label, source, second])
-    out = same_key_join(out, other_source([first, second], "b"), [label, source, first, second])
-    two = F.col("a") - F.col("f") - F.col("s") + F.col("b")
+        whole = cells.groupBy(label, *keys).agg(F.sum("__n").alias("__w"))
+        own = cells.groupBy(label, source, *keys).agg(F.sum("__n").alias("__o"))
+        both = same_key_join(own, whole, [label, *keys])
+        return both.select(label, source, *keys, (F.col("__w") - F.col("__o")).alias(name))
+
+    out = same_key_join(cells, other_source([], "__any"), [label, source])
+    out = same_key_join(out, other_source([first], "__first"), [label, source, first])
+    out = same_key_join(out, other_source([second], "__second"), [label, source, second])
+    out = same_key_join(out, other_source([first, second], "__both"), [label, source, first, second])
+    two = F.col("__any") - F.col("__first") - F.col("__second") + F.col("__both")
     tiers = out.select(
         *cell,
-        F.col("a").alias("n_other_source"),
+        F.col("__any").alias("n_other_source"),
         two.alias("n_differ_2"),
-        (F.col("a") - two - F.col("b")).alias("n_differ_1"),
-        F.col("b").alias("n_differ_0"),
+        (F.col("__any") - two - F.col("__both")).alias("n_differ_1"),
+        F.col("__both").alias("n_differ_0"),
     )
     best = F.coalesce(*[F.when(F.col(f"n_differ_{d}") >= enough, F.col(f"n_differ_{d}")) for d in (2, 1, 0)], F.lit(0))
     return same_key_join(units, tiers.withColumn("n_best", best), cell)

@@ -47,15 +47,15 @@ def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def profile_diversity(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct profiles, modal share, share of rows with a duplicate, effective number exp(entropy)."""
-    counts = df.groupBy(*by, text_key(text).alias("__t")).agg(F.count(F.lit(1)).alias("c"))
-    c = F.col("c").cast("double")
+    counts = df.groupBy(*by, text_key(text).alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
+    c = F.col("__c").cast("double")
     total = F.sum(c)
     # entropy of p = c / total is log(total) - sum(c log c) / total
     return counts.groupBy(*by).agg(
-        F.sum("c").alias("n"),
+        F.sum("__c").alias("n"),
         F.count(F.lit(1)).alias("n_unique"),
-        (F.max("c") / total).alias("modal_share"),
-        (F.sum(F.when(F.col("c") > 1, c).otherwise(0.0)) / total).alias("shared_fraction"),
+        (F.max("__c") / total).alias("modal_share"),
+        (F.sum(F.when(F.col("__c") > 1, c).otherwise(0.0)) / total).alias("shared_fraction"),
         F.exp(F.log(total) - F.sum(c * F.log(c)) / total).alias("effective_number"),
     )
 
@@ -115,15 +115,17 @@ def exact_quantile(df: DataFrame, value: str, probabilities: Sequence[float], by
     )
     steps = running_total(levels, by, "__v", {"__c": F.col("__c")})
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    position = F.col("p") * (F.col("__c_total") - 1)
+    position = F.col("__p") * (F.col("__c_total") - 1)
     low, high = F.floor(position), F.ceil(position)
     inside = lambda at: (at >= F.col("__c_before")) & (at < F.col("__c_before") + F.col("__c"))
-    hit = steps.withColumn("p", F.explode(wanted)).where(inside(low) | inside(high))
-    return hit.groupBy(*by, "p").agg(
-        F.max(F.when(inside(low), F.col("__v"))).alias("a"),
-        F.max(F.when(inside(high), F.col("__v"))).alias("b"),
-        F.max(position - low).alias("w"),
-    ).select(*by, F.col("p").alias("probability"), (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile"))
+    hit = steps.withColumn("__p", F.explode(wanted)).where(inside(low) | inside(high))
+    return hit.groupBy(*by, "__p").agg(
+        F.max(F.when(inside(low), F.col("__v"))).alias("__a"),
+        F.max(F.when(inside(high), F.col("__v"))).alias("__b"),
+        F.max(position - low).alias("__w"),
+    ).select(
+        *by, F.col("__p").alias("probability"), F.expr("__a + (__b - __a) * __w").alias("quantile")
+    )
 
 
 def domains_with_both(df: DataFrame, domain: str, label: str) -> DataFrame:
@@ -145,9 +147,9 @@ def text_resolution(df: DataFrame, condition: str, text: str) -> DataFrame:
     """Distinct rendered texts per condition, counted in two levels."""
     return (
         df.groupBy(condition, text_key(text).alias("__t"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("__c"))
         .groupBy(condition)
-        .agg(F.count(F.lit(1)).alias("n_texts"), F.sum("c").alias("n_rows"))
+        .agg(F.count(F.lit(1)).alias("n_texts"), F.sum("__c").alias("n_rows"))
     )
 
 

@@ -30,7 +30,7 @@ def transport_replicates(
 ) -> DataFrame:
     """Replicates of the negative log loss after transport, refitting every calibrator per replicate.
 
-    Both sets are redrawn; one grouped fit covers every (cell, seed, replicate).
+    A replicate with one class on either side is NULL. Both sets are redrawn; one grouped fit covers every (cell, seed, replicate).
     """
     keys = [*cell, seed, "rep"]
     dc = bootstrap.draws(calibration, unit, reps, f"{salt}-cal")
@@ -40,11 +40,12 @@ def transport_replicates(
     held = evaluation.select(*cell, seed, unit, label, logit).join(de, unit)
     scored = calibrate.apply_fit(held, fits, keys, logit, "moved")
     loss = metrics.log_loss(F.col(label), F.col("moved"))
-    per = scored.groupBy(*keys).agg((F.sum(-loss * F.col("times")) / F.sum("times")).alias("value"))
-    both = calibration.select(seed).unionByName(evaluation.select(seed))
-    ds = bootstrap.draws(both, seed, reps, f"{salt}-seed")
-    joined = same_key_join(per, ds, ["rep", seed])
-    return joined.groupBy(*cell, "rep").agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("value"))
+    both = F.min(label) != F.max(label)
+    per = scored.groupBy(*keys).agg(F.when(both, F.sum(-loss * F.col("times")) / F.sum("times")).alias("value"))
+    usable = drawn.groupBy(*keys).agg((F.min(label) != F.max(label)).alias("__ok"))
+    per = same_key_join(per, usable, keys).withColumn("value", F.when(F.col("__ok"), F.col("value"))).drop("__ok")
+    seeds = calibration.select(seed).unionByName(evaluation.select(seed))
+    return bootstrap.over_seeds(per, seeds, cell, seed, reps, salt)
 
 
 def retrieval_audit(
