@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.bindings.base import CUST, UNITS, query, r, rounded
 from tessera.bindings.splits_balance import PAIRS_C, SMD_CONT, SPLIT_U, cust_pairs, frozen_split, smd_sql
-from tessera.operators import gates, joins, profile, sampling, setops, splits
+from tessera.operators import gates, joins, profile, quantiles, sampling, setops, splits
 from tessera.plans.cohort import data_gate
 from tessera.sinks import tables as sinks
 from tessera.sources import waveform
@@ -85,11 +85,19 @@ def _(t):
 
 @query(
     "a8_recording_totals",
-    """SELECT o_custkey, count(*) AS n_recordings, round(sum(o_totalprice), 2) AS total_duration, min(o_totalprice) AS min_duration, max(o_totalprice) AS max_duration,
-      string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey::VARCHAR) AS files FROM orders GROUP BY 1""",
+    "SELECT o_custkey, count(*) AS n_recordings, round(sum(o_totalprice), 2) AS total_duration, min(o_totalprice) AS min_duration, max(o_totalprice) AS max_duration FROM orders GROUP BY 1",
 )
 def _(t):
-    return rounded(profile.recording_totals(t("orders"), "o_custkey", "o_totalprice", "o_orderkey"), "total_duration", places=2)
+    return rounded(profile.recording_totals(t("orders"), "o_custkey", "o_totalprice"), "total_duration", places=2)
+
+
+@query(
+    "a8_recording_lists",
+    """WITH k AS (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('files|' || o_orderkey)) - 1) // 8 AS part FROM orders)
+    SELECT o_custkey, part, count(*) AS n_files, string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey::VARCHAR) AS files FROM k GROUP BY 1, 2""",
+)
+def _(t):
+    return profile.recording_lists(t("orders"), "o_custkey", "o_orderkey", at_most=8)
 
 
 @query(
@@ -98,7 +106,7 @@ def _(t):
     round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, max(l_extendedprice) AS max FROM lineitem GROUP BY 1""",
 )
 def _(t):
-    out = profile.quantile_summary(t("lineitem"), "l_extendedprice", ["l_returnflag"])
+    out = quantiles.quantile_summary(t("lineitem"), "l_extendedprice", ["l_returnflag"])
     return rounded(rounded(out, "mean", places=2), "q25", "median", "q75", places=4)
 
 
@@ -108,7 +116,7 @@ def _(t):
     FROM lineitem, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) v(p) GROUP BY 1, 2""",
 )
 def _(t):
-    return rounded(profile.exact_quantile(t("lineitem"), "l_extendedprice", [0.1, 0.5, 0.9], ["l_returnflag"]), "quantile", places=4)
+    return rounded(quantiles.exact_quantile(t("lineitem"), "l_extendedprice", [0.1, 0.5, 0.9], ["l_returnflag"]), "quantile", places=4)
 
 
 @query(
@@ -325,13 +333,13 @@ def _check_sql() -> str:
         skip = "".join(f" AND doc_id NOT IN (SELECT doc_id FROM c{j})" for j in range(i))
         ctes.append(f"c{i} AS (SELECT doc_id, '{name}' AS cell, {i} AS priority FROM documents WHERE {cond}{skip} ORDER BY sha256('check|' || doc_id) LIMIT {quota})")
         taken.append(f"SELECT * FROM c{i}")
-    return f"WITH {', '.join(ctes)} SELECT * FROM ({' UNION ALL '.join(taken)}) ORDER BY priority, sha256('check|' || doc_id) LIMIT 40"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, cell FROM ({' UNION ALL '.join(taken)}) ORDER BY priority, sha256('check|' || doc_id) LIMIT 40"
 
 
 @query("o1_priority_check_set", _check_sql())
 def _(t):
     cells = [(n, F.expr(c), q) for n, c, q in CELLS]
-    return sampling.check_set(t("documents").drop("text"), "doc_id", cells, 40, "check")
+    return sampling.check_set(t("documents").drop("text"), "doc_id", cells, 40, "check").select("doc_id", "cell")
 
 
 @query("o1_stratified_heads", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('head|' || doc_id)) AS r FROM documents) WHERE r <= 2")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import logit, sigmoid
 from tessera.operators.joins import BROADCAST_ROWS, broadcast_if_small, same_key_join
-from tessera.operators.ranked import range_bucket, range_edges
+from tessera.operators.ranked import range_edges, with_range_bucket
 from tessera.session import cut_lineage
 
 ITERATIONS = 30
@@ -130,7 +130,7 @@ def transport_audit(df: DataFrame, cell: Sequence[str], x: str, prob: str, eps:
     """
     levels = df.groupBy(*cell, F.col(x).alias("__x")).agg(F.max(prob).alias("__p"), F.count(F.lit(1)).alias("__n"))
     levels = cut_lineage(levels)
-    levels = levels.withColumn("__b", range_bucket("__x", range_edges(levels, "__x")))
+    levels = with_range_bucket(levels, "__x", range_edges(levels, "__x"), "__b")
     inside = Window.partitionBy(*cell, "__b").orderBy("__x")
     levels = levels.withColumn("__rev", (F.col("__p") < F.lag("__p").over(inside)).cast("long"))
     at_clip = (F.col("__p") <= eps) | (F.col("__p") >= 1 - eps)

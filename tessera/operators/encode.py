@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import or_missing, salted_sha
 from tessera.operators.joins import ContractError, same_key_join
+from tessera.operators.quantiles import exact_quantile, quantile_array
 from tessera.operators.ranked import ranked
+from tessera.session import cut_lineage
 
 
 def three_digits(c: Column) -> Column:
@@ -98,8 +100,8 @@ def render_fields(
 
 def levels(df: DataFrame, train: Column, col: str, out: str, at: tuple[float, float] = (0.33, 0.66)) -> DataFrame:
     """low / medium / high by quantiles of the training rows."""
-    edges = df.where(train).agg(F.percentile(col, F.array(*[F.lit(p) for p in at])).alias("e"))
-    d = df.withColumn("__e", edges.scalar())
+    edges = quantile_array(df.where(train), col, at)
+    d = df.withColumn("__e", edges.select("q").scalar())
     v = F.col(col)
     level = F.when(v < F.col("__e")[0], F.lit("low")).when(v < F.col("__e")[1], F.lit("medium")).otherwise(F.lit("high"))
     return d.withColumn(out, F.when(v.isNotNull(), level)).drop("__e")
@@ -130,12 +132,13 @@ def encoded_nodes(rows: DataFrame, unit: str, train: DataFrame, salt: str, anony
     Ids number the distinct (field, value) entries in hash order. ``anonymous`` drops the field
     identity from the vocabulary key.
     """
+    rows = cut_lineage(rows)
     numeric = F.col("value").try_cast("double")
     fit = rows.join(train.select(unit), unit, "left_semi").where(~F.col("missing"))
-    kinds = fit.groupBy("field").agg(
-        (F.count(F.lit(1)) == F.count(numeric)).alias("is_number"),
-        F.percentile(numeric, F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("edges"),
-    )
+    numbers = fit.select("field", numeric.alias("v")).where("v IS NOT NULL")
+    deciles = quantile_array(numbers, "v", [i / 10 for i in range(1, 10)], ["field"]).withColumnRenamed("q", "edges")
+    kinds = fit.groupBy("field").agg((F.count(F.lit(1)) == F.count(numeric)).alias("is_number"))
+    kinds = kinds.join(deciles, "field", "left")
 
     def keyed(d: DataFrame) -> DataFrame:
         j = d.join(kinds, "field", "left")
@@ -189,8 +192,8 @@ def probe_targets(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def above_median(df: DataFrame, col: str) -> Column:
     """Median split as a column (the median of all stated rows is a scalar subquery)."""
-    median = df.agg(F.percentile(col, F.lit(0.5)).alias("m"))
-    return F.col(col) > median.scalar()
+    median = exact_quantile(df, col, [0.5])
+    return F.col(col) > median.select("quantile").scalar()
 
 
 def public_columns(df: DataFrame, allowed: Sequence[str]) -> DataFrame:

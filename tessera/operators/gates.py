@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import ContractError
-from tessera.operators.profile import domains_with_both, quantile_summary
+from tessera.operators.profile import domains_with_both
+from tessera.operators.quantiles import quantile_summary
 
 
 def checks_table(parts: Sequence[tuple[str, DataFrame, float, str]]) -> DataFrame:

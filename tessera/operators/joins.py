@@ -156,10 +156,10 @@ def apply_donor(units: DataFrame, pairing: DataFrame, unit: str, cols: Sequence[
 def per_distinct(df: DataFrame, col: str, out: str, fn) -> DataFrame:
     """Evaluate ``fn`` once per distinct value and map it back to every row.
 
-    The join key is the SHA-256 of the value, so long texts are not shuffled twice.
+    Repeats are dropped map-side, and the join key is the SHA-256 of the value instead of a long text.
     """
     keyed = df.withColumn("__d", F.sha2(F.col(col), 256))
-    once = keyed.groupBy("__d").agg(F.first(col).alias(col)).select("__d", fn(F.col(col)).alias(out))
+    once = keyed.select("__d", col).distinct().select("__d", fn(F.col(col)).alias(out))
     return keyed.join(once, "__d", "left").drop("__d")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import clipped_prob, logit
 from tessera.operators.joins import same_key_join
+from tessera.operators.quantiles import exact_quantile
 from tessera.operators.ranked import running_total
 
 EPS = 1e-6
@@ -86,7 +87,7 @@ def prior_centred_logit(pred: DataFrame, cell: Sequence[str], label: str, prob:
 def confusion_metrics(pred: DataFrame, cell: Sequence[str], label: str, score: str, cut: float | None = None) -> DataFrame:
     """MCC, macro-F1, balanced accuracy and predicted-positive rate at a cut (default: median score of the cell)."""
     if cut is None:
-        cuts = pred.groupBy(*cell).agg(F.percentile(score, F.lit(0.5)).alias("__cut"))
+        cuts = exact_quantile(pred, score, [0.5], cell).select(*cell, F.col("quantile").alias("__cut"))
         base = same_key_join(pred, cuts, cell)
     else:
         base = pred.withColumn("__cut", F.lit(cut))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cosine, l2_norm, or_missing, salted_sha
-from tessera.operators.ranked import ranked, running_total
+from tessera.operators.joins import same_key_join
+from tessera.operators.quantiles import exact_quantile, quantile_array, quantile_summary
+from tessera.operators.ranked import ranked
 
 
 def text_key(text: str) -> Column:
@@ -19,13 +21,17 @@ def text_key(text: str) -> Column:
 
 
 def missingness(df: DataFrame, fields: Sequence[str], label: str, group: str) -> DataFrame:
-    """Missing fraction per field overall, by label and by group, from one grouping-sets aggregate."""
-    cells = df.select(label, group, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(
-        [label, group], list(fields), "field", "value"
+    """Missing fraction per field overall, by label and by group.
+
+    Rows are reduced to counts per (label, group) first; the grouping sets run on those counts.
+    """
+    counts = df.groupBy(label, group).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(F.col(f).isNull().cast("long")).alias(f) for f in fields]
     )
+    cells = counts.unpivot([label, group, "__n"], list(fields), "field", "__m")
     sets = [[F.col("field")], [F.col("field"), F.col(label)], [F.col("field"), F.col(group)]]
     g = cells.groupingSets(sets, "field", label, group).agg(
-        F.grouping_id().alias("__g"), F.avg(F.col("value").isNull().cast("double")).alias("missing_fraction")
+        F.grouping_id().alias("__g"), (F.sum("__m") / F.sum("__n")).alias("missing_fraction")
     )
     # grouping bits: field is always present; 1 = label shown, 2 = group shown, 3 = overall
     scope = F.when(F.col("__g") == 3, F.lit("overall")).when(F.col("__g") == 1, F.lit(label)).otherwise(F.lit(group))
@@ -85,46 +91,26 @@ def duplicate_signatures(df: DataFrame, signatures: dict[str, Sequence[str]]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def recording_totals(df: DataFrame, unit: str, duration: str, path: str) -> DataFrame:
-    """Per unit: number of recordings, total / shortest / longest duration and the sorted file list."""
+def recording_totals(df: DataFrame, unit: str, duration: str) -> DataFrame:
+    """Per unit: number of recordings and total / shortest / longest duration."""
     return df.groupBy(unit).agg(
         F.count(F.lit(1)).alias("n_recordings"),
         F.sum(duration).alias("total_duration"),
         F.min(duration).alias("min_duration"),
         F.max(duration).alias("max_duration"),
-        F.array_join(F.sort_array(F.collect_list(F.col(path).cast("string"))), "|").alias("files"),
     )
 
 
-def quantile_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact min, quartiles and max (linear interpolation) of the stated values.
+def recording_lists(df: DataFrame, unit: str, path: str, salt: str = "files", at_most: int = 1000) -> DataFrame:
+    """Sorted file lists ``(unit, part, n_files, files)`` of at most ``at_most`` files each.
 
-    ``percentile`` keeps value -> count per group; for a column of unbounded distinct values in
-    one group use :func:`exact_quantile`.
+    A unit within that size has one part, its complete list. A larger unit is spread over several
+    parts in hash order, so that no unit has to fit into one row.
     """
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    g = df.groupBy(*by).agg(F.count(value).alias("n_finite"), F.avg(value).alias("mean"), q.alias("q"))
-    names = ("min", "q25", "median", "q75", "max")
-    return g.select(*by, "n_finite", "mean", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def exact_quantile(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles of groups of any size: distinct values get cumulative counts by range."""
-    levels = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(
-        F.count(F.lit(1)).alias("__c")
-    )
-    steps = running_total(levels, by, "__v", {"__c": F.col("__c")})
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    position = F.col("__p") * (F.col("__c_total") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    inside = lambda at: (at >= F.col("__c_before")) & (at < F.col("__c_before") + F.col("__c"))
-    hit = steps.withColumn("__p", F.explode(wanted)).where(inside(low) | inside(high))
-    return hit.groupBy(*by, "__p").agg(
-        F.max(F.when(inside(low), F.col("__v"))).alias("__a"),
-        F.max(F.when(inside(high), F.col("__v"))).alias("__b"),
-        F.max(position - low).alias("__w"),
-    ).select(
-        *by, F.col("__p").alias("probability"), F.expr("__a + (__b - __a) * __w").alias("quantile")
+    r = ranked(df.select(unit, path).withColumn("__h", salted_sha(salt, path)), [unit], "__h", "__r")
+    return r.groupBy(unit, F.floor((F.col("__r") - 1) / at_most).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.array_join(F.sort_array(F.collect_list(F.col(path).cast("string"))), "|").alias("files"),
     )
 
 
@@ -262,10 +248,14 @@ def grid_deltas(df: DataFrame, grid: Sequence[str], arm: str, value: str, a: str
 
 
 def acquisition_medians(df: DataFrame, source: str, values: Sequence[str], clip: str) -> DataFrame:
-    med = [F.percentile(v, F.lit(0.5)).alias(f"median_{v}") for v in values]
-    return df.groupBy(source).agg(
-        F.count(F.lit(1)).alias("n"), *med, F.avg((F.col(clip) > 0).cast("double")).alias("clipping_rate")
+    """Exact medians of the listed columns and the clipping rate, per source."""
+    rates = df.groupBy(source).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col(clip) > 0).cast("double")).alias("clipping_rate")
     )
+    long = df.select(source, *[F.col(v).cast("double").alias(v) for v in values]).unpivot([source], list(values), "field", "value")
+    q = exact_quantile(long, "value", [0.5], [source, "field"])
+    wide = q.groupBy(source).pivot("field", list(values)).agg(F.max("quantile"))
+    return same_key_join(rates, wide.withColumnsRenamed({v: f"median_{v}" for v in values}), [source])
 
 
 def shared_hashes(df: DataFrame, digest: str, within: str) -> DataFrame:
@@ -339,7 +329,7 @@ def one_field_apart(records: DataFrame, fields: Sequence[str], order: str, vecto
 
 def monotone_check(df: DataFrame, by: Sequence[str], dose: str, value: str, tolerance: float = 0.0) -> DataFrame:
     """Whether a value never falls along an ordered grid (one row per dose)."""
-    w = Window.partitionBy(*by).orderBy(dose)
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(dose)
     steps = df.withColumn("__s", F.col(value) - F.lag(value).over(w))
     return steps.groupBy(*by).agg(
         F.min("__s").alias("min_step"), F.coalesce(F.min("__s") >= -tolerance, F.lit(True)).alias("non_decreasing")
@@ -349,9 +339,8 @@ def monotone_check(df: DataFrame, by: Sequence[str], dose: str, value: str, tole
 def quantile_bucket(df: DataFrame, value: str, names: Sequence[str], out: str) -> DataFrame:
     """Right-closed quantile classes with edges from all rows (two edges for terciles)."""
     k = len(names)
-    probs = F.array(*[F.lit(i / k) for i in range(1, k)])
-    edges = df.agg(F.percentile(value, probs).alias("e"))
-    d = df.withColumn("__e", edges.scalar())
+    edges = quantile_array(df, value, [i / k for i in range(1, k)])
+    d = df.withColumn("__e", edges.select("q").scalar())
     bucket = F.lit(names[-1])
     for i in reversed(range(k - 1)):
         bucket = F.when(F.col(value) <= F.col("__e")[i], F.lit(names[i])).otherwise(bucket)

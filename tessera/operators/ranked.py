@@ -18,6 +18,7 @@ from tessera.session import cut_lineage
 
 HASH_DIGITS = 3
 RANGE_BUCKETS = 128
+SUB_BUCKETS = 16
 _NULL_KEY = "\u0000"
 
 
@@ -82,22 +83,33 @@ def ranked_sides(df: DataFrame, by: Sequence[str], side: str, hash_col: str) ->
 
 
 def range_edges(df: DataFrame, col: str, buckets: int = RANGE_BUCKETS, error: float = 0.002) -> list[float]:
-    """At most ``buckets - 1`` cut points. They only spread the work; results never depend on them."""
-    probs = [i / buckets for i in range(1, buckets)]
+    """At most ``buckets + 1`` cut points. They only spread the work; results never depend on them."""
+    probs = [i / buckets for i in range(buckets + 1)]
     edges = df.select(F.col(col).cast("double").alias("v")).stat.approxQuantile("v", probs, error)
     return sorted({e for e in edges if math.isfinite(e)})
 
 
-def range_bucket(value: str, edges: Sequence[float]) -> Column:
-    """Number of edges below a numeric column, as a balanced comparison tree (stays in codegen)."""
+def with_range_bucket(df: DataFrame, value: str, edges: Sequence[float], out: str = "__bucket") -> DataFrame:
+    """Number of the value range a row falls into, non-decreasing in the value.
+
+    A balanced comparison tree finds the range between two edges; each range is cut into
+    ``SUB_BUCKETS`` equal parts.
+    """
 
     def tree(low: int, high: int) -> str:
         if low == high:
             return str(low)
         mid = (low + high) // 2
-        return f"IF(`{value}` <= {edges[mid]!r}D, {tree(low, mid)}, {tree(mid + 1, high)})"
+        return f"IF(__rv <= {edges[mid]!r}D, {tree(low, mid)}, {tree(mid + 1, high)})"
 
-    return F.expr(tree(0, len(edges)))
+    placed = df.withColumn("__rv", F.col(value).cast("double")).withColumn("__rc", F.expr(tree(0, len(edges))))
+    if len(edges) < 2:
+        return placed.withColumnsRenamed({"__rc": out}).drop("__rv")
+    cuts = f"array({', '.join(f'{e!r}D' for e in edges)})"
+    low, high = f"element_at({cuts}, greatest(__rc, 1))", f"element_at({cuts}, least(__rc + 1, {len(edges)}))"
+    part = f"CAST(floor({SUB_BUCKETS} * (__rv - {low}) / ({high} - {low})) AS INT)"
+    inner = f"IF(__rc = 0 OR __rc = {len(edges)}, 0, greatest(0, least({SUB_BUCKETS - 1}, {part})))"
+    return placed.withColumn(out, F.expr(f"__rc * {SUB_BUCKETS} + {inner}")).drop("__rv", "__rc")
 
 
 def running_total(
@@ -118,7 +130,7 @@ def running_total(
     if edges is None:
         edges = range_edges(df, order)
     base, keys = _keyed(df, by)
-    base = base.withColumn("__bucket", range_bucket(order, edges))
+    base = with_range_bucket(base, order, edges)
     offsets = _offsets(base, keys, amounts)
     local = Window.partitionBy(*keys, "__bucket").orderBy(order, *then)
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
@@ -168,7 +180,7 @@ def nearest_value(
     both = cut_lineage(points.unionByName(held))
     edges = range_edges(both, "__p")
     both, keys = _keyed(both, by)
-    both = both.withColumn("__bucket", range_bucket(value, edges))
+    both = with_range_bucket(both, value, edges)
     ends = both.groupBy(*keys, "__bucket").agg(F.min("__p").alias("__lo"), F.max("__p").alias("__hi"))
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket")
     ends = ends.select(

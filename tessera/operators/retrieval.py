@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cosine, dot, normalised
 from tessera.operators.ranked import ranked_by_value
+from tessera.session import cut_lineage
 
 TIE = 1e-12
 BROADCAST_BYTES = 64 << 20
@@ -23,11 +24,11 @@ def candidate_bank(df: DataFrame, profile: str, vector: str | None = None) -> Da
     ``one_vector`` is false for a profile whose rows carry different vectors.
     """
     key = F.sha2(F.col(profile), 256)
-    aggs = [F.first(profile).alias(profile), F.count(F.lit(1)).alias("n_rows")]
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
     if vector:
         seen = F.sha2(F.to_json(F.struct(vector)), 256)
         aggs += [F.first(vector).alias(vector), (F.min(seen) == F.max(seen)).alias("one_vector")]
-    return df.groupBy(key.alias("profile_id")).agg(*aggs)
+    return df.groupBy(key.alias("profile_id"), profile).agg(*aggs)
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -102,6 +103,7 @@ def cosine_ranks(
     )
     golds = bank.select(F.col(bank_id).alias("gold"), F.col(bank_vector).alias("__gv"))
     asks = asks.join(golds, "gold").withColumn("gold_score", cosine(F.col("qv"), F.col("__gv"))).drop("__gv")
+    held = cut_lineage(held)
     size = held.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cv")).alias("d")).first()
     names = list(conditions)
     if (size["n"] or 0) * (size["d"] or 0) * 8 <= broadcast_bytes:

@@ -15,20 +15,29 @@ def check_set(df: DataFrame, unit: str, cells: Sequence[tuple[str, Column, int]]
     """Priority check set ``(unit, cell)``: each cell adds up to its quota in hash order, no unit twice.
 
     A unit belongs to its first matching selection; places of a later cell taken by an earlier
-    one are refilled. Each cell only ever needs the ``sum of quotas so far`` smallest hashes, so
-    the candidates are bounded by the quotas before they are compared.
+    one are refilled. A cell can therefore only use its ``sum of quotas so far`` smallest hashes.
+    Those are found for all cells in one pass; what reaches the driver is bounded by the quotas.
     """
-    hashed = df.withColumn("__h", salted_sha(salt, unit))
-    spent = 0
-    chosen: DataFrame | None = None
-    for priority, (name, condition, quota) in enumerate(cells):
-        spent += quota
-        top = hashed.where(condition).select(unit, "__h").orderBy("__h").limit(spent)
-        if chosen is not None:
-            top = top.join(chosen.select(unit), unit, "left_anti")
-        pick = top.orderBy("__h").limit(quota).select(unit, "__h", F.lit(name).alias("cell"), F.lit(priority).alias("priority"))
-        chosen = pick if chosen is None else chosen.unionByName(pick)
-    return chosen.orderBy("priority", "__h").limit(total).drop("__h")
+    need = [sum(q for _, _, q in cells[: i + 1]) for i in range(len(cells))]
+    flags = F.array(*[F.when(c, F.lit(i)) for i, (_, c, _) in enumerate(cells)])
+    d = df.withColumn("__h", salted_sha(salt, unit)).select(
+        unit, "__h", F.substring("__h", 1, 2).alias("__b"), F.explode(F.array_compact(flags)).alias("__cell")
+    )
+    limit = F.element_at(F.array(*[F.lit(n) for n in need]), F.col("__cell") + 1)
+    near = Window.partitionBy("__cell", "__b").orderBy("__h")
+    final = Window.partitionBy("__cell").orderBy("__h")
+    first = d.withColumn("__r", F.row_number().over(near)).where((F.col("__r") <= max(need)) & (F.col("__r") <= limit))
+    top = first.withColumn("__r", F.row_number().over(final)).where((F.col("__r") <= max(need)) & (F.col("__r") <= limit))
+    taken: dict = {}
+    candidates: dict[int, list] = {}
+    for row in top.select(unit, "__cell", "__r").collect():
+        candidates.setdefault(row["__cell"], []).append((row["__r"], row[unit]))
+    for i, (name, _, quota) in enumerate(cells):
+        free = [u for _, u in sorted(candidates.get(i, [])) if u not in taken]
+        taken.update({u: name for u in free[:quota]})
+    chosen = list(taken.items())[:total]
+    schema = f"{unit} {dict(df.dtypes)[unit]}, cell string, position int"
+    return df.sparkSession.createDataFrame([(u, c, i) for i, (u, c) in enumerate(chosen)], schema)
 
 
 def stratified_heads(df: DataFrame, unit: str, strata: Sequence[str], quota: int, salt: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.profile import quantile_summary
+from tessera.operators.quantiles import quantile_summary
 from tessera.sources.tables import list_files
 
 # File name endings that count as audio.
