@@ -631,6 +631,17 @@ def _(t):
     return validate.collapse_static(t("events").where("value > 60"), "user_id", ["event_type"])
 
 
+@query(
+    "x4_field_normaliser",
+    """WITH e AS (SELECT o_custkey, regexp_replace(lower(trim(split_part(o_orderpriority, '-', 2))), '[^a-z0-9+]', '', 'g') AS p FROM orders WHERE o_totalprice > 450000),
+    g AS (SELECT o_custkey, min(p) AS a, max(p) AS b FROM e GROUP BY 1) SELECT o_custkey, CASE WHEN a = b THEN a END AS priority, CASE WHEN a <> b THEN 'conflicting_priority' END AS reason FROM g""",
+)
+def _(t):
+    word = F.regexp_extract("o_orderpriority", r"^\d-(.*)$", 1)
+    d = t("orders").where("o_totalprice > 450000").select("o_custkey", word.alias("priority"))
+    return validate.collapse_static(d, "o_custkey", ["priority"], lambda c: fn.normalise_code(c))
+
+
 @query(
     "a2_label_conflicts",
     """WITH e AS (SELECT user_id AS u, ts::DATE AS s, event_type AS st, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 0 END AS l FROM events WHERE value > 40),

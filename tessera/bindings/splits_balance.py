@@ -405,6 +405,16 @@ def _(t):
     return matching.partner_counts(t.customers(), "y", matching.MatchSpec(equal=("segment", "nation"))).select("unit_id", "n_partner")
 
 
+@query(
+    "x2_exact_match_rule",
+    f"""WITH {U_CELLS} SELECT a.unit_id, count(b.unit_id) AS n_partner FROM uc a LEFT JOIN uc b
+      ON a.y<>b.y AND a.lang=b.lang AND (a.toxic<>b.toxic)::INT + (a.grp<>b.grp)::INT <= 1 GROUP BY 1""",
+)
+def _(t):
+    rule = matching.MatchSpec(equal=("lang",), hamming=("toxic", "grp"), max_hamming=1)
+    return matching.partner_counts(unit_cells(t), "y", rule).select("unit_id", "n_partner")
+
+
 @query(
     "j10_cross_domain_positives",
     f"""WITH {UNITS}, d AS (SELECT y, source, count(*) AS c FROM units GROUP BY 1, 2), l AS (SELECT y, sum(c) AS c FROM d GROUP BY 1)

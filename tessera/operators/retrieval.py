@@ -16,6 +16,7 @@ from tessera.session import cut_lineage
 TIE = 1e-12
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 2048
+SLICE_ROWS = 512
 
 
 def candidate_bank(df: DataFrame, profile: str, vector: str | None = None) -> DataFrame:
@@ -111,8 +112,8 @@ def cosine_ranks(
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for q in batches:
-                if len(q):
-                    yield _partial_counts(q, whole.value, names)
+                for start in range(0, len(q), SLICE_ROWS):
+                    yield _partial_counts(q.iloc[start : start + SLICE_ROWS], whole.value, names)
 
         partial = asks.mapInPandas(score, schema)
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.quantiles import quantile_summary
+from tessera.session import cut_lineage
 from tessera.sources.tables import list_files
 
 # File name endings that count as audio.
@@ -80,28 +81,32 @@ def inventory(parsed: DataFrame) -> DataFrame:
     per_sample = ok.groupBy("subject", "sample").agg(
         F.count(F.lit(1)).alias("c"), F.min("platform").alias("p0"), F.max("platform").alias("p1")
     )
-    per_subject = per_sample.groupBy("subject").agg(
-        F.sum("c").alias("recordings"), F.count(F.lit(1)).alias("samples"), F.min("p0").alias("p0"), F.max("p1").alias("p1")
+    per_subject = cut_lineage(
+        per_sample.groupBy("subject").agg(
+            F.sum("c").alias("recordings"), F.count(F.lit(1)).alias("samples"), F.min("p0").alias("p0"), F.max("p1").alias("p1")
+        )
+    )
+    files = parsed.groupBy("modality", F.col("subject").isNull().alias("unparsed")).agg(F.count(F.lit(1)).alias("n"))
+    several = F.coalesce(F.sum((F.col("p0") != F.col("p1")).cast("long")), F.lit(0))
+    unparsed = F.coalesce(F.sum(F.when(F.col("unparsed"), F.col("n"))), F.lit(0))
+
+    def section(df: DataFrame, name: str, item: str) -> DataFrame:
+        return df.select(F.lit(name).alias("section"), F.col(item).cast("string").alias("item"), "n")
+
+    def histogram(col: str) -> DataFrame:
+        return per_subject.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+
+    def check(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.lit("check").alias("section"), F.lit(name).alias("item"), "n")
+
+    return (
+        section(histogram("recordings"), "recordings_per_subject", "recordings")
+        .unionByName(section(histogram("samples"), "samples_per_subject", "samples"))
+        .unionByName(section(histogram("p0"), "platform", "p0"))
+        .unionByName(section(files.where(~F.col("unparsed")), "modality", "modality"))
+        .unionByName(check(per_subject.agg(several.alias("n")), "subject_on_several_platforms"))
+        .unionByName(check(files.agg(unparsed.alias("n")), "unparsed"))
     )
-    one = F.count(F.lit(1)).alias("n")
-    lit = F.lit
-    text = lambda c: F.col(c).cast("string")
-    parts = [
-        per_subject.groupBy(lit("recordings_per_subject").alias("section"), text("recordings").alias("item")).agg(one),
-        per_subject.groupBy(lit("samples_per_subject").alias("section"), text("samples").alias("item")).agg(one),
-        per_subject.groupBy(lit("platform").alias("section"), F.col("p0").alias("item")).agg(one),
-        ok.groupBy(lit("modality").alias("section"), F.col("modality").alias("item")).agg(one),
-        per_subject.agg(F.coalesce(F.sum((F.col("p0") != F.col("p1")).cast("long")), lit(0)).alias("n")).select(
-            lit("check").alias("section"), lit("subject_on_several_platforms").alias("item"), "n"
-        ),
-        parsed.agg(F.coalesce(F.sum(F.col("subject").isNull().cast("long")), lit(0)).alias("n")).select(
-            lit("check").alias("section"), lit("unparsed").alias("item"), "n"
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
 
 def per_subject_summary(parsed: DataFrame) -> DataFrame:
