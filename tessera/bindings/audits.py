@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.bindings.base import CUST, UNITS, query, r, rounded
+from tessera.bindings.base import CUST, UNITS, count_n, query, r, rounded
 from tessera.bindings.splits_balance import PAIRS_C, SMD_CONT, SPLIT_U, cust_pairs, frozen_split, smd_sql
 from tessera.operators import gates, joins, profile, quantiles, sampling, setops, splits
 from tessera.plans.cohort import data_gate
@@ -17,7 +17,6 @@ from tessera.sinks import tables as sinks
 from tessera.sources import waveform
 from tessera.streaming import ingest
 
-COUNT = F.count(F.lit(1)).alias("n")
 
 
 @query(
@@ -466,13 +465,13 @@ def _(t):
 def _(t):
     out = t.scratch()
     sinks.write_manifest(t("customer"), out, "csv")
-    return t.spark.read.csv(out, header=True).groupBy(F.col("c_mktsegment").alias("segment")).agg(COUNT)
+    return t.spark.read.csv(out, header=True).groupBy(F.col("c_mktsegment").alias("segment")).agg(count_n())
 
 
 @query("k2_public_report", f"WITH {CUST} SELECT segment, count(*) AS n FROM cust GROUP BY 1")
 def _(t):
     out = t.scratch()
-    report = t.customers().groupBy("segment").agg(COUNT).withColumn("secret", F.lit("x"))
+    report = t.customers().groupBy("segment").agg(count_n()).withColumn("secret", F.lit("x"))
     ids = t("customer").select("c_name")
     sinks.write_public_report(report, ["segment", "n"], out, ids, "c_name")
     return t.spark.read.json(out)
@@ -507,7 +506,7 @@ def _(t):
 def _(t):
     out = t.scratch()
     sinks.freeze_predictions(t.units().select("unit_id", "y"), out)
-    return sinks.open_frozen(t.spark, out).agg(COUNT, F.sum("y").alias("n_positive"))
+    return sinks.open_frozen(t.spark, out).agg(count_n(), F.sum("y").alias("n_positive"))
 
 
 @query(

@@ -100,3 +100,7 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
 
 def r(expr: str, places: int = 6) -> str:
     return f"(round(({expr})::DOUBLE, {places}) + 0.0::DOUBLE)"
+
+
+def count_n():
+    return F.count(F.lit(1)).alias("n")

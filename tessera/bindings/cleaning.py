@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import functions as fn
-from tessera.bindings.base import CUST, UNITS, query, r, rounded
+from tessera.bindings.base import CUST, UNITS, count_n, query, r, rounded
 from tessera.bindings.splits_balance import SPLIT_U, derange_sql, frozen_split
 from tessera.operators import encode, joins, pairing, profile, sampling, setops, splits, validate
 from tessera.sources import recordings, tables
 
-COUNT = F.count(F.lit(1)).alias("n")
 
 # ---- scans and sources ----
 
@@ -24,7 +23,7 @@ def _(t):
     t("customer").select("c_custkey", "c_mktsegment", "c_acctbal").write.csv(out, sep=";", header=True)
     df = tables.read_table(t.spark, out)
     return df.groupBy(F.col("c_mktsegment").alias("segment")).agg(
-        COUNT, F.round(F.sum(F.col("c_acctbal").try_cast("double")), 2).alias("balance")
+        count_n(), F.round(F.sum(F.col("c_acctbal").try_cast("double")), 2).alias("balance")
     )
 
 
@@ -32,7 +31,7 @@ def _(t):
 def _(t):
     raw = t("customer").withColumnsRenamed({"c_mktsegment": " Segment ", "c_custkey": "UID"})
     got = tables.resolve_columns(raw, {"uid": ["participant", "uid"], "segment": ["segment"], "note": ["remark"]}, ["uid", "segment"])
-    return got.groupBy("segment").agg(COUNT, F.max("note").alias("note"))
+    return got.groupBy("segment").agg(count_n(), F.max("note").alias("note"))
 
 
 @query(
@@ -48,25 +47,25 @@ def _(t):
     one(c.where(~even).select(F.col("c_custkey").alias("USER_ID")), "ios")
     one(t("region").select("r_name"), "web")
     merged, skipped = tables.read_many(t.spark, root, "*.csv", {"uid": ["uid", "user_id"], "segment": ["segment"]}, "uid")
-    return merged.groupBy("platform").agg(COUNT, F.count("segment").alias("n_segment"), F.lit(skipped).alias("n_skipped"))
+    return merged.groupBy("platform").agg(count_n(), F.count("segment").alias("n_segment"), F.lit(skipped).alias("n_skipped"))
 
 
 @query("s4_unique_key_table", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
     out = t.scratch()
     t("orders").select("o_orderkey", "o_orderstatus").write.csv(out, header=True)
-    return tables.read_unique(t.spark, out, "o_orderkey").groupBy(F.col("o_orderstatus").alias("status")).agg(COUNT)
+    return tables.read_unique(t.spark, out, "o_orderkey").groupBy(F.col("o_orderstatus").alias("status")).agg(count_n())
 
 
 @query("s5_quality_ratings", "SELECT (quality + toxic) AS quality, count(*) AS n, min(doc_id)::VARCHAR AS first_id FROM labels GROUP BY 1")
 def _(t):
     out = t.scratch()
     rows = t("labels").select(
-        F.concat(F.col("doc_id").cast("string"), F.lit("_cough-heavy")).alias("FILENAME"), (F.col("quality") + F.col("toxic")).alias("QUALITY")
+        F.concat(F.col("doc_id").cast("string"), F.lit("_rated")).alias("FILENAME"), (F.col("quality") + F.col("toxic")).alias("QUALITY")
     )
     rows.write.csv(out, header=True)
-    rated = tables.read_ratings(t.spark, out, "_cough-heavy")
-    return rated.groupBy("quality").agg(COUNT, F.min(F.col("unit_id").cast("long")).cast("string").alias("first_id"))
+    rated = tables.read_ratings(t.spark, out, "_rated")
+    return rated.groupBy("quality").agg(count_n(), F.min(F.col("unit_id").cast("long")).cast("string").alias("first_id"))
 
 
 @query(
@@ -139,7 +138,7 @@ def _(t):
     letter = F.element_at(F.array(F.lit("B"), F.lit("D"), F.lit("E")), (F.col("p_size") % 3 + 1).cast("int"))
     name = F.concat(letter, F.lit("P"), F.col("p_partkey"), F.lit("_"), F.col("p_type"), F.lit(" ,E  W,P L L,"), F.col("p_size"), F.lit(",m.wav"))
     d = t("part").select(recordings.parse_filter_name(name).alias("x")).select("x.*")
-    return d.groupBy("filter", "diagnosis").agg(COUNT, F.sum("age").alias("age_sum"))
+    return d.groupBy("filter", "diagnosis").agg(count_n(), F.sum("age").alias("age_sum"))
 
 
 @query("s9_split_file", "SELECT CASE WHEN toxic = 1 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM labels GROUP BY 1")
@@ -147,7 +146,7 @@ def _(t):
     out = t.scratch()
     line = F.concat_ws("  ", F.concat(F.lit(" rec"), F.col("doc_id")), F.when(F.col("toxic") == 1, F.lit("TEST")).otherwise(F.lit("Train")))
     t("labels").select(line.alias("value")).unionByName(t("region").select(F.lit("#comment").alias("value"))).write.text(out)
-    return tables.read_split_file(t.spark, out).groupBy("split").agg(COUNT)
+    return tables.read_split_file(t.spark, out).groupBy("split").agg(count_n())
 
 
 @query(
@@ -157,7 +156,7 @@ def _(t):
 def _(t):
     rec = t("events").select("event_id", "event_type", F.from_json("props", "map<string,bigint>").alias("m"))
     rows = tables.map_to_rows(rec, "event_type", "m")
-    return rows.groupBy("event_type", "field").agg(COUNT, F.sum("value").alias("total"))
+    return rows.groupBy("event_type", "field").agg(count_n(), F.sum("value").alias("total"))
 
 
 @query("s10_json_manifest", "SELECT r_name AS region, count(*) AS n_nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -207,7 +206,7 @@ def _(t):
 def _(t):
     flag = F.col("l_returnflag")
     pred = t("lineitem").select(flag.alias("arm"), F.when(flag == "N", 0).otherwise(F.col("l_linenumber") % 3).alias("seed"), "l_orderkey")
-    return tables.replicate_single_seed(pred, [0, 1, 2]).groupBy("arm", "seed").agg(COUNT)
+    return tables.replicate_single_seed(pred, [0, 1, 2]).groupBy("arm", "seed").agg(count_n())
 
 
 # ---- projections, filters, validation ----
@@ -219,7 +218,7 @@ def _(t):
 )
 def _(t):
     c = fn.canonical(F.col("text"))
-    return t("documents").select("lang", c.alias("c")).groupBy("lang").agg(COUNT, F.count("c").alias("n_stated"), F.sum(F.length("c")).alias("n_kept_chars"))
+    return t("documents").select("lang", c.alias("c")).groupBy("lang").agg(count_n(), F.count("c").alias("n_stated"), F.sum(F.length("c")).alias("n_kept_chars"))
 
 
 @query(
@@ -233,7 +232,7 @@ def _(t):
 
 @query("p3_code_normalisation", "SELECT regexp_replace(lower(trim(o_orderpriority)), '[^a-z0-9+]', '', 'g') AS code, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
-    return t("orders").groupBy(fn.normalise_code(F.col("o_orderpriority")).alias("code")).agg(COUNT)
+    return t("orders").groupBy(fn.normalise_code(F.col("o_orderpriority")).alias("code")).agg(count_n())
 
 
 STATUS = {"o": "OPEN", "f": "FINISHED", "p": "PENDING"}
@@ -241,7 +240,7 @@ STATUS = {"o": "OPEN", "f": "FINISHED", "p": "PENDING"}
 
 @query("p4_category_map", "SELECT CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'FINISHED' ELSE 'PENDING' END AS status, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
-    return validate.map_strict(t("orders"), "o_orderstatus", STATUS, "status").groupBy("status").agg(COUNT)
+    return validate.map_strict(t("orders"), "o_orderstatus", STATUS, "status").groupBy("status").agg(count_n())
 
 
 @query("p4_unknown_values", "SELECT event_type AS value, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
@@ -259,7 +258,7 @@ def _(t):
 def _(t):
     k = F.col("p_partkey") % 7
     raw = F.when(k == 0, F.lit("prefer not to say")).when(k == 2, F.lit("16-19")).otherwise((F.col("p_size") * 2.5).cast("string"))
-    return t("part").where(k != 1).groupBy(fn.age_band(raw).alias("band")).agg(COUNT)
+    return t("part").where(k != 1).groupBy(fn.age_band(raw).alias("band")).agg(count_n())
 
 
 @query(
@@ -271,7 +270,7 @@ def _(t):
     k = F.col("o_orderkey") % 5
     raw = F.when(k == 0, F.lit("")).when(k == 1, F.lit("n/a")).when(k == 2, F.lit("Infinity")).otherwise(F.col("o_totalprice").cast("string"))
     p = validate.number_problem(raw, 1000, 400000, allow_missing=False)
-    return t("orders").groupBy(F.coalesce(p, F.lit("ok")).alias("problem")).agg(COUNT)
+    return t("orders").groupBy(F.coalesce(p, F.lit("ok")).alias("problem")).agg(count_n())
 
 
 @query(
@@ -281,7 +280,7 @@ def _(t):
 def _(t):
     flag = fn.tri_boolean(F.col("l_returnflag"), ["r", "true"], ["a", "false"])
     boxes = [F.col("l_linestatus"), F.when(F.col("l_discount") == 0.05, F.lit("o"))]
-    return t("lineitem").groupBy(flag.alias("returned"), fn.checkbox_union(boxes, ["o"]).alias("ticked")).agg(COUNT)
+    return t("lineitem").groupBy(flag.alias("returned"), fn.checkbox_union(boxes, ["o"]).alias("ticked")).agg(count_n())
 
 
 @query(
@@ -290,7 +289,7 @@ def _(t):
 )
 def _(t):
     y = fn.label_map(F.col("o_orderpriority"), ["1-urgent", "2-HIGH"], ["5-LOW"])
-    return t("orders").groupBy(F.coalesce(y, F.lit(-1)).alias("y")).agg(COUNT)
+    return t("orders").groupBy(F.coalesce(y, F.lit(-1)).alias("y")).agg(count_n())
 
 
 @query(
@@ -300,7 +299,7 @@ def _(t):
 def _(t):
     low = F.lower("source")
     name = F.when(low.isin("src1", "src2"), "validation").when(low == "src3", "test").otherwise("train")
-    return t("documents").where(F.lower(F.trim("lang")) == "en").groupBy(name.alias("split")).agg(COUNT)
+    return t("documents").where(F.lower(F.trim("lang")) == "en").groupBy(name.alias("split")).agg(count_n())
 
 
 @query(
@@ -314,7 +313,7 @@ def _(t):
     key = F.col("c_custkey").cast("string")
     uid = F.when(k == 0, F.lpad(key, 10, "1")).when(k == 1, F.lpad(key, 12, "1")).otherwise(F.lpad(key, 8, "1"))
     path = F.when(k == 0, F.lit("x/Android/a")).when(k == 1, F.lit("x/iOS/a")).otherwise(F.lit("q"))
-    return t("customer").groupBy(fn.platform_from_id(uid).alias("by_id"), fn.platform_from_path(path).alias("by_path")).agg(COUNT)
+    return t("customer").groupBy(fn.platform_from_id(uid).alias("by_id"), fn.platform_from_path(path).alias("by_path")).agg(count_n())
 
 
 @query(
@@ -322,7 +321,7 @@ def _(t):
     "SELECT strftime(o_orderdate, '%Y') || CASE WHEN month(o_orderdate) <= 6 THEN '-H1' ELSE '-H2' END AS half, count(*) AS n FROM orders GROUP BY 1",
 )
 def _(t):
-    return t("orders").groupBy(fn.half_year(F.col("o_orderdate")).alias("half")).agg(COUNT)
+    return t("orders").groupBy(fn.half_year(F.col("o_orderdate")).alias("half")).agg(count_n())
 
 
 @query(
@@ -332,7 +331,7 @@ def _(t):
 )
 def _(t):
     d = t("documents").select(F.concat_ws("/", "source", "lang").alias("raw"))
-    return validate.rare_to_other(d, "raw", 10, "cell").groupBy("cell").agg(COUNT)
+    return validate.rare_to_other(d, "raw", 10, "cell").groupBy("cell").agg(count_n())
 
 
 @query(
@@ -401,12 +400,12 @@ def _(t):
 @query("p18_field_from_text", f"WITH {UNITS} SELECT source AS recorded, count(*) AS n FROM units GROUP BY 1")
 def _(t):
     d = t.units().select(encode.render({"LANG": F.col("lang"), "SOURCE": F.col("source")}).alias("text"))
-    return encode.require_recorded(d, "text", "SOURCE", "recorded").groupBy("recorded").agg(COUNT)
+    return encode.require_recorded(d, "text", "SOURCE", "recorded").groupBy("recorded").agg(count_n())
 
 
 @query("p19_profile_hash", f"WITH {UNITS} SELECT sha256(lang || '|' || source || '|' || toxic) AS profile, count(*) AS n FROM units GROUP BY 1")
 def _(t):
-    return t.units().groupBy(encode.profile_hash("lang", "source", "toxic").alias("profile")).agg(COUNT)
+    return t.units().groupBy(encode.profile_hash("lang", "source", "toxic").alias("profile")).agg(count_n())
 
 
 FIELDS20 = {"lang": ("context", "dataset"), "source": ("context", "model"), "toxic": ("signal", "dataset")}
@@ -424,7 +423,7 @@ def nested_rows(t):
     SELECT field, block, provenance, count(*) AS n, sum((value IS NULL)::INT)::BIGINT AS n_missing FROM f GROUP BY 1, 2, 3""",
 )
 def _(t):
-    return nested_rows(t).groupBy("field", "block", "provenance").agg(COUNT, F.sum(F.col("missing").cast("long")).alias("n_missing"))
+    return nested_rows(t).groupBy("field", "block", "provenance").agg(count_n(), F.sum(F.col("missing").cast("long")).alias("n_missing"))
 
 
 @query(
@@ -452,7 +451,7 @@ def _(t):
 )
 def _(t):
     s = frozen_split(t)
-    return encode.levels(s, F.col("split") == "train", "n_chars", "level").groupBy("split", "level").agg(COUNT)
+    return encode.levels(s, F.col("split") == "train", "n_chars", "level").groupBy("split", "level").agg(count_n())
 
 
 @query(
@@ -462,7 +461,7 @@ def _(t):
 def _(t):
     code = F.concat(F.col("l_returnflag"), F.when(F.col("l_linestatus") == "F", F.lit("r")).otherwise(F.lit("?")))
     d = t("lineitem").select(encode.parse_location(code).alias("x")).select("x.*")
-    return d.groupBy("region", "side").agg(COUNT)
+    return d.groupBy("region", "side").agg(count_n())
 
 
 ENC = f"""{UNITS}, s AS ({SPLIT_U}), f AS (SELECT unit_id, split, 'lang' AS field, lang AS value FROM s UNION ALL SELECT unit_id, split, 'n_chars', n_chars::VARCHAR FROM s),
@@ -488,7 +487,7 @@ def _(t):
 def _(t):
     d = t("orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus", "o_orderdate")
     hot = encode.one_hot(d, "o_orderkey", ["month", "o_orderstatus"], F.col("o_orderdate") < "1997-01-01")
-    return hot.groupBy("field", "level").agg(COUNT)
+    return hot.groupBy("field", "level").agg(count_n())
 
 
 @query(
@@ -513,7 +512,7 @@ def _(t):
 @query("p28_public_projection", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2")
 def _(t):
     shown = encode.public_columns(t("customer"), ["c_mktsegment", "c_nationkey", "not_there"])
-    return shown.groupBy(*shown.columns).agg(COUNT)
+    return shown.groupBy(*shown.columns).agg(count_n())
 
 
 P29 = {
@@ -544,7 +543,7 @@ for _mode in P29:
 @query("j1_validated_join", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def _(t):
     n = t("nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    return joins.validated_join(t("customer"), n, ["c_nationkey"], "many_to_one").groupBy("n_name").agg(COUNT)
+    return joins.validated_join(t("customer"), n, ["c_nationkey"], "many_to_one").groupBy("n_name").agg(count_n())
 
 
 @query(
@@ -556,7 +555,7 @@ def _(t):
     turns = t("conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_user"))
     out = joins.assemble(t("documents").select("doc_id", "lang"), "doc_id", [(t("labels"), ["quality"]), (turns, ["n_user"])])
     known = out.withColumn("quality", F.coalesce("quality", F.lit(-1)))
-    return known.groupBy("lang", "quality").agg(COUNT, F.coalesce(F.sum("n_user"), F.lit(0)).alias("n_turns"))
+    return known.groupBy("lang", "quality").agg(count_n(), F.coalesce(F.sum("n_user"), F.lit(0)).alias("n_turns"))
 
 
 @query(
@@ -567,7 +566,7 @@ def _(t):
 def _(t):
     rec = t("orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
     out = joins.membership(t("customer"), rec, "c_custkey", "o_orderstatus")
-    return out.groupBy("status").agg(COUNT, F.sum("n_records").alias("n_records"))
+    return out.groupBy("status").agg(count_n(), F.sum("n_records").alias("n_records"))
 
 
 @query(
@@ -578,7 +577,7 @@ def _(t):
 def _(t):
     want = t("customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey")
     have = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return joins.coverage_gaps(want, have, ["c_custkey"]).groupBy("gap").agg(COUNT)
+    return joins.coverage_gaps(want, have, ["c_custkey"]).groupBy("gap").agg(count_n())
 
 
 @query(
@@ -610,7 +609,7 @@ def _(t):
 )
 def _(t):
     p = pairing.derangement(t.units(), "unit_id", ["y"], "pair")
-    return joins.apply_donor(t.units(), p, "unit_id", ["lang"]).groupBy("lang", "donor_lang").agg(COUNT)
+    return joins.apply_donor(t.units(), p, "unit_id", ["lang"]).groupBy("lang", "donor_lang").agg(count_n())
 
 
 @query("j15_once_per_distinct", "SELECT doc_id, len(regexp_split_to_array(text, '\\s+'))::INT AS n_words FROM documents")
@@ -663,7 +662,7 @@ def _(t):
 def _(t):
     c = t("customer").select(F.lit("c").alias("kind"), F.col("c_acctbal").alias("acct"))
     p = t("part").select(F.lit("p").alias("kind"), F.col("p_size").alias("size"))
-    return setops.union_all([c, p]).groupBy("kind").agg(COUNT, F.count("acct").alias("n_acct"), F.count("size").alias("n_size"))
+    return setops.union_all([c, p]).groupBy("kind").agg(count_n(), F.count("acct").alias("n_acct"), F.count("size").alias("n_size"))
 
 
 @query(
@@ -705,7 +704,7 @@ def _(t):
 def _(t):
     word = F.upper(F.regexp_extract("o_orderpriority", r"^\d-(.*)$", 1))
     return t("orders").groupBy(word.alias("word")).agg(
-        F.max(F.length("o_orderpriority")).cast("long").alias("longest"), COUNT, F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "|").alias("statuses")
+        F.max(F.length("o_orderpriority")).cast("long").alias("longest"), count_n(), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "|").alias("statuses")
     )
 
 
@@ -728,7 +727,7 @@ def _(t):
     z = fn.logit(F.col("p"))
     d = t("lineitem").select(p.alias("p"))
     e = -(F.col("p") * F.log("p") + (1 - F.col("p")) * F.log(1 - F.col("p")))
-    out = d.groupBy("p").agg(COUNT, F.avg(z).alias("logit"), F.avg(fn.sigmoid(z)).alias("back"), F.avg(e).alias("entropy"))
+    out = d.groupBy("p").agg(count_n(), F.avg(z).alias("logit"), F.avg(fn.sigmoid(z)).alias("back"), F.avg(e).alias("entropy"))
     return rounded(out, "logit", "back", "entropy")
 
 
@@ -738,7 +737,7 @@ def _(t):
 )
 def _(t):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return t("orders").groupBy(day.alias("day"), F.replace(day, F.lit("-"), F.lit("")).alias("tag")).agg(COUNT)
+    return t("orders").groupBy(day.alias("day"), F.replace(day, F.lit("-"), F.lit("")).alias("tag")).agg(count_n())
 
 
 @query(
@@ -758,5 +757,5 @@ def _(t):
 def _(t):
     s = F.from_json("props", "k bigint")
     d = t("events").select(s.alias("s"))
-    return d.groupBy(F.col("s.k").alias("k")).agg(COUNT, F.min(F.sha2(F.to_json("s"), 256)).alias("digest"))
+    return d.groupBy(F.col("s.k").alias("k")).agg(count_n(), F.min(F.sha2(F.to_json("s"), 256)).alias("digest"))
 

@@ -25,7 +25,10 @@ _NULL_KEY = "\u0000"
 def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Non-null text companions of the keys: a plain equi-join and one partitioning serve both."""
     names = [f"__k{i}" for i in range(len(by))]
-    cols = {n: F.coalesce(F.col(c).cast("string"), F.lit(_NULL_KEY)) for n, c in zip(names, by)}
+    types = dict(df.dtypes)
+    # adding 0.0 gives -0.0 and 0.0 one text form, as grouping does
+    plain = [F.col(c) + F.lit(0.0) if types.get(c) in ("double", "float") else F.col(c) for c in by]
+    cols = {n: F.coalesce(c.cast("string"), F.lit(_NULL_KEY)) for n, c in zip(names, plain)}
     return df.withColumns(cols) if cols else df, names
 
 

@@ -57,3 +57,11 @@ def test_nearest_value(spark, asks, pool):
     p = spark.createDataFrame(pd.DataFrame({"g": "a", "v": pool}))
     got = {r["k"]: r["gap"] for r in nearest_value(q, p, ["g"], "v").collect()}
     assert got == {k: float(min(abs(v - x) for x in pool)) for k, v in enumerate(asks)}
+
+
+def test_negative_zero_is_zero_in_keys(spark):
+    from tessera.operators.joins import same_key_join
+
+    a = spark.createDataFrame([(-0.0, 1), (0.0, 2), (None, 3)], "k double, i int")
+    b = spark.createDataFrame([(0.0, "z"), (None, "n")], "k double, v string")
+    assert {r["i"]: r["v"] for r in same_key_join(a, b, ["k"]).collect()} == {1: "z", 2: "z", 3: "n"}
