@@ -603,3 +603,16 @@ def _(t):
     out = matching.agreement_targets(b, "batch", ["lang", "source", "toxic"])
     return rounded(out, "exact_total", "soft_total", "sharp_total")
 
+
+
+@query(
+    "j13_pair_agreement",
+    f"""WITH {UNITS}, {derange_sql('units', 'y', 'agree', '(VALUES (0))')}
+    SELECT p.unit_id, {r('((a.lang=b.lang)::INT + (a.source=b.source)::INT + (a.toxic=b.toxic)::INT)/3.0::DOUBLE')} AS share
+    FROM pr p JOIN units a ON a.unit_id=p.unit_id JOIN units b ON b.unit_id=p.donor_id""",
+)
+def _(t):
+    u = t.units().drop("text")
+    fields = ["lang", "source", "toxic"]
+    pairs = joins.apply_donor(u, pairing.derangement(u, "unit_id", ["y"], "agree"), "unit_id", fields)
+    return rounded(pairs.select("unit_id", matching.agreement_share(fields).alias("share")), "share")

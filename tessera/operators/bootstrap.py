@@ -115,7 +115,9 @@ def replicate_metric(
     d = draws(pred, cluster, reps, salt, scheme=scheme)
     if metric == "auroc":
         edges = range_edges(pred, score)
-        rows = pred.select(*cell, *extra, cluster, score, label).join(d, cluster)
+        # rows of one cluster with the same score and label are one row from here on
+        tied = pred.groupBy(*cell, *extra, cluster, score, label).agg(F.count(F.lit(1)).alias("__k"))
+        rows = tied.join(d, cluster).withColumn("times", F.col("times") * F.col("__k"))
         per = metrics.auroc(rows, [*cell, *extra, "rep"], score, label, "times", edges).withColumnRenamed("auroc", "value")
     else:
         y = F.col(label)

@@ -249,40 +249,55 @@ def positive_tiers(
     return same_key_join(units, tiers.withColumn("n_best", best), cell)
 
 
+def agreement_share(fields: Sequence[str], other: str = "donor_") -> Column:
+    """Share of jointly stated fields that agree, for listed pairs with ``<field>`` and ``<other><field>``."""
+    both = [F.col(f).isNotNull() & F.col(f"{other}{f}").isNotNull() for f in fields]
+    stated = reduce(lambda a, b: a + b, [b.cast("int") for b in both])
+    equal = reduce(lambda a, b: a + b, [(b & (F.col(f) == F.col(f"{other}{f}"))).cast("int") for b, f in zip(both, fields)])
+    return F.when(stated > 0, equal / stated).otherwise(F.lit(0.0))
+
+
 def agreement_targets(
-    df: DataFrame, batch: str, fields: Sequence[str], batch_limit: int = 1024, threshold: float = 0.75, power: int = 4
+    df: DataFrame, batch: str, fields: Sequence[str], threshold: float = 0.75, power: int = 4
 ) -> DataFrame:
-    """Row-normalised target weights inside training batches, per distinct record of the batch.
+    """Normalising totals of the target weights inside training batches, per distinct record of a batch.
 
-    A batch is a fixed-size slice (checked against ``batch_limit``), reduced to its distinct
-    records first. Agreement is the share of jointly stated fields that are equal. Weights per
-    anchor row: ``exact`` (full agreement), ``soft`` (the share), ``sharp`` (share^power above the
-    threshold); an anchor always counts itself.
+    Agreement of two records is the share of jointly stated fields that are equal. The weights of an
+    anchor row are ``exact`` (full agreement), ``soft`` (the share) and ``sharp`` (share^power from
+    the threshold on); the anchor itself always weighs 1.
+
+    No pairs are formed. Every record is counted under each subset of its stated fields; a count
+    under subset S covers all records that agree at least on S, and inclusion-exclusion over S
+    turns the weight of 'agrees on exactly e of m fields' into one coefficient per (size of S, m).
     """
-    largest = df.groupBy(batch).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > batch_limit:
-        raise ValueError(f"batch of {largest} rows exceeds {batch_limit}")
-    records = df.groupBy(batch, *fields).agg(F.count(F.lit(1)).alias("n"))
-    other = records.select(batch, *[F.col(f).alias(f"o_{f}") for f in fields], F.col("n").alias("o_n"))
-    both = [F.col(f).isNotNull() & F.col(f"o_{f}").isNotNull() for f in fields]
-    stated = reduce(lambda a, b: a + b, [b.cast("int") for b in both])
-    equal = reduce(
-        lambda a, b: a + b, [(c & (F.col(f) == F.col(f"o_{f}"))).cast("int") for c, f in zip(both, fields)]
-    )
-    share = F.when(stated > 0, equal / stated).otherwise(F.lit(0.0))
-    same = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"o_{f}")) for f in fields])
-    pairs = records.join(other, batch).withColumns({"agreement": share, "same_record": same})
-
-    def weight(v: Column) -> Column:
-        # the anchor itself weighs at least 1; its identical companions keep the plain value
-        self_gap = F.when(F.col("same_record"), F.greatest(v, F.lit(1.0)) - v).otherwise(F.lit(0.0))
-        return F.sum(v * F.col("o_n") + self_gap)
-
-    exact = (F.col("agreement") >= 1.0 - 1e-6).cast("double")
-    sharp = F.when(F.col("agreement") >= threshold, F.pow("agreement", F.lit(float(power)))).otherwise(F.lit(0.0))
-    sums = pairs.groupBy(batch, *fields, "n").agg(
-        weight(exact).alias("exact_total"),
-        weight(F.col("agreement")).alias("soft_total"),
-        weight(sharp).alias("sharp_total"),
-    )
-    return sums
+    k = len(fields)
+    stated = F.expr(" + ".join(f"IF(`{f}` IS NULL, 0, {1 << i})" for i, f in enumerate(fields)))
+    records = cut_lineage(df.groupBy(batch, *fields).agg(F.count(F.lit(1)).alias("n"))).withColumn("__have", stated)
+    subsets = F.array(*[F.lit(m) for m in range(1 << k)])
+    spread = records.withColumn("__s", F.explode(subsets)).where(F.col("__s").bitwiseAND(F.col("__have")) == F.col("__s"))
+    shown = [
+        F.when(F.col("__s").bitwiseAND(F.lit(1 << i)) > 0, F.col(f).cast("string")).otherwise(F.lit("*"))
+        for i, f in enumerate(fields)
+    ]
+    spread = spread.withColumn("__key", F.concat_ws("\u0001", F.col("__s").cast("string"), *shown))
+    pool = spread.groupBy(batch, "__key", F.col("__have").alias("__other")).agg(F.sum("n").alias("__m"))
+    weights = {
+        "exact_total": lambda v: float(v >= 1.0 - 1e-6),
+        "soft_total": lambda v: v,
+        "sharp_total": lambda v: v**power if v >= threshold else 0.0,
+    }
+
+    def coefficient(weight, size: int, joint: int) -> float:
+        if joint == 0:
+            return 0.0
+        return sum((-1) ** (size - e) * comb(size, e) * weight(e / joint) for e in range(size + 1))
+
+    joint = F.bit_count(F.col("__have").bitwiseAND(F.col("__other")))
+    cell = F.bit_count("__s") * (k + 1) + joint + 1
+    j = same_key_join(spread, pool, [batch, "__key"])
+    sums = []
+    for name, weight in weights.items():
+        table = F.array(*[F.lit(coefficient(weight, s, m)) for s in range(k + 1) for m in range(k + 1)])
+        lonely = F.when(F.max("__have") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        sums.append((F.sum(F.element_at(table, cell) * F.col("__m")) + lonely).alias(name))
+    return j.groupBy(batch, *fields, "n").agg(*sums)

@@ -134,6 +134,28 @@ def test_smd_fixed_cases(spark):
     assert np.isclose(got["x"], -1 / np.sqrt(2)) and got["k"] == 0.0 and got["j"] == float("inf")
 
 
+def test_agreement_totals_equal_brute_force_with_missing_values(spark):
+    u = units(spark, 60).withColumns(
+        {"batch": F.col("unit_id") % 2, "a": F.when(F.col("unit_id") % 5 > 0, F.col("a")), "b": F.when(F.col("unit_id") % 7 > 0, F.col("b"))}
+    ).withColumn("s", F.when(F.col("unit_id") % 35 > 0, F.col("s")))
+    fields = ["a", "b", "s"]
+    d = u.select("batch", *fields).toPandas().astype(object)
+    d = d.where(d.notna(), None)
+    for r in matching.agreement_targets(u, "batch", fields).collect():
+        exact = soft = sharp = 0.0
+        rows = d[d.batch == r["batch"]][fields].to_dict("records")
+        own = {f: r[f] for f in fields}
+        seen_self = False
+        for o in rows:
+            both = [f for f in fields if own[f] is not None and o[f] is not None]
+            v = sum(own[f] == o[f] for f in both) / len(both) if both else 0.0
+            w = [float(v >= 1 - 1e-6), v, v**4 if v >= 0.75 else 0.0]
+            if o == own and not seen_self:
+                w, seen_self = [max(x, 1.0) for x in w], True
+            exact, soft, sharp = exact + w[0], soft + w[1], sharp + w[2]
+        assert np.allclose([exact, soft, sharp], [r["exact_total"], r["soft_total"], r["sharp_total"]])
+
+
 # ---- metrics and bootstrap ----
 
 
