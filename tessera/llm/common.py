@@ -85,3 +85,16 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, computed once. For tables too large for a plain checkpoint."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` occurs in two rows or more. Keys are counted before the shuffle; a hot key's rows may be split."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    return df.join(counts, key, "left_semi")
