@@ -98,3 +98,28 @@ def repeated(df: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` occurs in two rows or more. Keys are counted before the shuffle; a hot key's rows may be split."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
     return df.join(counts, key, "left_semi")
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) for every node of a graph of 64-bit ids: root is the least node reachable.
+
+    Alternates two steps until nothing changes: each node's larger neighbours, then its smaller ones, are
+    linked to the least node seen. Both are aggregates and joins, so a node with very many links is never
+    gathered in one task, and edges stay at most as many as given. Each round is checkpointed.
+    """
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
+    links, last = materialised(links), None
+    while True:
+        state = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
+        if tuple(state) == last:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
+        last = tuple(state)
+        both = links.union(links.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        links = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = links.groupBy("u").agg(F.min("v").alias("m"))
+        joined = links.join(low, "u")
+        links = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v")))
+        links = materialised(links.distinct())
