@@ -1,13 +1,73 @@
-"""Training-data pipeline over ``documents``: each stage calls one operator of ``tessera.llm``."""
+"""Training-data pipeline over ``documents``: each stage calls one operator of ``tessera.llm``.
+
+Rules first, since they are cheapest and drop junk; then near copies, so that later stages see each text once; then
+repeated passages; then benchmark passages, judged on the text as it will be used; then packing.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import shared_folder
+from tessera.llm.decontaminate import occurrences
+from tessera.llm.jaccard import jaccard_groups
+from tessera.llm.packing import pack_documents
+from tessera.llm.quality_rules import quality_rules
+from tessera.llm.substring import dedup_substrings
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor a learned rule rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules(docs, labels).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each Jaccard group; of equal rows all stay, and rows without an id stay."""
+    groups = jaccard_groups(docs)
+    gone = groups.where("component_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words of windows that occur earlier; an untouched text stays as it is, an emptied one goes."""
+    cut = dedup_substrings(docs).where("n_removed > 0").select("doc_id", "n_words", "n_removed", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
+    joined = docs.join(cut, "doc_id", "left").where("n_removed IS NULL OR n_removed < n_words")
+    text = F.coalesce("_kept", "text")
+    columns = {"text": text.alias("text"), "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept")).cast("long").alias("n_chars")}
+    return joined.select(*[columns.get(c, F.col(c)) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    found = occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Learned rules and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = shared_folder(spark)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

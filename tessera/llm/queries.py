@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, packing, substring, token_counts, token_files  # noqa: F401  (each registers its query)
+from tessera.llm import backoff, cotraining, decontaminate, jaccard, licenses, packing, quality_rules, substring, token_counts, token_files  # noqa: F401  (each registers its query)
 from tessera.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -20,6 +20,7 @@ from tessera.llm.common import arrow_schema, given_id, ids_of, materialised, pla
 from tessera.llm.tokens import encoder
 
 FLAT = "file string, block int, width int, ids binary"
+NAMES = "file string, block int, names array<long>"
 
 
 def write_flat_tokens(
@@ -31,11 +32,12 @@ def write_flat_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
-    """Write every text's ids and ``end_id``, documents ascending by id over files and blocks.
+    """Write every text's ids and ``end_id`` as flat files, in the order in which the rows are read, without a shuffle.
 
-    Null texts are empty (the end id alone), null ids come first. Nothing in the files tells where a document begins.
+    Null texts are empty (the end id alone). Below ``path``: ``kind=tokens`` has the flat files, in which nothing
+    tells where a document begins; ``kind=names`` lists each file's document ids in order (``block``: ordinal of the first).
     """
-    schema, arrow = arrow_schema(FLAT)
+    schema, arrow = arrow_schema("kind string, file string, block int, width int, ids binary, names array<long>")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -43,10 +45,9 @@ def write_flat_tokens(
         file = f"{TaskContext.get().partitionId():08d}"
         encode = encoder(tokenizer, "byte-level")
         kind = "<u4" if encode.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
-        number, waiting = 0, np.empty(0, kind)
+        number, named, waiting = 0, 0, np.empty(0, kind)
 
-        def row(ids: np.ndarray) -> pa.RecordBatch:
-            values = [file, number, ids.itemsize, ids.tobytes()]
+        def row(*values: object) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for rows, _, _ in text_batches(batches, 1 << 20):
@@ -56,15 +57,17 @@ def write_flat_tokens(
             inner = np.ones(len(whole), bool)
             inner[ends] = False
             whole[inner] = ids
+            yield row("names", file, named, None, None, ids_of(rows))
+            named += rows.num_rows
             waiting = np.concatenate([waiting, whole])
             while len(waiting) >= block_ids:
-                yield row(waiting[:block_ids])
+                yield row("tokens", file, number, waiting.itemsize, waiting[:block_ids].tobytes(), None)
                 number, waiting = number + 1, waiting[block_ids:]
         if len(waiting):
-            yield row(waiting)
+            yield row("tokens", file, number, waiting.itemsize, waiting.tobytes(), None)
 
-    ordered = plain(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id")
-    ordered.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(path)
+    flat = plain(docs, id_col, text_col).mapInArrow(blocks, schema)
+    flat.write.option("compression", "zstd").partitionBy("kind").parquet(path)
 
 
 def count_tokens(spark: SparkSession, path: str, end_id: int) -> DataFrame:
@@ -119,39 +122,15 @@ def count_tokens(spark: SparkSession, path: str, end_id: int) -> DataFrame:
     return closed.unionByName(tails)
 
 
-def with_places(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a materialised table (part, ``key``) with their place in the order of the parts and ``key``, from 0."""
-    sizes = df.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    sizes = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return df.withColumn("inside", inside).join(sizes, "part").withColumn("place", F.col("before") + F.col("inside"))
-
-
-def with_document_ids(counts: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Name the documents of files that ``write_flat_tokens`` made of ``docs``: they lie in ascending order of id.
-
-    Both sides get their place in the whole corpus from sums per file or range, then meet on it.
-    """
-    schema, _ = arrow_schema("part string, id long")
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = f"{TaskContext.get().partitionId():08d}"
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.string()), pa.array(ids_of(batch))], names=["part", "id"])
-
-    named = with_places(materialised(plain(docs, id_col).repartitionByRange("id").mapInArrow(numbered, schema)), "id")
-    placed = with_places(materialised(counts.withColumnRenamed("file", "part")), "ordinal")
-    return placed.join(named.select("place", "id"), "place").select(
-        given_id(id_col), F.col("part").alias("file"), "ordinal", "start", "n_tokens", "closed"
-    )
+def with_document_ids(counts: DataFrame, names: str, id_col: str = "doc_id") -> DataFrame:
+    """Name the documents of flat files by the list that was written beside them. Null ids stay null."""
+    listed = counts.sparkSession.read.schema(NAMES).parquet(names).select("file", "block", F.posexplode("names").alias("k", "id"))
+    listed = listed.select("file", (F.col("block") + F.col("k")).cast("long").alias("ordinal"), "id")
+    return counts.join(listed, ["file", "ordinal"]).select(given_id(id_col), "file", "ordinal", "start", "n_tokens", "closed")
 
 
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
     path = shared_folder(spark)
-    write_flat_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
-    return with_document_ids(count_tokens(spark, path, 50256), docs)
+    write_flat_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+    return with_document_ids(count_tokens(spark, f"{path}/kind=tokens", 50256), f"{path}/kind=names")

@@ -83,11 +83,15 @@ def test_empty_table(spark):
 def test_separator_scan(spark, block_ids):
     path = shared_folder(spark)
     token_counts.write_flat_tokens(spark.createDataFrame(rows(), SCHEMA), path, PATH, 2, block_ids=block_ids)
-    got = token_counts.count_tokens(spark, path, 2).orderBy("file", "ordinal").collect()
-    assert [(r["start"], r["n_tokens"]) for r in token_counts.count_tokens(spark, path, 2).orderBy("file", "start").collect()] == [(r["start"], r["n_tokens"]) for r in got]
-    named = token_counts.with_document_ids(token_counts.count_tokens(spark, path, 2), spark.createDataFrame(rows(), SCHEMA))
-    assert sorted((r["doc_id"] is not None, r["doc_id"], r["n_tokens"]) for r in named.collect() if r["doc_id"] is not None) == sorted((True, k, n) for k, _, n, _ in expected() if k is not None)
-    assert named.where("doc_id is null").count() == 1
+    counts = token_counts.count_tokens(spark, f"{path}/kind=tokens", 2)
+    named = token_counts.with_document_ids(counts, f"{path}/kind=names").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted([(r["doc_id"], r["n_tokens"]) for r in named], key=key) == sorted([(k, n) for k, _, n, _ in expected()], key=key)
+    assert all(r["closed"] for r in named)
+    by_file = {}
+    for r in sorted(named, key=lambda r: (r["file"], r["ordinal"])):
+        assert r["start"] == by_file.get(r["file"], 0)
+        by_file[r["file"]] = r["start"] + r["n_tokens"]
 
 
 def test_unclosed_tail_and_empty_files(spark):
