@@ -7,7 +7,7 @@ places are a locality-sensitive hash for edit distance. Each of ``walks`` walks
 share a key with an item are verified by exact edit distance.
 
 Before windows are embedded, an exact filter drops those that cannot match: within an edit distance of k, a window shares
-at least m - 1 - 2k neighbouring word pairs with an item of m words. Only the pairs of all items are needed for it.
+at least m - 1 - 2k neighbouring word pairs with an item of m words. Every word of every text goes through it.
 """
 
 from __future__ import annotations
@@ -31,23 +31,31 @@ ITEM_BYTES = 8 << 20
 _MAP_BITS = 22
 
 
-def cgk_keys(windows: np.ndarray, walk: int, samples: int) -> np.ndarray:
-    """One key per row of equally long word sequences: a sample of places of walk number ``walk``."""
+def walk_plan(m: int, walks: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random bits' seeds and sampled places of each walk over sequences of m words: (walks, steps) each."""
+    rng = np.random.default_rng([walks, m])
+    steps = 2 * m  # later places have seen most edits and are seldom alike
+    seeds = rng.integers(1, 2**63, (walks, steps), dtype=np.uint64)
+    sampled = np.zeros((walks, steps), bool)
+    for walk in sampled:
+        walk[rng.choice(steps, min(samples, steps), replace=False)] = True
+    return seeds, sampled
+
+
+def cgk_keys(windows: np.ndarray, plan: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys (walks, rows) of equally long word sequences: for each walk, a hash of the words at its sampled places."""
+    seeds, sampled = plan
     n, m = windows.shape
-    steps = 3 * m
-    rng = np.random.default_rng([walk, m])
-    sampled = np.zeros(steps, bool)
-    # places early in the walk have seen fewer edits; all lie before most walks end
-    sampled[rng.choice(2 * m, min(samples, 2 * m), replace=False)] = True
-    seeds = rng.integers(1, 2**63, steps, dtype=np.uint64)
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    at, row = np.zeros(n, np.int64), np.arange(n)
-    key = np.full(n, np.uint64(walk + 1))
-    for j in range(int(np.flatnonzero(sampled)[-1]) + 1):
+    at, row = np.zeros((len(seeds), n), np.int64), np.arange(n)
+    key = np.zeros((len(seeds), n), np.uint64)
+    for j in range(seeds.shape[1]):
         word = padded[row, at]
-        if sampled[j]:
-            key = mix(key ^ word) + np.uint64(j)
-        at = np.minimum(at + (mix(word + seeds[j]) & np.uint64(1)).astype(np.int64), m)
+        own = sampled[:, j]
+        if own.any():
+            key[own] = mix(key[own] ^ word[own]) + np.uint64(j)
+        at += (mix(word + seeds[:, j, None]) & np.uint64(1)).astype(np.int64)
+        np.minimum(at, m, out=at)
     return key
 
 
@@ -72,37 +80,65 @@ class Items:
 
     ids: dict[int, np.ndarray] = field(default_factory=dict)
     words: dict[int, np.ndarray] = field(default_factory=dict)
-    keys: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    plans: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    keys: dict[int, np.ndarray] = field(default_factory=dict)
+    # neighbouring pairs of all items, ascending, and the item of each, as a number
     pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    pair_item: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    # of each item number: its words, and its row among the items of that length
+    length: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    row: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     table: np.ndarray = field(default_factory=lambda: np.zeros(1 << _MAP_BITS, bool))
 
     @staticmethod
     def of(rows: list[tuple[int, str]], walks: int, samples: int) -> Items:
-        out, by_length, pairs = Items(), {}, []
+        out, by_length = Items(), {}
         for key, text in rows:
             data = lower_ascii(np.frombuffer((text or "").encode(), np.uint8))
             h = space_words(data, np.array([0, len(data)])).hashes()
             if len(h) >= LEAST_WORDS:
                 by_length.setdefault(len(h), []).append((key, h))
-                pairs.append(rolling(h, 2)[:-1])
         for m, own in sorted(by_length.items()):
             out.ids[m] = np.array([k for k, _ in own])
             out.words[m] = np.stack([h for _, h in own])
-            out.keys[m] = [cgk_keys(out.words[m], w, samples) for w in range(walks)]
-        if pairs:
-            out.pairs = np.unique(np.concatenate(pairs))
+            out.plans[m] = walk_plan(m, walks, samples)
+            out.keys[m] = cgk_keys(out.words[m], out.plans[m])
+        if by_length:
+            out.length = np.concatenate([np.full(len(out.ids[m]), m) for m in out.ids])
+            out.row = np.concatenate([np.arange(len(out.ids[m])) for m in out.ids])
+            own = [np.unique(rolling(h, 2)[:-1]) for m in out.ids for h in out.words[m]]
+            pairs, item = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            order = np.argsort(pairs, kind="stable")
+            out.pairs, out.pair_item = pairs[order], item[order]
             out.table[out.pairs >> np.uint64(64 - _MAP_BITS)] = True
         return out
 
 
-def edits(m: int, den: int) -> int:
-    return m // den
-
+def windows_to_try(items: Items, pairs: np.ndarray, first: np.ndarray, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(item number, start word) of all windows that hold enough of the item's pairs.
 
-def windows_to_try(hit: np.ndarray, start: np.ndarray, m: int, den: int) -> np.ndarray:
-    """Those of ``start`` whose window of m words holds enough item pairs."""
-    total = np.concatenate([[0], np.cumsum(hit)])
-    return start[total[start + m - 1] - total[start] >= m - 1 - 2 * edits(m, den)]
+    ``pairs``: hash of the pair at each word; ``first``: first word of each text, and the end.
+    """
+    at = np.flatnonzero(items.table[pairs >> np.uint64(64 - _MAP_BITS)])
+    lo, hi = np.searchsorted(items.pairs, pairs[at]), np.searchsorted(items.pairs, pairs[at], side="right")
+    item, place = items.pair_item[ranges(lo, hi - lo)], np.repeat(at, hi - lo)
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    text = np.searchsorted(first, place, side="right") - 1
+    m = items.length[item]
+    need = m - 1 - 2 * (m // den)
+    j = np.arange(len(item))
+    last = j + need - 1
+    ok = last < len(item)
+    j, last = j[ok], last[ok]
+    same = (item[j] == item[last]) & (text[j] == text[last]) & (place[last] - place[j] <= m[j] - 2)
+    j, last = j[same], last[same]
+    low = np.maximum(place[last] - (m[j] - 2), first[text[j]])
+    high = np.minimum(place[j], first[text[j] + 1] - m[j])
+    size = np.maximum(high - low + 1, 0)
+    found = np.stack([np.repeat(item[j], size), ranges(low, size)])
+    found = np.unique(found, axis=1)
+    return found[0], found[1]
 
 
 def occurrences(
@@ -136,7 +172,7 @@ def occurrences(
         block = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == turn).collect()  # about ITEM_BYTES
         items = Items.of([tuple(r) for r in block], walks, samples)
         if items.ids:
-            found = rows.mapInArrow(_search(spark.sparkContext.broadcast(items), arrow, den, walks, samples), schema)
+            found = rows.mapInArrow(_search(spark.sparkContext.broadcast(items), arrow, den), schema)
             out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -150,63 +186,35 @@ def occurrences(
     )
 
 
-def _matches(items: Items, data: np.ndarray, row_start: np.ndarray, den: int, walks: int, samples: int) -> list[tuple[int, int, int, int, int]]:
+def _matches(items: Items, data: np.ndarray, row_start: np.ndarray, den: int) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start word, words, distance), the best per text and item."""
     words = space_words(lower_ascii(data), row_start)
     h = words.hashes()
     if len(h) < LEAST_WORDS:
         return []
-    pairs = rolling(h, 2)
-    hit = items.table[pairs >> np.uint64(64 - _MAP_BITS)]
-    at = np.flatnonzero(hit)
-    hit[at] = np.isin(pairs[at], items.pairs)
-    # coarse filter: a matching window has a stretch of the shortest item's pairs that is as dense as its densest part must be
-    short = min(items.ids)
-    dense = min(-(-(m - 1 - 2 * edits(m, den)) // -(-(m - 1) // (short - 1))) for m in items.ids)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    ends = np.minimum(np.arange(len(h)) + short - 1, len(h))
-    centre = np.flatnonzero(total[ends] - total[:-1] >= dense)
-    if not len(centre):
-        return []
-    longest = max(items.ids)
-    near = np.zeros(len(h) + 1, np.int64)
-    np.add.at(near, np.maximum(centre - longest, 0), 1)
-    np.add.at(near, np.minimum(centre + 1, len(h)), -1)
-    starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    text_of = np.searchsorted(words.first, starts, side="right") - 1
+    item, start = windows_to_try(items, rolling(h, 2), words.first, den)
     best: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for m, ids in items.ids.items():
-        fits = starts + m <= words.first[text_of + 1]
-        start = windows_to_try(hit, starts[fits], m, den)
-        for a in range(0, len(start), 1 << 14):
-            part = start[a : a + (1 << 14)]
-            windows = h[part[:, None] + np.arange(m)]
-            pairs_found = set()
-            for walk in range(walks):
-                own, key = items.keys[m][walk], cgk_keys(windows, walk, samples)
-                order = np.argsort(own)
-                lo, hi = np.searchsorted(own[order], key), np.searchsorted(own[order], key, side="right")
-                w = np.repeat(np.arange(len(part)), hi - lo)
-                pairs_found.update(zip(w.tolist(), order[ranges(lo, hi - lo)].tolist(), strict=True))
-            if not pairs_found:
-                continue
-            w, i = np.array(sorted(pairs_found)).T
-            for b in range(0, len(w), 1 << 13):
-                distance = edit_distances(windows[w[b : b + (1 << 13)]], items.words[m][i[b : b + (1 << 13)]])
-                for k in np.flatnonzero(distance <= edits(m, den)):
-                    s = int(part[w[b + k]])
-                    text = int(np.searchsorted(words.first, s, side="right")) - 1
-                    entry = (int(distance[k]), s - int(words.first[text]))
-                    place = (text, m, int(i[b + k]))
-                    best[place] = min(best.get(place, entry), entry)
+    for m in np.unique(items.length[item]).tolist():
+        of_length = np.flatnonzero(items.length[item] == m)
+        for a in range(0, len(of_length), 1 << 11):
+            part = of_length[a : a + (1 << 11)]
+            row, at = items.row[item[part]], start[part]
+            windows = h[at[:, None] + np.arange(m)]
+            alike = (items.keys[m][:, row] == cgk_keys(windows, items.plans[m])).any(axis=0)
+            row, at, windows = row[alike], at[alike], windows[alike]
+            distance = edit_distances(windows, items.words[m][row])
+            text = np.searchsorted(words.first, at, side="right") - 1
+            for k in np.flatnonzero(distance <= m // den).tolist():
+                place, entry = (int(text[k]), m, int(row[k])), (int(distance[k]), int(at[k] - words.first[text[k]]))
+                best[place] = min(best.get(place, entry), entry)
     return [(text, int(items.ids[m][i]), s, m, d) for (text, m, i), (d, s) in best.items()]
 
 
-def _search(shared, arrow: pa.Schema, den: int, walks: int, samples: int):
+def _search(shared, arrow: pa.Schema, den: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for rows, data, row_start in text_batches(batches, SLICE):
-            found = _matches(items, data, row_start, den, walks, samples)
+            found = _matches(items, data, row_start, den)
             if found:
                 ids = ids_of(rows)
                 out = [(int(ids[t]), item, s, m, d, 1 - d / m) for t, item, s, m, d in found]
