@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from tessera.llm.words import ranges
 
 #: Words whose ids a worker keeps.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 _UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
