@@ -55,7 +55,7 @@ def age_decade(number: Column) -> Column:
 
 
 def age_band(c: Column) -> Column:
-    """Released band code, else an exact age put into its band; NULL when neither."""
+    """Released band code, else an exact age put into its band; NULL when neither. A NULL input is missing."""
     code = normalise_code(c)
     years = F.floor(F.trim(c).try_cast("double"))
     exact = (
@@ -63,7 +63,7 @@ def age_band(c: Column) -> Column:
         .when(years.between(20, 89), age_decade(years))
         .when(years.between(90, 120), F.lit("90+"))
     )
-    return F.when(code.isin(*UNSTATED), F.lit(MISSING)).otherwise(
+    return F.when(c.isNull() | code.isin(*UNSTATED), F.lit(MISSING)).otherwise(
         F.coalesce(F.try_element_at(literal_map(AGE_BANDS), code), exact)
     )
 

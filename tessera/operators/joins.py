@@ -113,7 +113,7 @@ def violations(checks: Sequence[tuple[str, DataFrame, Column]]) -> DataFrame:
 def key_contract(
     units: DataFrame, pairs: DataFrame, unit: str, label: str, split: str, target: str
 ) -> DataFrame:
-    """Contracts of a frozen cohort with its pairs; every count is 0 when all hold."""
+    """Contracts of a frozen cohort with its pairs; every count is 0 when all hold. A NULL label or split is a violation."""
     members = pair_members(pairs).join(units.select(F.col(unit).alias("member_id"), label, split), "member_id", "left")
     repeats = members.groupBy("member_id").agg(F.count(F.lit(1)).alias("n"))
     return violations(
@@ -121,8 +121,8 @@ def key_contract(
             ("unit_repeated", duplicated_keys(units, [unit]), F.lit(True)),
             ("unit_blank", units, F.col(unit).isNull()),
             ("member_unknown", members, F.col(label).isNull()),
-            ("member_label_disagrees", members, F.col(label) != F.col("member_label")),
-            ("member_outside_target", members, F.col(split) != F.lit(target)),
+            ("member_label_disagrees", members, ~F.col(label).eqNullSafe(F.col("member_label"))),
+            ("member_outside_target", members, ~F.col(split).eqNullSafe(F.lit(target))),
             ("member_in_several_pairs", repeats, F.col("n") > 1),
         ]
     )

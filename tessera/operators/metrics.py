@@ -30,8 +30,11 @@ def auroc(
     """Area under the ROC curve with average-rank ties; NULL where a cell has one class.
 
     Scores are reduced to one row per (cell, score); the negatives below each score are a
-    running total by score range, so one cell may hold all rows.
+    running total by score range, so one cell may hold all rows. A NULL or NaN score is refused
+    when the rows are computed.
     """
+    unfit = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    pred = pred.withColumn(score, F.when(unfit, F.raise_error(F.lit("a score is NULL or NaN"))).otherwise(F.col(score)))
     w = F.col(weight) if weight else F.lit(1)
     y = F.col(label)
     levels = pred.groupBy(*cell, score).agg(
