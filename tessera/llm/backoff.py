@@ -1,13 +1,18 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Every text is exploded into its distinct n-grams with their counts. Tables of corpus counts come from one aggregate per
-order, partitioned by the n-gram's hash; they keep n-grams that occur at least ``least`` times. The exploded n-grams are
-joined to the tables of their order and of their context, those not found back off to the next lower order at a factor
+Texts are taken in slices. Every slice is exploded into its distinct n-grams of all orders, told apart by 64-bit hashes, with
+their counts. The n-gram count tables are partitioned by ranges of the hash: a slice sends each range its n-grams, sorted and
+counted, so a frequent n-gram is one entry per slice; the range adds the counts of all slices and answers each slice with the
+totals of its own n-grams. Answers are joined to the slices, n-grams not found back off to the next lower order at a factor
 ``alpha``, and the logarithms are summed per document.
+
+The slices are a stored table, so a lost executor repeats single slices and ranges and finds the same slices again. A range holds
+the n-grams of about ``BLOCK_TEXT`` bytes of text at any size of the corpus.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,49 +21,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, given_id, ids_of, plain, query, stored, table, text_batches
-from tessera.llm.words import SLICE, as_signed, lower_ascii, mix, rolling, space_words
+from tessera.llm.words import SLICE, Words, lower_ascii, mix, rolling, space_words
 
+#: Bytes of text behind one hash range of the count tables.
+BLOCK_TEXT = 48 << 20
 
-def exploded(docs: DataFrame, order: int) -> DataFrame:
-    """Distinct words of each document with what precedes them: doc (hash), g1 .. g<order>, tf.
+#: Bytes of a row group of the slices' table, which bounds what a reader decodes at once.
+_ROW_GROUP = 16 << 20
 
-    g<n> is the hash of the last n words (null where the text has fewer before), so a row holds an n-gram and all its shorter ends;
-    c<n> is the hash of the first n - 1 of those n words, the context.
-    """
-    names = [f"g{n}" for n in range(1, order + 1)] + [f"c{n}" for n in range(2, order + 1)]
-    schema, arrow = arrow_schema("doc long, " + ", ".join(f"{n} long" for n in names) + ", tf long")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def to_bytes(values: np.ndarray) -> bytes:
+    """64-bit values as eight byte planes: the high bytes of small values compress away."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_bytes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def slices(docs: DataFrame) -> DataFrame:
+    """Runs of texts, one row each: slice (random), n_words, n_bytes, ids, row_start and data (bytes, A-Z in lower case)."""
+    schema, arrow = arrow_schema("slice long, n_words long, n_bytes long, ids binary, row_start binary, data binary")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, row_start in text_batches(batches, SLICE):
-            words = space_words(lower_ascii(data), row_start)
-            h = words.hashes()
-            text = words.text_of_word()
-            place = np.arange(len(h)) - words.first[text]
-            grams = {n: rolling(h, n) for n in range(1, order + 1)}
-            full = np.minimum(place + 1, order)
-            # the widest n-gram that ends at each word tells its row
-            widest = np.zeros(len(h), np.uint64)
-            for n in range(1, order + 1):
-                at = np.flatnonzero(full == n)
-                widest[at] = grams[n][at - n + 1]
-            order_of = np.lexsort((widest, text))
-            new = np.ones(len(h), bool)
-            a, b = order_of[1:], order_of[:-1]
-            new[1:] = (text[a] != text[b]) | (widest[a] != widest[b])
-            keep = order_of[new]
-            counts = np.diff(np.append(np.flatnonzero(new), len(h)))
-            doc = rows.column(rows.schema.get_field_index("doc")).to_numpy(zero_copy_only=False)[text[keep]]
-            columns = [pa.array(doc)]
-            for name in names:
-                n, back = int(name[1:]), int(name[1:]) - 1
-                source = grams[n if name[0] == "g" else n - 1]
-                fits = full[keep] >= n
-                values = as_signed(mix(source[np.maximum(keep - back, 0)] + np.uint64(1)))
-                columns.append(pa.array(values, mask=~fits))
-            columns.append(pa.array(counts, pa.int64()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    return docs.mapInArrow(explode, schema)
+            data = lower_ascii(data)
+            n = int(space_words(data, row_start).first[-1])
+            row = (uuid.uuid4().int >> 65, n, len(data), ids_of(rows).tobytes(), row_start.astype(np.int64).tobytes(), data.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(cut, schema)
+
+
+def words_of(batch: pa.RecordBatch, r: int) -> Words:
+    data = np.frombuffer(batch.column("data")[r].as_py(), np.uint8)
+    return space_words(data, np.frombuffer(batch.column("row_start")[r].as_py(), np.int64))
+
+
+def ngrams(words: Words, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For n = 1 .. order the last words of all n-grams, and the hashes of all of them end to end."""
+    h = words.hashes()
+    place = np.arange(len(h)) - words.first[words.text_of_word()]
+    last = [np.flatnonzero(place >= n - 1) for n in range(1, order + 1)]
+    keys = [mix(rolling(h, n)[at - n + 1] + np.uint64(n)) for n, at in enumerate(last, 1)]
+    return last, np.concatenate(keys)
+
+
+def range_totals(parts: DataFrame, order: int, blocks: int) -> DataFrame:
+    """slice, block and totals: for each slice's distinct n-grams of a hash range, ascending, how often they occur in all slices."""
+    send, send_arrow = arrow_schema("slice long, block int, keys binary, counts binary")
+    schema, arrow = arrow_schema("slice long, block int, totals binary")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, counts = np.unique(ngrams(words_of(batch, r), order)[1], return_counts=True)
+                if not len(keys):
+                    continue
+                block = ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+                steps = np.diff(keys, prepend=np.uint64(0))
+                number = batch.column("slice")[r].as_py()
+                out = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    own = steps[a:b].copy()
+                    own[0] = keys[a]
+                    out.append((number, int(block[a]), to_bytes(own), to_bytes(counts[a:b].astype(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), send_arrow, strict=True)], schema=send_arrow)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for number, block, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                asked.setdefault(block, []).append((number, np.cumsum(from_bytes(keys), dtype=np.uint64), from_bytes(counts)))
+        for block, parts in asked.items():
+            keys = np.concatenate([k for _, k, _ in parts])
+            order_of = np.argsort(keys)
+            keys = keys[order_of]
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sums = np.add.reduceat(np.concatenate([c for _, _, c in parts])[order_of], new)
+            totals = np.empty(len(keys), np.uint64)
+            totals[order_of] = np.repeat(sums, np.diff(np.append(new, len(keys))))
+            at = 0
+            for number, own, _ in parts:
+                row = (number, block, to_bytes(totals[at : at + len(own)]))
+                at += len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
+
+    return parts.select("slice", "row_start", "data").mapInArrow(ask, send).repartitionById(blocks, F.col("block")).mapInArrow(add, schema)
 
 
 def backoff_scores(
@@ -73,38 +124,39 @@ def backoff_scores(
     Words are runs of characters other than blanks and \\x09-\\x0D, with A-Z in lower case. A null or empty text
     scores 0. Null ids are kept. An empty table gives an empty table.
     """
-    rows = plain(docs, id_col, text_col).withColumn("doc", F.xxhash64("id", "text"))
-    grams = stored(exploded(rows.select("doc", "text"), order))
-    total = grams.agg(F.sum("tf")).first()[0] or 1
-    tables = {
-        n: grams.where(F.col(f"g{n}").isNotNull()).groupBy(f"g{n}").agg(F.sum("tf").alias("n")).where(F.lit(n == 1) | (F.col("n") >= least))
-        for n in range(1, order + 1)
-    }
-    tables = {n: stored(t) for n, t in tables.items()}
-    # equal n-grams of equal texts are one row per text; each open row asks for its n-gram, then for its context
-    open_rows, parts = grams, []
-    for n in range(order, 1, -1):
-        found = open_rows.join(tables[n].withColumnRenamed("n", "_n"), f"g{n}", "left")
-        hits = found.where("_n IS NOT NULL")
-        context = tables[n - 1].select(F.col(f"g{n - 1}").alias(f"c{n}"), F.col("n").alias("_c"))
-        ratio = F.log(F.lit(alpha)) * (order - n)
-        # a context occurs at least as often as the n-gram, so it is in its table
-        parts.append(hits.groupBy("doc").agg(F.sum(F.col("tf") * (F.log("_n") + ratio)).alias("s")))
-        asked = hits.groupBy("doc", f"c{n}").agg(F.sum("tf").alias("tf"))
-        parts.append(asked.join(context, f"c{n}").groupBy("doc").agg(F.sum(-F.col("tf") * F.log("_c")).alias("s")))
-        open_rows = found.where("_n IS NULL").drop("_n", f"g{n}")
-    # a row whose text has no word before it backs off over all orders like any other
-    words = open_rows.groupBy("doc", "g1").agg(F.sum("tf").alias("tf")).join(tables[1], "g1")
-    parts.append(words.groupBy("doc").agg(F.sum(F.col("tf") * (F.log("n") - F.log(F.lit(float(total))) + F.log(F.lit(alpha)) * (order - 1))).alias("s")))
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
-    sums = sums.groupBy("doc").agg(F.sum("s").alias("s"))
-    sizes = grams.groupBy("doc").agg(F.sum("tf").alias("w"))
-    copies = rows.groupBy("doc", "id").agg(F.count(F.lit(1)).alias("k"))
-    out = rows.select("id", "doc").join(copies.select("doc", "k"), "doc").join(sums, "doc", "left").join(sizes, "doc", "left")
-    words, score = F.coalesce(F.col("w") / F.col("k"), F.lit(0)).cast("long"), F.coalesce(F.col("s") / F.col("k"), F.lit(0.0))
-    return out.select(given_id(id_col), words.alias("n_words"), score.alias("score"), F.when(words > 0, score / words).alias("mean_score"))
+    parts = stored(slices(plain(docs, id_col, text_col)), **{"compression": "zstd", "parquet.block.size": _ROW_GROUP})
+    size, total = parts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    answers = range_totals(parts, order, 1 + size // BLOCK_TEXT)
+    answers = answers.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("block", "totals"))).alias("answers"))
+    joined = parts.join(answers, "slice", "left").select("ids", "row_start", "data", F.col("answers.totals").alias("totals"))
+    schema, arrow = arrow_schema("id long, n_words long, score double")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                words = words_of(batch, r)
+                logs = np.zeros(int(words.first[-1]))
+                if len(logs):
+                    last, keys = ngrams(words, order)
+                    which = np.unique(keys, return_inverse=True)[1]
+                    count = np.concatenate([from_bytes(t) for t in batch.column("totals")[r].as_py()])[which].astype(np.float64)
+                    below, at = np.zeros(0), 0
+                    for n, ends in enumerate(last, 1):
+                        own = np.zeros(len(logs))
+                        own[ends] = count[at : at + len(ends)]
+                        at += len(ends)
+                        if n == 1:
+                            logs = np.log(own) - np.log(total) + np.log(alpha) * (order - 1)
+                        else:
+                            hit = np.flatnonzero(own >= least)
+                            logs[hit] = np.log(own[hit]) - np.log(below[hit - 1]) + np.log(alpha) * (order - n)
+                        below = own
+                sums = np.bincount(words.text_of_word(), logs, len(words.counts))
+                columns = [np.frombuffer(batch.column("ids")[r].as_py(), np.int64), words.counts, sums]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    scored = joined.mapInArrow(score, schema)
+    return scored.select(given_id(id_col), "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))
 
 
 @query("op4_stupid_backoff")

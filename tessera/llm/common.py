@@ -87,10 +87,10 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str | int) -> DataFrame:
     """The rows as a compressed table in the shared folder, computed once. For tables too large for a plain checkpoint."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
