@@ -41,22 +41,23 @@ def from_bytes(data: bytes) -> np.ndarray:
 
 
 def slices(docs: DataFrame) -> DataFrame:
-    """Runs of texts, one row each: slice (random), n_words, n_bytes, ids, row_start and data (bytes, A-Z in lower case)."""
+    """Runs of texts, one row each: slice (random), n_words, n_bytes, ids, row_start and data (compressed bytes, A-Z in lower case)."""
     schema, arrow = arrow_schema("slice long, n_words long, n_bytes long, ids binary, row_start binary, data binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, row_start in text_batches(batches, SLICE):
             data = lower_ascii(data)
             n = int(space_words(data, row_start).first[-1])
-            row = (uuid.uuid4().int >> 65, n, len(data), ids_of(rows).tobytes(), row_start.astype(np.int64).tobytes(), data.tobytes())
+            row = (uuid.uuid4().int >> 65, n, len(data), ids_of(rows).tobytes(), row_start.astype(np.int64).tobytes(), pa.compress(data.tobytes(), "zstd", asbytes=True))
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
 
     return docs.mapInArrow(cut, schema)
 
 
 def words_of(batch: pa.RecordBatch, r: int) -> Words:
-    data = np.frombuffer(batch.column("data")[r].as_py(), np.uint8)
-    return space_words(data, np.frombuffer(batch.column("row_start")[r].as_py(), np.int64))
+    row_start = np.frombuffer(batch.column("row_start")[r].as_py(), np.int64)
+    data = pa.decompress(batch.column("data")[r].as_py(), int(row_start[-1]), "zstd")
+    return space_words(np.frombuffer(data, np.uint8), row_start)
 
 
 def ngrams(words: Words, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -124,7 +125,7 @@ def backoff_scores(
     Words are runs of characters other than blanks and \\x09-\\x0D, with A-Z in lower case. A null or empty text
     scores 0. Null ids are kept. An empty table gives an empty table.
     """
-    parts = stored(slices(plain(docs, id_col, text_col)), **{"compression": "zstd", "parquet.block.size": _ROW_GROUP})
+    parts = stored(slices(plain(docs, id_col, text_col)), **{"parquet.block.size": _ROW_GROUP})
     size, total = parts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     answers = range_totals(parts, order, 1 + size // BLOCK_TEXT)
     answers = answers.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("block", "totals"))).alias("answers"))
