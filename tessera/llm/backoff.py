@@ -24,7 +24,7 @@ from tessera.llm.common import arrow_schema, given_id, ids_of, plain, query, sto
 from tessera.llm.words import SLICE, Words, lower_ascii, mix, rolling, space_words
 
 #: Bytes of text behind one hash range of the count tables.
-BLOCK_TEXT = 48 << 20
+BLOCK_TEXT = 16 << 20
 
 #: Bytes of a row group of the slices' table, which bounds what a reader decodes at once.
 _ROW_GROUP = 16 << 20
@@ -96,18 +96,20 @@ def range_totals(parts: DataFrame, order: int, blocks: int) -> DataFrame:
         for batch in batches:
             for number, block, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 asked.setdefault(block, []).append((number, np.cumsum(from_bytes(keys), dtype=np.uint64), from_bytes(counts)))
-        for block, parts in asked.items():
-            keys = np.concatenate([k for _, k, _ in parts])
+        for block in list(asked):
+            slices_of, keys_of, counts_of = zip(*asked.pop(block), strict=True)
+            sizes = [len(k) for k in keys_of]
+            keys = np.concatenate(keys_of)
+            del keys_of
             order_of = np.argsort(keys)
             keys = keys[order_of]
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sums = np.add.reduceat(np.concatenate([c for _, _, c in parts])[order_of], new)
-            totals = np.empty(len(keys), np.uint64)
-            totals[order_of] = np.repeat(sums, np.diff(np.append(new, len(keys))))
-            at = 0
-            for number, own, _ in parts:
-                row = (number, block, to_bytes(totals[at : at + len(own)]))
-                at += len(own)
+            del keys
+            sums = np.add.reduceat(np.concatenate(counts_of)[order_of], new)
+            totals = np.empty(len(order_of), np.uint64)
+            totals[order_of] = np.repeat(sums, np.diff(np.append(new, len(order_of))))
+            for number, end, size in zip(slices_of, np.cumsum(sizes).tolist(), sizes, strict=True):
+                row = (number, block, to_bytes(totals[end - size : end]))
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
 
     return parts.select("slice", "row_start", "data").mapInArrow(ask, send).repartitionById(blocks, F.col("block")).mapInArrow(add, schema)
