@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, given_id, ids_of, plain, query, stored, table, text_batches
-from tessera.llm.words import SLICE, Words, lower_ascii, mix, rolling, space_words
+from tessera.llm.words import SLICE, Words, from_bytes, lower_ascii, mix, rolling, space_words, to_bytes
 
 #: Bytes of text behind one hash range of the count tables.
 BLOCK_TEXT = 16 << 20
@@ -30,16 +30,6 @@ BLOCK_TEXT = 16 << 20
 _ROW_GROUP = 16 << 20
 
 
-def to_bytes(values: np.ndarray) -> bytes:
-    """64-bit values as eight byte planes: the high bytes of small values compress away."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_bytes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
-
-
 def slices(docs: DataFrame) -> DataFrame:
     """Runs of texts, one row each: slice (random), n_words, n_bytes, ids, row_start and data (compressed bytes, A-Z in lower case)."""
     schema, arrow = arrow_schema("slice long, n_words long, n_bytes long, ids binary, row_start binary, data binary")
