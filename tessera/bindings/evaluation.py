@@ -712,16 +712,33 @@ def _(t):
 # ---- decision rules ----
 
 
+def branch_sql(corr, low, high, margin):
+    return (
+        f"CASE WHEN {corr} <= 0 THEN 'alignment_correspondence_not_established' WHEN {low} > 0 THEN 'correspondence_and_matched_transfer_gain' "
+        f"WHEN {low} >= -{margin} AND {high} <= {margin} THEN 'correspondence_without_matched_transfer_equivalence_compatible' "
+        "ELSE 'correspondence_gain_but_matched_transfer_inconclusive' END"
+    )
+
+
 @query(
     "g5_interpretation_branch",
-    f"""{HB}, pv AS (SELECT a.rep, a.value-b.value AS value FROM hv a JOIN hv b ON a.rep=b.rep AND a.arm='fusion' AND b.arm='audio'), i AS ({ci_sql('pv', '')})
-    SELECT CASE WHEN ci_low <= 0 THEN 'correspondence_not_established' WHEN ci_low > 0 THEN 'correspondence_and_transfer_gain' END AS branch, CASE WHEN ci_low > 0 THEN 'SIGNAL' WHEN ci_high < 0 THEN 'REVERSED' ELSE 'inconclusive' END AS word FROM i""",
+    f"""{HB}, pv AS (SELECT a.rep, a.value-b.value AS value FROM hv a JOIN hv b ON a.rep=b.rep AND a.arm='fusion' AND b.arm='audio'), i AS ({ci_sql('pv', '')}), w AS (SELECT *, ci_high - ci_low AS w FROM i)
+    SELECT {branch_sql('ci_low', 'ci_low', 'ci_high', 0.02)} AS branch, {branch_sql('-w', '-w', 'w', 1.0)} AS branch_lost, {branch_sql('w', 'w', 'w', 1.0)} AS branch_gain, {branch_sql('w', '-w', 'w', 1.0)} AS branch_same, {branch_sql('w', '-w', 'w', 0.0)} AS branch_open,
+    CASE WHEN ci_low > 0 THEN 'SIGNAL' WHEN ci_high < 0 THEN 'REVERSED' ELSE 'inconclusive' END AS word FROM w""",
 )
 def _(t):
     low, high = F.col("ci_low"), F.col("ci_high")
     i = ci(bootstrap.paired_replicates(auroc_replicates(t), "arm", "fusion", "audio"), [])
-    branch = gates.interpretation(low, (low, high), (low, high), 0.02, 0.01)
-    return i.select(branch.alias("branch"), gates.signal_word(low, high, F.lit(True)).alias("word"))
+    w = high - low  # intervals of the measured width on either side of zero reach every branch
+    branch = lambda corr, lo, hi, m: gates.interpretation(corr, (lo, hi), (lo, hi), m, m)
+    return i.select(
+        branch(low, low, high, 0.02).alias("branch"),
+        branch(-w, -w, w, 1.0).alias("branch_lost"),
+        branch(w, w, w, 1.0).alias("branch_gain"),
+        branch(w, -w, w, 1.0).alias("branch_same"),
+        branch(w, -w, w, 0.0).alias("branch_open"),
+        gates.signal_word(low, high, F.lit(True)).alias("word"),
+    )
 
 
 @query(

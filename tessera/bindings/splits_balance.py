@@ -107,7 +107,7 @@ def _(t):
     FROM b, m""",
 )
 def _(t):
-    return splits.stratified_folds(t.units(), "unit_id", "y", "source", 5, "fold").select("unit_id", "fold")
+    return splits.stratified_folds(t.units(), "unit_id", "y", "source", 5, "fold", required=True).select("unit_id", "fold")
 
 
 @query(
@@ -538,7 +538,7 @@ def _(t):
     c, pairs = cust_pairs(t)
     wide = balance.pair_values(pairs, c, "unit_id", ["balance", "nation"])
     n = pairs.count()
-    return balance.trim_pairs(wide, ["balance"], ["nation"], n // 2, per_round=max(1, n // 16)).select("pair_id")
+    return balance.trim_pairs(wide, ["balance"], ["nation"], n - 12, to_minimum=True).select("pair_id")
 
 
 @query(

@@ -29,8 +29,11 @@ def hash_below(hex_col: Column, n: Column) -> Column:
     return F.pmod(hash_int(hex_col), n)
 
 
-def poisson_weight(unit: Column, most: int = 12) -> Column:
-    """Poisson(1) multiplicity from a uniform draw, by inverting the distribution function."""
+def poisson_weight(unit: Column, most: int = 17) -> Column:
+    """Poisson(1) multiplicity from a uniform draw, by inverting the distribution function.
+
+    Multiplicities above 17 lie beyond the resolution of a draw of 48 bits.
+    """
     term = math.exp(-1.0)
     cumulative = term
     weight = F.lit(0)

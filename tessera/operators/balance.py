@@ -182,12 +182,12 @@ def trim_pairs(
     max_smd: float = 0.12,
     max_difference: float = 0.08,
     to_minimum: bool = False,
-    per_round: int | None = 1,
+    per_round: int = 1,
 ) -> DataFrame:
     """Remove the pair whose removal helps most until balance holds (or exactly ``minimum`` remain).
 
-    ``per_round=1`` is the exact greedy path. ``per_round=None`` removes one fiftieth of the pairs
-    a round, for large tables. Each round works on a checkpointed table.
+    ``per_round=1`` is the exact greedy path. A larger number removes that many of the best pairs before they are judged
+    anew; it is a constant of the caller and never follows from the table's size. Each round works on a checkpointed table.
     """
     current = cut_lineage(wide)
     n = current.count()
@@ -197,7 +197,7 @@ def trim_pairs(
             row = balance_summary(sides, "side", continuous, categorical, (), max_smd, max_difference).first()
             if row["objective"] is None or row["objective"] <= 1.0:
                 break
-        k = min(per_round or max(1, n // 50), n - minimum)
+        k = min(per_round, n - minimum)
         judged = removal_objectives(current, continuous, categorical, max_smd, max_difference)
         dropped = judged.orderBy("objective_without", "pair_id").limit(k).select("pair_id")
         current = cut_lineage(current.join(dropped, "pair_id", "left_anti"))

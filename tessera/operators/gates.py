@@ -89,15 +89,20 @@ def support_quantiles(judged: DataFrame, label: str, counts: Sequence[str]) -> D
     return quantile_summary(long, "value", ["scope", "count"])
 
 
+# The words of the interpretation branches.
+BRANCHES = (
+    "alignment_correspondence_not_established",
+    "correspondence_and_matched_transfer_gain",
+    "correspondence_without_matched_transfer_equivalence_compatible",
+    "correspondence_gain_but_matched_transfer_inconclusive",
+)
+
+
 def interpretation(corr_low: Column, auc: tuple[Column, Column], nll: tuple[Column, Column], auc_margin: float, nll_margin: float) -> Column:
     """Branch from the interval of the correspondence gain and the two transfer intervals."""
     inside = lambda ci, m: (ci[0] >= -m) & (ci[1] <= m)
-    return (
-        F.when(corr_low <= 0, F.lit("correspondence_not_established"))
-        .when((auc[0] > 0) & (nll[0] > 0), F.lit("correspondence_and_transfer_gain"))
-        .when(inside(auc, auc_margin) & inside(nll, nll_margin), F.lit("correspondence_with_equivalent_transfer"))
-        .otherwise(F.lit("correspondence_with_inconclusive_transfer"))
-    )
+    lost, gain, same, open_ = (F.lit(b) for b in BRANCHES)
+    return F.when(corr_low <= 0, lost).when((auc[0] > 0) & (nll[0] > 0), gain).when(inside(auc, auc_margin) & inside(nll, nll_margin), same).otherwise(open_)
 
 
 def signal_word(low: Column, high: Column, same_sign: Column) -> Column:
@@ -122,22 +127,23 @@ def run_manifest_audit(
     """Violations of a training-run table ``(arm, seed, init_hash, order_hash, first_loss, last_loss, n_steps)``.
 
     The expected set is the product of the two listed settings. Arms of one seed must share
-    initial weights and data order.
+    initial weights and data order. A missing hash, step count or loss, or a loss that is not finite, is a violation.
     """
     cells = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(s).alias("seed")) for a in arms for s in seeds])
     expected = runs.sparkSession.range(1).select(F.explode(cells).alias("e")).select("e.*")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("check"), "n_violations")
-    per_seed = runs.groupBy("seed").agg(
-        (F.min("init_hash") != F.max("init_hash")).alias("init"), (F.min("order_hash") != F.max("order_hash")).alias("order")
-    )
+    differs = lambda c: (F.count(c) < F.count(F.lit(1))) | ~F.min(c).eqNullSafe(F.max(c))
+    per_seed = runs.groupBy("seed").agg(differs("init_hash").alias("init"), differs("order_hash").alias("order"))
+    finite = [F.abs(F.col(c).cast("double")) < float("inf") for c in ("first_loss", "last_loss")]
+    decreased = finite[0] & finite[1] & (F.col("last_loss") < F.col("first_loss"))
     parts = [
         n(expected.join(runs, ["arm", "seed"], "left_anti"), "run_missing"),
         n(runs.join(expected, ["arm", "seed"], "left_anti"), "run_unexpected"),
         n(runs.groupBy("arm", "seed").count().where("count > 1"), "run_repeated"),
         n(per_seed.where("init"), "init_differs_between_arms"),
         n(per_seed.where("order"), "order_differs_between_arms"),
-        n(runs.where(F.col("n_steps") != steps), "schedule_differs"),
-        n(runs.where(F.col("last_loss") >= F.col("first_loss")), "loss_not_decreased"),
+        n(runs.where(~F.col("n_steps").eqNullSafe(F.lit(steps))), "schedule_differs"),
+        n(runs.where(~F.coalesce(decreased, F.lit(False))), "loss_not_decreased"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

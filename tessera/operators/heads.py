@@ -18,7 +18,7 @@ from tessera.operators.joins import same_key_join
 from tessera.session import cut_lineage
 
 # The grid of inverse regularisation strengths.
-C_GRID = (0.001, 0.01, 0.1, 1.0, 10.0)
+C_GRID = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
 
 
 def assemble_features(df: DataFrame, parts: Sequence[Column], out: str = "features") -> DataFrame:

@@ -8,18 +8,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranked import _keyed
-
 
 class ContractError(ValueError):
     """A key, coverage or vocabulary contract does not hold."""
 
 
 def same_key_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys are equal to each other; the key columns of ``left`` are kept."""
-    a, keys = _keyed(left, on)
-    b, _ = _keyed(right, on)
-    return a.join(b.drop(*on), keys, how).drop(*keys)
+    """Equi-join in which NULL keys are equal to each other; the key columns of ``left`` are kept.
+
+    Keys of different types meet in their common type, so 1 and 1.0 are equal.
+    """
+    other = {c: f"__same_{c}" for c in on}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in other.items()])
+    return left.join(right.withColumnsRenamed(other), same, how).drop(*other.values())
 
 
 BROADCAST_ROWS = 100_000

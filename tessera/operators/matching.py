@@ -118,6 +118,11 @@ def _cells(df: DataFrame, spec: MatchSpec, label: str) -> DataFrame:
     return cut_lineage(df.groupBy(label, *spec.equal, *spec.hamming, *num).agg(F.count(F.lit(1)).alias("__c")))
 
 
+def _finite(v: Column) -> Column:
+    """False for NULL, NaN and infinities, which lie within no caliper."""
+    return F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False))
+
+
 def partner_counts(units: DataFrame, label: str, spec: MatchSpec, out: str = "n_partner") -> DataFrame:
     """Per unit, the number of opposite-label units that satisfy ``spec``. Exact, and no pairs are formed.
 
@@ -138,13 +143,13 @@ def partner_counts(units: DataFrame, label: str, spec: MatchSpec, out: str = "n_
     else:
         v = F.col(spec.numeric).cast("double")
         band = F.lit(float(spec.caliper))
-        held = pool.where(v.isNotNull()).groupBy(*keys, v.alias("__at")).agg(F.sum("__c").alias("__w")).withColumn("__kind", F.lit(1))
-        ends = asks.where(v.isNotNull()).select(
+        held = pool.where(_finite(v)).groupBy(*keys, v.alias("__at")).agg(F.sum("__c").alias("__w")).withColumn("__kind", F.lit(1))
+        ends = asks.where(_finite(v)).select(
             *keys, F.explode(F.array(F.struct((v - band).alias("__at"), F.lit(0).alias("__kind")), F.struct((v + band).alias("__at"), F.lit(2).alias("__kind")))).alias("e")
         ).select(*keys, "e.*").distinct().withColumn("__w", F.lit(0).cast("long"))
         steps = running_total(held.unionByName(ends), keys, "__at", {"__w": F.col("__w")}, then=["__kind"])
         marks = steps.where(F.col("__kind") != 1).select(*keys, "__at", "__kind", F.col("__w_before").alias("__cum"))
-        asked = asks.where(v.isNotNull()).withColumn("e", F.explode(F.array(F.struct((v - band).alias("__at"), F.lit(0).alias("__kind")), F.struct((v + band).alias("__at"), F.lit(2).alias("__kind"))))).select("*", "e.*").drop("e")
+        asked = asks.where(_finite(v)).withColumn("e", F.explode(F.array(F.struct((v - band).alias("__at"), F.lit(0).alias("__kind")), F.struct((v + band).alias("__at"), F.lit(2).alias("__kind"))))).select("*", "e.*").drop("e")
         hits = same_key_join(asked, marks, [*keys, "__at", "__kind"]).withColumn(
             "__hit", F.col("__coef") * F.when(F.col("__kind") == 2, F.col("__cum")).otherwise(-F.col("__cum"))
         )
@@ -161,7 +166,7 @@ def nearest_partner(units: DataFrame, label: str, spec: MatchSpec, scale: float)
     differ, the nearest numeric value is an as-of lookup; the smallest gap / scale + subset size
     over all subsets is the exact minimum. The expansion is 2^k per covariate cell.
     """
-    cells = _cells(units.where(F.col(spec.numeric).isNotNull()), spec, label).drop("__c")
+    cells = _cells(units.where(_finite(F.col(spec.numeric))), spec, label).drop("__c")
     masks = _masks(spec.hamming, len(spec.hamming))
     wide = _masked(cells, spec.hamming, masks, [0] * len(masks))
     keys = ["__side", *spec.equal, "__key"]

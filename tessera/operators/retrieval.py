@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import cosine, dot, normalised
+from tessera.operators.joins import ContractError, require_unique
 from tessera.operators.ranked import ranked_by_value
 from tessera.session import cut_lineage
 
@@ -32,6 +33,12 @@ def candidate_bank(df: DataFrame, profile: str, vector: str | None = None) -> Da
     return df.groupBy(key.alias("profile_id"), profile).agg(*aggs)
 
 
+def _no_direction(vector: str) -> Column:
+    """1 for a vector that is NULL, of length zero or not finite, else 0."""
+    length = dot(F.col(vector), F.col(vector))
+    return 1 - F.coalesce((length > 0) & (length < float("inf")), F.lit(False)).cast("long")
+
+
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     m = np.asarray(vectors.tolist(), dtype=np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -83,7 +90,8 @@ def cosine_ranks(
     """Rank of the gold candidate per query and condition: ``(query_id, gold, condition, rank, average_rank, n_candidates)``.
 
     ``rank`` counts a tied candidate with a smaller id as better; ``average_rank`` counts half of
-    all ties. Under condition ``g`` (a column of ``queries``) the candidates are those that are gold
+    all ties. Query and bank ids must be unique, every gold must be in the bank and every vector must have a finite length
+    above zero, else ``ContractError``. Under condition ``g`` (a column of ``queries``) the candidates are those that are gold
     for some query with the same value. A bank within ``broadcast_bytes`` is broadcast and scored by
     matrix products per Arrow batch. A larger one is cut into blocks; query blocks meet candidate
     blocks in a co-group of bounded size and the partial counts are added up.
@@ -102,10 +110,20 @@ def cosine_ranks(
         F.col(vector).cast("array<double>").alias("qv"),
         *[F.col(n).cast("string").alias(n) for n in conditions],
     )
+    require_unique(queries, [query_id], "queries")
+    require_unique(bank, [bank_id], "bank")
     golds = bank.select(F.col(bank_id).alias("gold"), F.col(bank_vector).alias("__gv"))
-    asks = asks.join(golds, "gold").withColumn("gold_score", cosine(F.col("qv"), F.col("__gv"))).drop("__gv")
+    asks = asks.join(golds, "gold", "left")
+    state = asks.agg(F.sum(F.col("__gv").isNull().cast("long")).alias("no_gold"), F.sum(_no_direction("qv")).alias("flat")).first()
+    asks = asks.withColumn("gold_score", cosine(F.col("qv"), F.col("__gv"))).drop("__gv")
     held = cut_lineage(held)
-    size = held.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cv")).alias("d")).first()
+    size = held.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("cv")).alias("d"), F.sum(_no_direction("cv")).alias("flat")
+    ).first()
+    if state["no_gold"]:
+        raise ContractError(f"{state['no_gold']} queries have a gold candidate that is not in the bank")
+    if state["flat"] or size["flat"]:
+        raise ContractError("a vector is missing, has no length, or is not finite")
     names = list(conditions)
     if (size["n"] or 0) * (size["d"] or 0) * 8 <= broadcast_bytes:
         whole = queries.sparkSession.sparkContext.broadcast(held.toPandas())

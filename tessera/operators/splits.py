@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import half_even, salted_sha
+from tessera.operators.joins import ContractError
 from tessera.operators.ranked import ranked
 
 
@@ -62,12 +63,13 @@ def signature_of(df: DataFrame, unit: str, who: str, what: str) -> DataFrame:
 
 
 def stratified_folds(
-    df: DataFrame, unit: str, label: str, source: str | None, k: int, salt: str, out: str = "fold"
+    df: DataFrame, unit: str, label: str, source: str | None, k: int, salt: str, out: str = "fold", required: bool = False
 ) -> DataFrame:
     """Folds ``0..k-1`` stratified by label and source. NULL labels get -1.
 
-    Strata below ``k`` rows are pooled per label; if a label has fewer than ``k`` rows in all,
-    no fold is formed (every row gets -1), because some fold would lack the class.
+    Strata below ``k`` rows are pooled per label. If a label has fewer than ``k`` rows in all, or there is only one
+    label, some fold would lack a class: with ``required`` (primary folds) this is a ``ContractError``, else (probe
+    folds) no fold is formed and every row gets -1.
     """
     parts = [F.col(label).cast("string")]
     parts.append(F.coalesce(F.col(source).cast("string"), F.lit("NA")) if source else F.lit("ALL"))
@@ -77,8 +79,10 @@ def stratified_folds(
         sizes.where(F.col(label).isNotNull())
         .groupBy(label)
         .agg(F.sum("__c").alias("c"))
-        .agg(F.coalesce(F.min("c"), F.lit(0)).alias("c"))
+        .agg(F.when(F.count(F.lit(1)) > 1, F.min("c")).otherwise(0).alias("c"))
     )
+    if required and smallest.first()["c"] < k:
+        raise ContractError(f"a class has fewer than {k} rows")
     pooled = (
         named.join(sizes.where(F.col("__s").isNotNull()).select("__s", "__c"), "__s", "left")
         .withColumn(

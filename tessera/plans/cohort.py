@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import balance, gates, joins, matching, splits
+from tessera.session import cut_lineage
 
 
 def split_and_balance(
@@ -38,10 +39,31 @@ def split_first(
 
 
 def match_first(
-    units: DataFrame, unit: str, label: str, strata: Sequence[str], tiers, salt: str, quotas, rest: str
+    units: DataFrame,
+    unit: str,
+    label: str,
+    strata: Sequence[str],
+    tiers,
+    salt: str,
+    quotas,
+    rest: str,
+    target_pairs: int | None = None,
+    continuous: Sequence[str] = (),
+    categorical: Sequence[str] = (),
 ) -> DataFrame:
-    """Freeze the matched target first, then split only the remaining units."""
+    """Freeze the matched target first, then split only the remaining units.
+
+    With ``target_pairs`` the target is trimmed to exactly so many pairs, for the balance of the fields listed.
+    """
     pairs = matching.match_in_tiers(units, unit, label, tiers, f"{salt}-match")
+    if target_pairs is not None:
+        pairs = cut_lineage(pairs)
+        found = pairs.count()
+        if found < target_pairs:
+            raise joins.ContractError(f"{found} pairs, {target_pairs} wanted")
+        wide = balance.pair_values(pairs, units, unit, [*continuous, *categorical])
+        kept = balance.trim_pairs(wide, continuous, categorical, target_pairs, to_minimum=True)
+        pairs = pairs.join(kept.select("pair_id"), "pair_id", "left_semi")
     members = joins.pair_members(pairs).select(F.col("member_id").alias(unit))
     rest_units = units.join(members, unit, "left_anti")
     s = splits.stratified_split(rest_units, unit, strata, salt, quotas, rest).select(unit, "split")
