@@ -23,6 +23,9 @@ from tessera.llm.common import given_id, materialised, query, table
 _BETWEEN = r"[\x20\x09-\x0D]+"
 VIEWS = ("text", "page")
 
+#: Partitions of the bounded training rows and the pool: every step of a fit is a job over them.
+_TRAINING_PARTS = 8
+
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, page_cols: list[str]) -> DataFrame:
     """Columns of the two views: words, and the page's fields as text (null as its own value) with the length's magnitude."""
@@ -67,8 +70,8 @@ def cotrain(
             sure = models[view].transform(pool).withColumn("p", vector_to_array(f"{view}_p")[1])
             sure = sure.select("id", "text", "page", "p", (F.col("p") > 0.5).cast("int").alias("good"))
             sure = sure.where(F.greatest("p", 1 - F.col("p")) >= confident)
-            kinds = {r["good"]: r["count"] for r in sure.groupBy("good").count().collect()}
-            n = min(most, *(kinds.get(k, 0) for k in (0, 1)))
+            kinds = sure.agg(*(F.count(F.when(F.col("good") == k, 1)) for k in (0, 1))).first()
+            n = min(most, *kinds)
             if n:
                 picks = [sure.where(F.col("good") == k).orderBy(F.desc("p") if k else F.asc("p"), "id").limit(n) for k in (0, 1)]
                 handed[other] = materialised(picks[0].union(picks[1]).select("text", "page", "good"))
@@ -118,10 +121,10 @@ def classify_quality(
     if known.groupBy("good").count().count() < 2:
         return rows.select(given_id(id_col), *(F.lit(None).cast("double").alias(c) for c in ("p_text", "p_page", "score")), F.lit(True).alias("kept"))
     features = Pipeline(stages=featurisers(page_cols, text_bits)).fit(rows)
-    train = materialised(features.transform(rows.join(known, "id")).select("text", "page", "good", F.pmod(F.col("order"), F.lit(5)).alias("fold")))
+    train = materialised(features.transform(rows.join(known, "id")).select("text", "page", "good", F.pmod(F.col("order"), F.lit(5)).alias("fold")).repartition(_TRAINING_PARTS))
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").join(known, "id", "left_anti").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(pool)
-    unlabelled = materialised(features.transform(rows.join(ids, "id")).select("id", "text", "page"))
+    unlabelled = materialised(features.transform(rows.join(ids, "id")).select("id", "text", "page").repartition(_TRAINING_PARTS))
     models, combined = cotrain(train, unlabelled, rounds)
     return _scored(features, rows, models, combined).select(given_id(id_col), "p_text", "p_page", "score", (F.col("score") >= 0.5).alias("kept"))
 
