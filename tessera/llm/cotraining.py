@@ -5,8 +5,8 @@ round both score the same pool of unlabelled documents, and each hands its most
 of both kinds as far as there are, to the other's training rows. At the end each view is calibrated on held-out labelled
 rows, the two calibrated views are combined by a logistic model of their logits, and all documents are scored.
 
-Training uses at most ``sample`` labelled rows and ``pool`` unlabelled ones (the least hashes of their ids); scoring
-covers every row. The models are pyspark.ml pipelines.
+Training uses at most ``sample`` labelled rows and ``pool`` unlabelled ones (the least hashes of their ids), and only
+their ids, so many at most, are broadcast; scoring covers every row. The models are pyspark.ml pipelines.
 """
 
 from __future__ import annotations
@@ -121,10 +121,10 @@ def classify_quality(
     if known.groupBy("good").count().count() < 2:
         return rows.select(given_id(id_col), *(F.lit(None).cast("double").alias(c) for c in ("p_text", "p_page", "score")), F.lit(True).alias("kept"))
     features = Pipeline(stages=featurisers(page_cols, text_bits)).fit(rows)
-    train = materialised(features.transform(rows.join(known, "id")).select("text", "page", "good", F.pmod(F.col("order"), F.lit(5)).alias("fold")).repartition(_TRAINING_PARTS))
+    train = materialised(features.transform(rows.join(F.broadcast(known), "id")).select("text", "page", "good", F.pmod(F.col("order"), F.lit(5)).alias("fold")).repartition(_TRAINING_PARTS))
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").join(known, "id", "left_anti").distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(pool)
-    unlabelled = materialised(features.transform(rows.join(ids, "id")).select("id", "text", "page").repartition(_TRAINING_PARTS))
+    unlabelled = materialised(features.transform(rows.join(F.broadcast(ids), "id")).select("id", "text", "page").repartition(_TRAINING_PARTS))
     models, combined = cotrain(train, unlabelled, rounds)
     return _scored(features, rows, models, combined).select(given_id(id_col), "p_text", "p_page", "score", (F.col("score") >= 0.5).alias("kept"))
 
