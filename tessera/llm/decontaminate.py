@@ -1,13 +1,9 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distances.
+"""Benchmark decontamination: an exact filter by shared word pairs, then exact edit distances.
 
 A benchmark item occurs in a text where a window of as many words has an edit distance (in words) of at most a fifth
-of the item's length. The CGK embedding walks through a word sequence, staying on a word or moving on as random bits
-of the word tell; sequences at a small edit distance then agree in most places of their walks, so equal samples of
-places are a locality-sensitive hash for edit distance. Each of ``walks`` walks gives one key per window; windows that
-share a key with an item are verified by exact edit distance.
-
-Before windows are embedded, an exact filter drops those that cannot match: within an edit distance of k, a window shares
-at least m - 1 - 2k neighbouring word pairs with an item of m words. Every word of every text goes through it.
+of the item's length. Within an edit distance of k, a window shares at least m - 1 - 2k neighbouring word pairs with an
+item of m words. Every word of every text goes through this filter, and every window that passes it is verified, so no
+occurrence is lost, however long the item or strong the edits.
 """
 
 from __future__ import annotations
@@ -21,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, given_id, ids_of, plain, query, table, text_batches
-from tessera.llm.words import SLICE, lower_ascii, mix, ranges, rolling, space_words
+from tessera.llm.words import SLICE, lower_ascii, ranges, rolling, space_words
 
 #: Items of fewer words tell nothing and are passed over.
 LEAST_WORDS = 5
@@ -31,34 +27,6 @@ ITEM_BYTES = 8 << 20
 _MAP_BITS = 22
 
 
-def walk_plan(m: int, walks: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random bits' seeds and sampled places of each walk over sequences of m words: (walks, steps) each."""
-    rng = np.random.default_rng([walks, m])
-    steps = 2 * m  # later places have seen most edits and are seldom alike
-    seeds = rng.integers(1, 2**63, (walks, steps), dtype=np.uint64)
-    sampled = np.zeros((walks, steps), bool)
-    for walk in sampled:
-        walk[rng.choice(steps, min(samples, steps), replace=False)] = True
-    return seeds, sampled
-
-
-def cgk_keys(windows: np.ndarray, plan: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Keys (walks, rows) of equally long word sequences: for each walk, a hash of the words at its sampled places."""
-    seeds, sampled = plan
-    n, m = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    at, row = np.zeros((len(seeds), n), np.int64), np.arange(n)
-    key = np.zeros((len(seeds), n), np.uint64)
-    for j in range(seeds.shape[1]):
-        word = padded[row, at]
-        own = sampled[:, j]
-        if own.any():
-            key[own] = mix(key[own] ^ word[own]) + np.uint64(j)
-        at += (mix(word + seeds[:, j, None]) & np.uint64(1)).astype(np.int64)
-        np.minimum(at, m, out=at)
-    return key
-
-
 def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Edit distance of each row of ``x`` and the same row of ``y`` (rows of m words each)."""
     n, m = x.shape
@@ -76,12 +44,10 @@ def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Benchmark items as word hashes, by length, with the keys of their walks."""
+    """Benchmark items as word hashes, by length."""
 
     ids: dict[int, np.ndarray] = field(default_factory=dict)
     words: dict[int, np.ndarray] = field(default_factory=dict)
-    plans: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    keys: dict[int, np.ndarray] = field(default_factory=dict)
     # neighbouring pairs of all items, ascending, and the item of each, as a number
     pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     pair_item: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
@@ -91,7 +57,7 @@ class Items:
     table: np.ndarray = field(default_factory=lambda: np.zeros(1 << _MAP_BITS, bool))
 
     @staticmethod
-    def of(rows: list[tuple[int, str]], walks: int, samples: int) -> Items:
+    def of(rows: list[tuple[int, str]]) -> Items:
         out, by_length = Items(), {}
         for key, text in rows:
             data = lower_ascii(np.frombuffer((text or "").encode(), np.uint8))
@@ -101,8 +67,6 @@ class Items:
         for m, own in sorted(by_length.items()):
             out.ids[m] = np.array([k for k, _ in own])
             out.words[m] = np.stack([h for _, h in own])
-            out.plans[m] = walk_plan(m, walks, samples)
-            out.keys[m] = cgk_keys(out.words[m], out.plans[m])
         if by_length:
             out.length = np.concatenate([np.full(len(out.ids[m]), m) for m in out.ids])
             out.row = np.concatenate([np.arange(len(out.ids[m])) for m in out.ids])
@@ -144,8 +108,6 @@ def windows_to_try(items: Items, pairs: np.ndarray, first: np.ndarray, den: int)
 def occurrences(
     docs: DataFrame,
     benchmark: DataFrame,
-    walks: int = 24,
-    samples: int = 5,
     den: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -170,7 +132,7 @@ def occurrences(
     out = None
     for turn in range(passes):
         block = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == turn).collect()  # about ITEM_BYTES
-        items = Items.of([tuple(r) for r in block], walks, samples)
+        items = Items.of([tuple(r) for r in block])
         if items.ids:
             found = rows.mapInArrow(_search(spark.sparkContext.broadcast(items), arrow, den), schema)
             out = found if out is None else out.union(found)
@@ -200,8 +162,6 @@ def _matches(items: Items, data: np.ndarray, row_start: np.ndarray, den: int) ->
             part = of_length[a : a + (1 << 11)]
             row, at = items.row[item[part]], start[part]
             windows = h[at[:, None] + np.arange(m)]
-            alike = (items.keys[m][:, row] == cgk_keys(windows, items.plans[m])).any(axis=0)
-            row, at, windows = row[alike], at[alike], windows[alike]
             distance = edit_distances(windows, items.words[m][row])
             text = np.searchsorted(words.first, at, side="right") - 1
             for k in np.flatnonzero(distance <= m // den).tolist():

@@ -103,3 +103,20 @@ def test_query_finds_whole_items(spark):
     want = {(k, i) for k, d in docs.items() for i, m in items.items() if any(d[s : s + len(m)] == m for s in range(len(d)) if d[s] == m[0])}
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in QUERIES["op7_decontamination"](spark, folder).collect()}
     assert want and all(got.get(p) == 0 for p in want)
+
+
+def test_every_window_at_the_bound_is_found(spark):
+    rng = random.Random(5)
+    docs, items, want = {}, {}, set()
+    for i, m in enumerate([20, 45, 60, 100, 200] * 6):
+        item = [f"i{i}w{j}" for j in range(m)]
+        text = list(item)
+        for j in rng.sample(range(m), m // 5):
+            text[j] = "other"
+        items[i], docs[i] = " ".join(item), " ".join(["before"] * 4 + text + ["behind"] * 3)
+        want.add((i, i, 4, m // 5))
+    got = decontaminate.occurrences(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+        spark.createDataFrame(list(items.items()), "item_id long, text string"),
+    ).collect()
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["distance"]) for r in got} == want
