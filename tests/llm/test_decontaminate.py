@@ -120,3 +120,56 @@ def test_every_window_at_the_bound_is_found(spark):
         spark.createDataFrame(list(items.items()), "item_id long, text string"),
     ).collect()
     assert {(r["doc_id"], r["item_id"], r["start_word"], r["distance"]) for r in got} == want
+
+
+def nearest(item, words):
+    """Distance, start and size of the nearest window of any size."""
+    m = len(item)
+    sizes = range(max(m - m // 5, 1), m + m // 5 + 1)
+    return min(((distance(words[s : s + n], item), s, n) for n in sizes for s in range(len(words) - n + 1)), default=(m, 0, 0))
+
+
+def free_ends(spark, docs, items):
+    got = decontaminate.occurrences(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+        spark.createDataFrame(list(items.items()), "item_id long, text string"),
+        free_ends=True,
+    ).collect()
+    return {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"], r["n_words"]) for r in got}
+
+
+def test_free_ends_against_windows_of_all_sizes(spark):
+    docs, items = planted(1)
+    docs = {k: t for k, t in docs.items() if k < 40} | {100: items[0] + " x " + items[0].replace(" the ", " ") * 9, 101: ""}
+    items = {i: t for i, t in items.items() if i < 12}
+    want = {}
+    for k, t in docs.items():
+        words = t.lower().split()
+        for i, x in items.items():
+            item = x.lower().split()
+            if len(set(words) & set(item)) > len(set(item)) // 2:
+                best = nearest(item, words)
+                if best[0] <= len(item) // 5:
+                    want[k, i] = best
+    assert len(want) > 8
+    assert free_ends(spark, docs, items) == want
+
+
+def test_insertions_count_once_and_short_texts_match(spark):
+    item = [f"i{j}" for j in range(38)]
+    inserted = list(item)
+    for at in (3, 9, 14, 20, 25, 30, 35):
+        inserted.insert(at, "new")
+    docs = {0: " ".join(["x"] * 5 + inserted + ["y"] * 5), 1: " ".join(item[:10] + item[11:]), 2: " ".join(item[7:]), 3: " ".join(item[8:]), 4: "a b c d"}
+    assert free_ends(spark, docs, {7: " ".join(item), 8: "a b c d e"}) == {(0, 7): (7, 5, 45), (1, 7): (1, 0, 37), (2, 7): (7, 0, 31), (4, 8): (1, 0, 4)}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item)), (8, "a b c d e")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.without_benchmark(d, b).collect()] == [3]
+
+
+def test_query_finds_windows_of_other_sizes(spark, tmp_path):
+    item = [f"i{j}" for j in range(10)]
+    spark.createDataFrame([(1, " ".join(item[1:]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["op7_decontamination"](spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_words"], r["distance"]) for r in got] == [(1, 5, 9, 1)]
