@@ -34,7 +34,7 @@ def write_flat_tokens(
 ) -> None:
     """Write every text's ids and ``end_id`` as flat files, in the order in which the rows are read, without a shuffle.
 
-    Null texts are empty (the end id alone). Below ``path``: ``kind=tokens`` has the flat files, in which nothing
+    An ``end_id`` that a text itself yields is refused: nothing would tell it from the end of that text. Null texts are empty (the end id alone). Below ``path``: ``kind=tokens`` has the flat files, in which nothing
     tells where a document begins; ``kind=names`` lists each file's document ids in order (``block``: ordinal of the first).
     """
     schema, arrow = arrow_schema("kind string, file string, block int, width int, ids binary, names array<long>")
@@ -44,7 +44,7 @@ def write_flat_tokens(
 
         file = f"{TaskContext.get().partitionId():08d}"
         encode = encoder(tokenizer, "byte-level")
-        kind = "<u4" if encode.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
+        kind = "<u4" if max(encode.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16 else "<u2"
         number, named, waiting = 0, 0, np.empty(0, kind)
 
         def row(*values: object) -> pa.RecordBatch:
@@ -52,6 +52,8 @@ def write_flat_tokens(
 
         for rows, _, _ in text_batches(batches, 1 << 20):
             ids, counts = encode.encode(rows.column(rows.schema.get_field_index("text")).to_pylist())
+            if (ids == end_id).any():
+                raise ValueError(f"a text yields the id {end_id}, which is to end documents")
             ends = np.cumsum(counts + 1) - 1
             whole = np.full(len(ids) + len(ends), end_id, kind)
             inner = np.ones(len(whole), bool)
@@ -129,8 +131,12 @@ def with_document_ids(counts: DataFrame, names: str, id_col: str = "doc_id") ->
     return counts.join(listed, ["file", "ordinal"]).select(given_id(id_col), "file", "ordinal", "start", "n_tokens", "closed")
 
 
+#: The first id beyond byte_bpe_50k's vocabulary. Its own end of text, 50256, also stands for a text's "<|endoftext|>".
+END_ID = 50257
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark)
-    write_flat_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
-    return with_document_ids(count_tokens(spark, f"{path}/kind=tokens", 50256), f"{path}/kind=names")
+    write_flat_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return with_document_ids(count_tokens(spark, f"{path}/kind=tokens", END_ID), f"{path}/kind=names")

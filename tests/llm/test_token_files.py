@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import token_counts, token_files, tokens
 from tessera.llm.common import given_id, shared_folder
+from tessera.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, start string, ids int"
@@ -100,3 +101,19 @@ def test_unclosed_tail_and_empty_files(spark):
     spark.createDataFrame([(f, i, 2, b) for f, i, b in files], token_counts.FLAT).write.parquet(path)
     got = token_counts.count_tokens(spark, path, 2).orderBy("file", "ordinal").collect()
     assert [tuple(r) for r in got] == [("a", 0, 0, 2, True), ("a", 1, 2, 1, True), ("a", 2, 3, 4, True), ("a", 3, 7, 1, False)]
+
+
+def test_query_counts_texts_that_hold_the_end_of_text_mark(spark, tmp_path):
+    texts = dict(enumerate(ODD)) | {50: "<|endoftext|>", 51: "a <|endoftext|><|endoftext|> b", 52: "behind it"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(PATH)
+    want = {k: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for k, t in texts.items()}
+    got = QUERIES["op10_token_counts"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["n_tokens"] for r in got} == want
+
+
+def test_end_id_that_a_text_yields_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    assert token_counts.END_ID >= Tokenizer.from_file(PATH).get_vocab_size()
+    with pytest.raises(Exception, match="yields the id 50256"):
+        token_counts.write_flat_tokens(docs, shared_folder(spark), PATH, 50256)
