@@ -3,7 +3,8 @@
 Every pair of neighbouring words of a document is joined, by its hash, to the places where the pair occurs in the
 templates. A place of the document minus a place of the template is a diagonal; a template that occurs in a document
 piles up votes on one diagonal, with small edits on neighbouring ones. Votes are aggregated per diagonal, neighbouring
-diagonals merged, and spans with enough different template places accepted. A phrase occurs where its diagonal has all
+diagonals merged, and runs with enough different template places verified: a span of bounded width must hold enough of
+them in ascending order, and the words that tell the template from others in full. A phrase occurs where its diagonal has all
 its pairs. Words are compared after the join, so a hash collision cannot give a match.
 """
 
@@ -41,6 +42,17 @@ TEMPLATES = {
     "all rights reserved": "all-rights-reserved",
 }
 
+# Parts of a template that tell it from other licenses; their words must stand consecutively in an accepted span.
+REQUIRED = {
+    "gpl-3.0": ["gnu general public license", "version 3"],
+    "apache-2.0": ["apache license", "version 2 0"],
+    "cc-by-4.0": ["cc by 4 0"],
+    "cc-by-sa-4.0": ["cc by sa 4 0"],
+    "cc-by-nc-4.0": ["cc by nc 4 0"],
+    "mit-release": ["mit license"],
+    "creative-commons": ["creative commons attribution"],
+}
+
 
 def _pairs(words: list[str]) -> list[tuple[str, str]]:
     return list(zip(words, words[1:], strict=False))
@@ -70,6 +82,49 @@ def _template_pairs(spark: SparkSession, templates: list[tuple[str, str, bool]])
     return spark.range(1).select(F.inline(F.array(*rows))).withColumn("pair", F.xxhash64("t1", "t2"))
 
 
+def _required_pairs() -> Column:
+    """Label to its required parts, each as the places of its pairs in the template."""
+    entries = []
+    for text, label in TEMPLATES.items():
+        words, parts = text.split(), []
+        for part in REQUIRED.get(label, []):
+            own = part.split()
+            at = next(i for i in range(len(words)) if words[i : i + len(own)] == own)
+            parts.append(F.array(*[F.lit(i) for i in range(at, at + len(own) - 1)]))
+        entries += [F.lit(label), F.array(*parts) if parts else F.array().cast("array<array<int>>")]
+    return F.create_map(*entries)
+
+
+def _verified(runs: DataFrame, group: list[str], share: float, reach: int) -> DataFrame:
+    """Spans of the runs that hold a template: ``group``, place and found, the number of its pairs in ascending order.
+
+    A span starts at a vote and has room for ``reach`` more words at each pair that may be missing. Required pairs weigh more than
+    all others together, so the heaviest ascending chain of votes has all of them if any chain has.
+    """
+    heavy, most = 1 << 10, max(len(t.split()) - 1 for t in TEMPLATES)
+    votes = runs.select(*group, "run", F.explode("lines").alias("line"))
+    votes = votes.select(*group, "run", "line.diagonal", F.explode("line.ats").alias("at")).withColumn("place", F.col("diagonal") + F.col("at"))
+    ahead = Window.partitionBy(*group, "run").orderBy("place").rangeBetween(0, most * (1 + reach))
+    # of equal places, the later template place first, so that a place counts once in a chain
+    spans = votes.select(*group, "place", F.collect_list(F.struct("place", (-F.col("at")).alias("back"))).over(ahead).alias("span"))
+    need = F.ceil(F.lit(share) * F.col("pairs"))
+    width = F.col("pairs") + (F.col("pairs") - need) * reach
+    spans = spans.withColumn("span", F.array_sort(F.filter("span", lambda v: v["place"] < F.col("place") + width)))
+    spans = spans.where(F.size("span") >= need).withColumn("parts", F.element_at(_required_pairs(), F.col("label")))
+    whole = F.forall("parts", lambda part: F.exists("span", lambda v: F.forall(part, lambda i: F.exists("span", lambda u: (u["place"] + u["back"] == v["place"] + v["back"]) & (u["back"] == -i)))))
+    spans = spans.where(whole).withColumn("must", F.flatten("parts"))
+
+    def longer(chain: Column, vote: Column) -> Column:
+        at = -vote["back"]
+        value = F.coalesce(F.array_max(F.slice(chain, 1, at)), F.lit(0)) + F.when(F.array_contains("must", at), heavy).otherwise(1)
+        return F.transform(chain, lambda x, i: F.when(i == at, F.greatest(x, value)).otherwise(x))
+
+    weight = F.array_max(F.aggregate("span", F.transform(F.sequence(F.lit(1), F.col("pairs")), lambda _: F.lit(0)), longer))
+    spans = spans.withColumn("weight", weight).where(F.floor(F.col("weight") / heavy) == F.size("must"))
+    spans = spans.withColumn("found", (F.col("weight") % heavy + F.size("must")).cast("int"))
+    return spans.where(F.col("found") >= need).select(*group, "place", "found")
+
+
 def _listed(condition: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(F.when(condition, F.col("label")))), ",")
 
@@ -81,7 +136,7 @@ def scan_licenses(
 
     n_base counts the places of the phrases, first_word and last_word are the least and greatest start (words from 0, null
     without a place). A template counts where at least ``share`` of its pairs vote on diagonals at most ``reach``
-    apart. score is the greatest share of a template's or phrase's pairs found on such a span, 0 without an accepted one.
+    apart, in ascending order within a span of bounded width that holds its ``REQUIRED`` words. score is the greatest share of a template's or phrase's pairs found on such a span, 0 without an accepted one.
 
     A null or empty text has no words, no labels (empty strings) and score 0. Rows with a null id or a repeated id are
     scanned one by one. An empty table gives an empty table.
@@ -108,9 +163,10 @@ def scan_licenses(
     order = Window.partitionBy(*group).orderBy("diagonal")
     near = diagonals.where(~F.col("base")).withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > reach, F.lit(True)).cast("int"))
     near = near.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = near.groupBy(*group, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("found"), F.min("place").alias("place"))
+    runs = near.groupBy(*group, "run").agg(F.collect_list(F.struct("diagonal", "ats")).alias("lines"))
+    runs = runs.where(F.size(F.array_distinct(F.flatten(F.col("lines.ats")))) >= share * F.col("pairs"))
     accepted = whole.select(*group, "place", F.size("ats").alias("found")).union(
-        spans.where(F.col("found") >= share * F.col("pairs")).select(*group, "place", "found")
+        _verified(runs, group, share, reach).select(*group, "place", "found")
     )
     found = accepted.groupBy("id", "key").agg(
         F.count_if("base").alias("n_base"),

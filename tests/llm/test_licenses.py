@@ -70,3 +70,32 @@ def test_query_on_given_tables(spark):
     folder = "/root/testdata/sf0.01"
     want = {r["doc_id"]: by_definition(r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert {r["doc_id"]: base_of(r) for r in QUERIES["op8_license_scan"](spark, folder).collect()} == want
+
+
+def test_labels_are_exact(spark):
+    gpl = "Licensed under the GNU General Public License"
+    notice = "you may not use this file except in compliance with the license".split()
+    cases = [
+        ("Licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by"),
+        (gpl, "gpl"),
+        (f"{gpl}, version 2", "gpl"),
+        (f"{gpl}, version 3", "gpl,gpl-3.0"),
+        (f"{gpl} (GPL), version 3", "gpl,gpl-3.0"),
+        (f"version 3 {gpl}", "gpl"),
+        ("Licensed under the GNU Lesser General Public License version 3", ""),
+        ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"),
+        ("Licensed under the Apache License, Version 1.1", "apache"),
+        ("Released under the MIT-0 license", ""),
+        ("Licensed under a Creative Commons Zero", ""),
+        (" ".join(notice), "apache-notice"),
+        # pairs in reverse order, each a few diagonals from the last, are no notice
+        (" ".join(f"{a} {b} x" for a, b in list(zip(notice, notice[1:]))[::-1]), ""),
+        # pairs that are far from each other do not make one
+        (" ".join(f"{a} {b} x x" for a, b in zip(notice, notice[1:])), ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [labels for _, labels in cases]
