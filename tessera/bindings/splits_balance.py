@@ -537,8 +537,7 @@ def _(t):
 def _(t):
     c, pairs = cust_pairs(t)
     wide = balance.pair_values(pairs, c, "unit_id", ["balance", "nation"])
-    n = pairs.count()
-    return balance.trim_pairs(wide, ["balance"], ["nation"], n - 12, to_minimum=True).select("pair_id")
+    return balance.trim_pairs(wide, ["balance"], ["nation"], pairs.count() // 2).select("pair_id")
 
 
 @query(

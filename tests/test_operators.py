@@ -346,3 +346,20 @@ def test_three_significant_digits(spark):
     d = frame(spark, x=[0.0, 0.25, 12.5, 3.0, 150.4, 0.01234, 99.96])
     got = [r["t"] for r in d.select(encode.three_digits(F.col("x")).alias("t")).collect()]
     assert got == [f"{v:.3g}" for v in (0.0, 0.25, 12.5, 3.0, 150.4, 0.01234, 99.96)]
+
+
+def test_trim_query_stops_at_balance_or_half_of_the_pairs(spark, monkeypatch):
+    from tessera.bindings import all_queries
+
+    seen = []
+    trim = balance.trim_pairs
+
+    def watched(wide, continuous, categorical, minimum, **options):
+        seen.append((wide.count(), minimum, options.get("to_minimum", False), options.get("per_round", 1)))
+        return trim(wide, continuous, categorical, minimum, **options)
+
+    monkeypatch.setattr(balance, "trim_pairs", watched)
+    left = all_queries()["a18_trim_to_balance"](spark, "/root/testdata/sf0.001").count()
+    ((n, minimum, to_minimum, per_round),) = seen
+    assert (minimum, to_minimum, per_round) == (n // 2, False, 1)
+    assert n // 2 <= left <= n
