@@ -17,7 +17,8 @@ def rounded(columns, rows):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_reference_sql(spark, data, name):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     found = QUERIES[name](spark, data)
     want = duck.execute(ORACLE[name])
     columns, rows = [d[0] for d in want.description], want.fetchall()
