@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NO_ID, arrow_schema, given_id, ids_of, list_array, plain, query, repeated, stored, table, text_batches
-from tessera.llm.words import SLICE, Words, as_signed, mix, powers, ranges, rolling, space_words
+from tessera.llm.words import SLICE, Words, as_signed, mix, ranges, rolling, space_words
 
 _SECOND = 0xD6E8FEB86659FD93  # multiplier of the second hash
+_EXPANDED = 4 << 20  # words of stretches hashed at a time
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -73,12 +74,21 @@ def units_of(words: Words, hashes: np.ndarray, window: int, base: int) -> tuple[
 
 
 def stretch_hashes(hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hash of ``hashes[start : start + length]``, for stretches of any lengths."""
-    n = len(hashes)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(hashes ^ _SALT) * powers(n, _SECOND), out=total[1:])
-    inverse = powers(n + 1, pow(_SECOND, -1, 1 << 64))
-    return mix((total[start + length] - total[start]) * inverse[start] + length.astype(np.uint64))
+    """64-bit hash of ``hashes[start : start + length]``, for stretches of any lengths (at least 1).
+
+    Each word is mixed with its place before it is added, so no pattern of words makes two stretches agree.
+    """
+    own, out = mix(hashes ^ _SALT), np.empty(len(start), np.uint64)
+    upto = np.cumsum(length)
+    a = 0
+    while a < len(start):  # bounded expansion; a longer single stretch goes alone
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - length[a] + _EXPANDED, side="right")))
+        begin = upto[a:b] - length[a:b] - (upto[a] - length[a])
+        place = ranges(np.zeros(b - a, np.int64), length[a:b]).astype(np.uint64)
+        mixed = mix(own[ranges(start[a:b], length[a:b])] + place * np.uint64(_SECOND))
+        out[a:b] = mix(np.add.reduceat(mixed, begin) + length[a:b].astype(np.uint64))
+        a = b
+    return out
 
 
 def extensions(window: int, base: int) -> dict[int, np.ndarray]:
