@@ -533,7 +533,37 @@ def _(t):
     return rounded(out, "objective_without", places=5)
 
 
-@query("a18_trim_to_balance")
+def trim_sql(minimum: str, to_minimum: bool) -> str:
+    """CTE ``walk``: the pairs left after r greedy removals, one round of the recursion for each."""
+    gap = lambda pa, pb: f"greatest(abs({smd_sql(pa, pb)})/0.12::DOUBLE, abs({pa}-{pb})/0.08::DOUBLE)"
+
+    def numeric(less: bool) -> str:
+        k, cut = ("(n - 1)", lambda s, v: f"({s} - {v})") if less else ("n", lambda s, v: s)
+        mean = {v: f"({cut('s' + v, v)} / {k})" for v in "ab"}
+        var = {v: f"(({cut('s' + v + v, f'{v}*{v}')} - {cut('s' + v, v)} * {cut('s' + v, v)} / {k}) / ({k} - 1))" for v in "ab"}
+        return f"abs(({mean['a']} - {mean['b']}) / sqrt(({var['a']} + {var['b']}) / 2)) / 0.12::DOUBLE"
+
+    over = "OVER (PARTITION BY l)"
+    return f"""lv AS (SELECT DISTINCT nation AS l FROM cust),
+    walk AS (
+      SELECT pair_id, n.balance AS a, p.balance AS b, n.nation AS na, p.nation AS nb, 0 AS r
+      FROM pairs JOIN cust n ON n.unit_id=negative_id JOIN cust p ON p.unit_id=positive_id
+      UNION ALL
+      SELECT pair_id, a, b, na, nb, r + 1 FROM (
+        SELECT *, row_number() OVER (ORDER BY greatest(cat, {numeric(True)}), pair_id) AS place, greatest(cat_now, {numeric(False)}) AS now FROM (
+          SELECT pair_id, a, b, na, nb, r, n, sa, sb, saa, sbb, max({gap('pa', 'pb')}) AS cat, max({gap('pa0', 'pb0')}) AS cat_now FROM (
+            SELECT *, (ca - (na = l)::INT) / (n - 1)::DOUBLE AS pa, (cb - (nb = l)::INT) / (n - 1)::DOUBLE AS pb, ca / n::DOUBLE AS pa0, cb / n::DOUBLE AS pb0 FROM (
+              SELECT *, count(*) {over} AS n, sum((na = l)::INT) {over} AS ca, sum((nb = l)::INT) {over} AS cb,
+                sum(a) {over} AS sa, sum(b) {over} AS sb, sum(a*a) {over} AS saa, sum(b*b) {over} AS sbb
+              FROM walk, lv))
+          GROUP BY ALL))
+      WHERE place > 1 AND n > ({minimum}){'' if to_minimum else ' AND now > 1'})"""
+
+
+@query(
+    "a18_trim_to_balance",
+    f"WITH RECURSIVE {PAIRS_C}, {trim_sql('SELECT count(*) // 2 FROM pairs', False)} SELECT pair_id FROM walk WHERE r = (SELECT max(r) FROM walk)",
+)
 def _(t):
     c, pairs = cust_pairs(t)
     wide = balance.pair_values(pairs, c, "unit_id", ["balance", "nation"])
@@ -584,6 +614,21 @@ def _(t):
     return match_first(c, "unit_id", "y", ["y", "segment"], TIERS_C, "mf", QUOTAS, "test")
 
 
+@query(
+    "g3_match_first_exact_size",
+    f"""WITH RECURSIVE {PAIRS_C.replace('match-v1', 'mf-match')}, {trim_sql('SELECT count(*) // 50 FROM cust', True)},
+    kept AS (SELECT * FROM pairs WHERE pair_id IN (SELECT pair_id FROM walk WHERE r = (SELECT max(r) FROM walk))),
+    mem AS (SELECT negative_id AS unit_id FROM kept UNION ALL SELECT positive_id FROM kept),
+    rest AS (SELECT * FROM cust WHERE unit_id NOT IN (SELECT unit_id FROM mem)), s AS ({split_sql('rest', 'y, segment', 'mf')})
+    SELECT (SELECT count(*) FROM kept) AS n_pairs, split, count(*) AS n FROM s GROUP BY split
+    UNION ALL SELECT (SELECT count(*) FROM kept), 'matched_target', count(*) FROM mem""",
+)
+def _(t):
+    c = t.customers().withColumn("band", F.floor(F.col("balance") / 2500))
+    size = c.count() // 50
+    return match_first(c, "unit_id", "y", ["y", "segment"], TIERS_C, "mf", QUOTAS, "test", size, ["balance"], ["nation"])
+
+
 J13 = f"""{UNITS}, rk AS (SELECT *, (row_number() OVER (ORDER BY sha256('batch|' || unit_id)) - 1) // 64 AS batch FROM units),
 rec AS (SELECT batch, lang, source, toxic, count(*) AS n FROM rk GROUP BY ALL),
 pr AS (SELECT a.batch, a.lang, a.source, a.toxic, a.n, b.n AS bn, ((a.lang=b.lang)::INT + (a.source=b.source)::INT + (a.toxic=b.toxic)::INT)/3.0::DOUBLE AS s,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import or_missing, smd_continuous, smd_level
 from tessera.operators.joins import same_key_join
+from tessera.operators.ranked import ranked
 from tessera.session import cut_lineage
 
 NEG_POS = ("negative", "positive")
@@ -102,6 +106,20 @@ def exact_mismatches(wide: DataFrame, fields: Sequence[str]) -> DataFrame:
     return wide.agg(*bad).unpivot([], list(fields), "field", "n_mismatch")
 
 
+def _patterns(fields: Sequence[str]) -> list[str]:
+    return [f"{side}_{f}" for f in fields for side in ("neg", "pos")]
+
+
+def _both(f: str) -> tuple[Column, Column, Column]:
+    """Both sides of a numeric field, and whether both are finite values."""
+    a, b = F.col(f"neg_{f}").cast("double"), F.col(f"pos_{f}").cast("double")
+    return a, b, F.coalesce((F.abs(a) < float("inf")) & (F.abs(b) < float("inf")), F.lit(False))
+
+
+def _level_gap(pa: Column, pb: Column, max_smd: float, max_difference: float) -> Column:
+    return F.greatest(F.abs(smd_level(pa, pb)) / max_smd, F.abs(pa - pb) / max_difference)
+
+
 def removal_objectives(
     wide: DataFrame,
     continuous: Sequence[str],
@@ -111,25 +129,27 @@ def removal_objectives(
 ) -> DataFrame:
     """For every pair, the balance objective of the table without it, in closed form.
 
-    Sums over all pairs are one aggregate row, attached as a scalar subquery; the pair's own
-    contribution is subtracted in column expressions. The only list in that row is the level
-    vocabulary of the categorical fields.
+    Pairs that agree in all fields form a class and share one objective, so the work is done per class. Sums over all
+    pairs are one aggregate row, from which a class subtracts its own values. Removing a pair changes the counts of at
+    most two levels of a field; of the others only the worst matters, which is among the three worst of the field.
     """
-    sums: list[Column] = [F.count(F.lit(1)).alias("n")]
+    pattern = _patterns([*continuous, *categorical])
+    classes = cut_lineage(wide.groupBy(*pattern).agg(F.count(F.lit(1)).alias("__n")).withColumn("__class", F.monotonically_increasing_id()))
+    n = F.col("__n")
+    sums: list[Column] = [F.sum("__n").alias("n")]
     for f in continuous:
-        a, b = F.col(f"neg_{f}").cast("double"), F.col(f"pos_{f}").cast("double")
-        seen = a.isNotNull() & b.isNotNull()
+        a, b, seen = _both(f)
         for name, v in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b)):
-            sums.append(F.coalesce(F.sum(F.when(seen, v)), F.lit(0.0)).alias(f"{name}_{f}"))
-        sums.append(F.sum(seen.cast("long")).alias(f"k_{f}"))
-    totals = wide.agg(*sums)
-    base = wide.withColumn("__t", totals.select(F.struct(*totals.columns)).scalar())
+            sums.append(F.coalesce(F.sum(F.when(seen, n * v)), F.lit(0.0)).alias(f"{name}_{f}"))
+        sums.append(F.coalesce(F.sum(F.when(seen, n)), F.lit(0)).alias(f"k_{f}"))
+    totals = classes.agg(*sums)
+    totals = totals.select(F.struct(*totals.columns))
+    base = classes.withColumn("__t", totals.scalar())
     after = F.col("__t.n") - 1
-    worst: list[Column] = []
+    worst: list[Column] = [F.lit(0.0)]
     for f in continuous:
-        a, b = F.col(f"neg_{f}").cast("double"), F.col(f"pos_{f}").cast("double")
-        seen = a.isNotNull() & b.isNotNull()
-        own = lambda v: F.when(seen, v).otherwise(F.lit(0.0))
+        a, b, seen = _both(f)
+        own = lambda v: F.when(seen, v).otherwise(F.lit(0.0))  # noqa: B023, E731
         k = F.col(f"__t.k_{f}") - seen.cast("long")
         mean, var = [], []
         for name, v in (("a", a), ("b", b)):
@@ -140,38 +160,39 @@ def removal_objectives(
         value = smd_continuous(mean[0], var[0], mean[1], var[1])
         worst.append(F.when(k >= 2, F.abs(value) / max_smd).otherwise(F.lit(float("inf"))))
     if categorical:
-        cells = wide.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(f).alias("field"), or_missing(F.col(f"{side}_{f}")).alias("level"), F.lit(i).alias("side"))
-                        for f in categorical
-                        for i, side in enumerate(("neg", "pos"))
-                    ]
-                )
-            ).alias("c")
-        ).select("c.*")
-        counts = cells.groupBy("field", "level").agg(
-            F.sum((F.col("side") == 0).cast("long")).alias("ca"), F.sum((F.col("side") == 1).cast("long")).alias("cb")
-        )
-        vocabulary = counts.agg(F.collect_list(F.struct("field", "level", "ca", "cb")).alias("v"))
-        base = base.withColumn("__v", vocabulary.scalar())
-        own_level = F.create_map(
-            *[x for f in categorical for s in ("neg", "pos") for x in (F.lit(f"{s}_{f}"), or_missing(F.col(f"{s}_{f}")))]
+        gap = lambda ca, cb: _level_gap(ca / after, cb / after, max_smd, max_difference)
+        cells = classes.select(
+            "__class", "__n",
+            F.explode(F.array(*[
+                F.struct(F.lit(f).alias("field"), or_missing(F.col(f"neg_{f}")).alias("ln"), or_missing(F.col(f"pos_{f}")).alias("lp")) for f in categorical
+            ])).alias("c"),
+        ).select("__class", "__n", "c.*")
+        side = lambda level, i: F.struct(F.col(level).alias("level"), F.when(F.lit(i == 0), n).otherwise(0).alias("a"), F.when(F.lit(i == 1), n).otherwise(0).alias("b"))
+        levels = (
+            cells.select("field", F.explode(F.array(side("ln", 0), side("lp", 1))).alias("s"))
+            .groupBy("field", "s.level").agg(F.sum("s.a").alias("ca"), F.sum("s.b").alias("cb"))
+        )
+        levels = cut_lineage(levels.withColumn("__t", totals.scalar()).withColumn("gap", gap(F.col("ca"), F.col("cb"))).drop("__t"))
+        place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("gap"), "level"))
+        three = levels.withColumn("k", place).where("k <= 3").groupBy("field").agg(F.collect_list(F.struct("level", "gap")).alias("three"))
+        n_side = levels.select("field", F.col("level").alias("ln"), F.col("ca").alias("can"), F.col("cb").alias("cbn"))
+        p_side = levels.select("field", F.col("level").alias("lp"), F.col("ca").alias("cap"), F.col("cb").alias("cbp"))
+        judged = cells.join(n_side, ["field", "ln"]).join(p_side, ["field", "lp"]).join(three, "field").withColumn("__t", totals.scalar())
+        equal = (F.col("ln") == F.col("lp")).cast("long")
+        others = F.filter("three", lambda x: (x["level"] != F.col("ln")) & (x["level"] != F.col("lp")))
+        own_gap = F.greatest(
+            gap(F.col("can") - 1, F.col("cbn") - equal), gap(F.col("cap") - equal, F.col("cbp") - 1), F.coalesce(F.array_max(F.transform(others, lambda x: x["gap"])), F.lit(0.0))
         )
-        base = base.withColumn("__own", own_level)
+        per_class = judged.groupBy("__class").agg(F.max(own_gap).alias("__levels"))
+        base = base.join(per_class, "__class")
+        worst.append(F.col("__levels"))
+    objective = F.when(after < 1, F.lit(float("inf"))).otherwise(F.greatest(*worst))
+    found = base.select(*pattern, objective.alias("objective_without"))
+    return same_key_join(wide, found, pattern)
 
-        def without(c: Column) -> Column:
-            hit = lambda s: (
-                F.col("__own")[F.concat(F.lit(f"{s}_"), c["field"])] == c["level"]
-            ).cast("long")
-            pa, pb = (c["ca"] - hit("neg")) / after, (c["cb"] - hit("pos")) / after
-            return F.greatest(F.abs(smd_level(pa, pb)) / max_smd, F.abs(pa - pb) / max_difference)
 
-        worst.append(F.array_max(F.transform("__v", without)))
-    objective = F.greatest(F.lit(0.0), *worst)
-    lone = F.when(after < 1, F.lit(float("inf"))).otherwise(objective)
-    return base.withColumn("objective_without", lone).drop("__t", "__v", "__own")
+#: Pairs whose classes one task may hold while it trims (8 bytes a pair, and the fields of a class).
+PAIRS_IN_TASK = 4_000_000
 
 
 def trim_pairs(
@@ -182,29 +203,117 @@ def trim_pairs(
     max_smd: float = 0.12,
     max_difference: float = 0.08,
     to_minimum: bool = False,
-    per_round: int = 1,
 ) -> DataFrame:
     """Remove the pair whose removal helps most until balance holds (or exactly ``minimum`` remain).
 
-    ``per_round=1`` is the exact greedy path. A larger number removes that many of the best pairs before they are judged
-    anew; it is a constant of the caller and never follows from the table's size. Each round works on a checkpointed table.
+    The exact greedy path; of equal objectives the least ``pair_id`` goes. Each step depends on the one before, so
+    the path is walked in one task, over classes of pairs that agree in all fields: Spark ranks the pairs and
+    aggregates the classes; the task gets a class's fields and ranks, and returns the ranks to remove. Above
+    ``PAIRS_IN_TASK`` pairs every step is a round of jobs over the whole table instead, with the same result.
     """
-    current = cut_lineage(wide)
+    pattern = _patterns([*continuous, *categorical])
+    current = cut_lineage(ranked(wide, [], "pair_id", out="__rank"))
+    n = current.count()
+    if n <= minimum:
+        return current.drop("__rank")
+    walk = _Walk(list(continuous), list(categorical), minimum, max_smd, max_difference, to_minimum)
+    if n > PAIRS_IN_TASK:
+        return _trimmed_by_rounds(current, walk).drop("__rank")
+    typed = [F.col(c).cast("double").alias(c) for c in _patterns(continuous)] + [or_missing(F.col(c)).alias(c) for c in _patterns(categorical)]
+    classes = current.select("__rank", *typed).groupBy(*pattern).agg(F.sort_array(F.collect_list("__rank")).alias("ranks"))  # at most PAIRS_IN_TASK in all
+    removed = classes.repartition(1).mapInPandas(walk.removed, "__rank long")
+    return current.join(removed, "__rank", "left_anti").drop("__rank")
+
+
+def _trimmed_by_rounds(current: DataFrame, walk: _Walk) -> DataFrame:
     n = current.count()
-    while n > minimum:
-        if not to_minimum:
-            sides = _long_sides(current, [*continuous, *categorical])
-            row = balance_summary(sides, "side", continuous, categorical, (), max_smd, max_difference).first()
+    fields = (walk.continuous, walk.categorical, walk.max_smd, walk.max_difference)
+    while n > walk.minimum:
+        if not walk.to_minimum:
+            row = balance_summary(_long_sides(current, [*walk.continuous, *walk.categorical]), "side", fields[0], fields[1], (), *fields[2:]).first()
             if row["objective"] is None or row["objective"] <= 1.0:
                 break
-        k = min(per_round, n - minimum)
-        judged = removal_objectives(current, continuous, categorical, max_smd, max_difference)
-        dropped = judged.orderBy("objective_without", "pair_id").limit(k).select("pair_id")
-        current = cut_lineage(current.join(dropped, "pair_id", "left_anti"))
-        n -= k
+        first = removal_objectives(current, *fields).orderBy("objective_without", "pair_id").limit(1).select("pair_id")
+        current, n = cut_lineage(current.join(first, "pair_id", "left_anti")), n - 1
     return current
 
 
+@dataclass(frozen=True)
+class _Walk:
+    """The greedy path over the classes of a pair table."""
+
+    continuous: list[str]
+    categorical: list[str]
+    minimum: int
+    max_smd: float
+    max_difference: float
+    to_minimum: bool
+
+    def _gap(self, pa: np.ndarray, pb: np.ndarray) -> np.ndarray:
+        scale, difference = np.sqrt(np.maximum(pa * (1 - pa) + pb * (1 - pb), 0.0) / 2), np.abs(pa - pb)  # classes without pairs may lie outside [0, 1]
+        smd = np.divide(difference, scale, out=np.where(difference == 0, 0.0, np.inf), where=scale > 0)
+        return np.maximum(smd / self.max_smd, difference / self.max_difference)
+
+    def _numeric(self, a: np.ndarray, b: np.ndarray, seen: np.ndarray, left: np.ndarray, less: np.ndarray) -> np.ndarray:
+        """Scaled SMD without ``less`` pairs of a class."""
+        weight, gone = left * seen, less * seen
+        k = weight.sum() - gone
+        mean, var = [], []
+        for v in (a, b):
+            s, ss = (weight * v).sum() - gone * v, (weight * v * v).sum() - gone * v * v
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mean.append(s / k)
+                var.append(np.maximum((ss - s * s / k) / (k - 1), 0.0))
+        pooled, gap = np.sqrt((var[0] + var[1]) / 2), np.abs(mean[0] - mean[1])
+        smd = np.divide(gap, pooled, out=np.where(gap == 0, 0.0, np.inf), where=pooled > 0)
+        return np.where(k >= 2, smd / self.max_smd, np.inf)
+
+    def _levels(self, ln: np.ndarray, lp: np.ndarray, left: np.ndarray, size: int, less: int) -> np.ndarray:
+        """Worst gap of a field's levels without ``less`` pairs of a class."""
+        ca, cb = np.bincount(ln, left, size), np.bincount(lp, left, size)
+        after = left.sum() - less
+        gaps = self._gap(ca / after, cb / after)
+        if not less:
+            return np.full(len(ln), gaps.max())
+        worst, equal = np.argsort(-gaps, kind="stable")[:3], ln == lp
+        others = np.where((worst[:, None] == ln) | (worst[:, None] == lp), 0.0, gaps[worst][:, None]).max(axis=0)
+        own = self._gap((ca[ln] - 1) / after, (cb[ln] - equal) / after), self._gap((ca[lp] - equal) / after, (cb[lp] - 1) / after)
+        return np.maximum(others, np.maximum(*own))
+
+    def removed(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = pd.concat(list(batches), ignore_index=True)
+        if classes.empty:
+            return
+        ranks = [np.asarray(r, np.int64) for r in classes.ranks]
+        left = np.array([len(r) for r in ranks], np.float64)
+        taken = np.zeros(len(ranks), np.int64)
+        numeric, levels = [], []
+        for f in self.continuous:
+            a, b = classes[f"neg_{f}"].to_numpy(float), classes[f"pos_{f}"].to_numpy(float)
+            seen = np.isfinite(a) & np.isfinite(b)
+            numeric.append((np.where(seen, a, 0.0), np.where(seen, b, 0.0), seen.astype(float)))
+        for f in self.categorical:
+            codes, names = pd.factorize(pd.concat([classes[f"neg_{f}"], classes[f"pos_{f}"]]))
+            levels.append((codes[: len(ranks)], codes[len(ranks) :], len(names)))
+        out: list[int] = []
+
+        def objective(less: int) -> np.ndarray:
+            if left.sum() - less < 1:
+                return np.full(len(ranks), np.inf)
+            parts = [self._numeric(*x, left, np.full(len(ranks), float(less))) for x in numeric]
+            parts += [self._levels(ln, lp, left, size, less) for ln, lp, size in levels]
+            return np.maximum.reduce([np.zeros(len(ranks)), *parts])
+
+        while left.sum() > self.minimum and (self.to_minimum or objective(0)[0] > 1.0):
+            values = np.where(left > 0, objective(1), np.nan)
+            tied = np.flatnonzero(values == np.nanmin(values))
+            best = min(tied.tolist(), key=lambda c: ranks[c][taken[c]])
+            out.append(int(ranks[best][taken[best]]))
+            taken[best] += 1
+            left[best] -= 1
+        yield pd.DataFrame({"__rank": np.array(out, np.int64)})
+
+
 def _long_sides(wide: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per pair member, labelled by side."""
     row = lambda i, s: F.struct(F.lit(i).alias("side"), *[F.col(f"{s}_{f}").alias(f) for f in fields])

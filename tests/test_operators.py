@@ -355,11 +355,11 @@ def test_trim_query_stops_at_balance_or_half_of_the_pairs(spark, monkeypatch):
     trim = balance.trim_pairs
 
     def watched(wide, continuous, categorical, minimum, **options):
-        seen.append((wide.count(), minimum, options.get("to_minimum", False), options.get("per_round", 1)))
+        seen.append((wide.count(), minimum, options.get("to_minimum", False)))
         return trim(wide, continuous, categorical, minimum, **options)
 
     monkeypatch.setattr(balance, "trim_pairs", watched)
     left = all_queries()["a18_trim_to_balance"](spark, "/root/testdata/sf0.001").count()
-    ((n, minimum, to_minimum, per_round),) = seen
-    assert (minimum, to_minimum, per_round) == (n // 2, False, 1)
+    ((n, minimum, to_minimum),) = seen
+    assert (minimum, to_minimum) == (n // 2, False)
     assert n // 2 <= left <= n
