@@ -89,13 +89,14 @@ def newton_sql(src: str, cell: str, x: str, steps: int = 9, l2: float = 0.0, fix
         out.append(f"""q{i} AS (SELECT {dc}, b.a, b.s, d.x, d.y, d.w, 1/(1+exp(-least(greatest(b.a + b.s*d.x, -40), 40))) AS p FROM da d JOIN b{i} b ON {on}),
         g{i} AS (SELECT {cell}, any_value(a) AS a, any_value(s) AS s, sum(w*(p-y)) AS g0, sum(w*(p-y)*x) AS g1, sum(w*greatest(p*(1-p), 1e-9::DOUBLE)) AS h00, sum(w*greatest(p*(1-p), 1e-9::DOUBLE)*x) AS h01, sum(w*greatest(p*(1-p), 1e-9::DOUBLE)*x*x) AS h11 FROM q{i} GROUP BY {cell}),
         b{i + 1} AS (SELECT {cell}, {step} FROM g{i})""")
-    out.append(f"fit AS (SELECT {cell}, a AS intercept, s AS slope FROM b{steps})")
+    last = f"b{steps} d JOIN b{steps - 1} b ON {on}"
+    out.append(f"fit AS (SELECT {dc}, d.a AS intercept, d.s AS slope, greatest(abs(d.a - b.a), abs(d.s - b.s)) < 1e-8 AS converged FROM {last})")
     return ", ".join(out)
 
 
 @query(
     "m4_calibration_slope",
-    f"{BASE}, {newton_sql('preds', 'arm, seed', 'logit', l2=1.0)} SELECT arm, seed, {r('intercept')} AS intercept, {r('slope')} AS slope FROM fit",
+    f"{BASE}, {newton_sql('preds', 'arm, seed', 'logit', l2=1.0)} SELECT arm, seed, {r('intercept')} AS intercept, {r('slope')} AS slope, converged FROM fit",
 )
 def _(t):
     return rounded(calibrate.fit_cells(t.predictions(), CELL, "logit", "y", l2=1.0), "intercept", "slope")
@@ -103,10 +104,10 @@ def _(t):
 
 @query(
     "m4_calibration_in_the_large",
-    f"{BASE}, {newton_sql('preds', 'arm, seed', 'logit', fixed=True)} SELECT arm, seed, {r('intercept')} AS intercept FROM fit",
+    f"{BASE}, {newton_sql('preds', 'arm, seed', 'logit', fixed=True)} SELECT arm, seed, {r('intercept')} AS intercept, converged FROM fit",
 )
 def _(t):
-    return rounded(calibrate.fit_cells(t.predictions(), CELL, "logit", "y", fixed_slope=True).select(*CELL, "intercept"), "intercept")
+    return rounded(calibrate.fit_cells(t.predictions(), CELL, "logit", "y", fixed_slope=True).drop("slope"), "intercept")
 
 
 @query(
@@ -241,7 +242,7 @@ def _(t):
 
 # ---- bootstrap ----
 
-REPS = 40
+REPS = 200
 
 
 def draws_sql(src: str, unit: str, salt: str, reps: int = REPS, by: str = "", name: str = "dr") -> str:
@@ -394,25 +395,28 @@ def _(t):
     return ci(v, ["arm"])
 
 
-B10 = 8
-
-
 @query(
     "b10_transport_interval",
     f"""{BASE}, sp AS ({split_sql('units', 'y', 'cal', ((0.5, 'cal'),), 'eval')}), pc AS (SELECT p.*, split FROM preds p JOIN sp ON sp.unit_id=p.unit_id), ca AS (SELECT * FROM pc WHERE split='cal'), ev AS (SELECT * FROM pc WHERE split='eval'),
-    {draws_sql('ca', 'unit_id', 'tb-cal', B10, name='dc')}, {draws_sql('ev', 'unit_id', 'tb-eval', B10, name='de')}, {draws_sql('pc', 'seed', 'tb-seed', B10, name='sd')},
+    {draws_sql('ca', 'unit_id', 'tb-cal', name='dc')}, {draws_sql('ev', 'unit_id', 'tb-eval', name='de')}, {draws_sql('pc', 'seed', 'tb-seed', name='sd')},
     cw AS (SELECT arm, seed, rep, y, logit, times FROM ca JOIN dc ON dc.unit_id=ca.unit_id), {newton_sql('cw', 'arm, seed, rep', 'logit', weight='times')},
-    ew AS (SELECT e.arm, e.seed, d.rep, e.y, times, 1/(1+exp(-(intercept + slope*logit))) AS prob FROM ev e JOIN de d ON d.unit_id=e.unit_id JOIN fit f ON f.arm=e.arm AND f.seed=e.seed AND f.rep=d.rep),
-    rr AS (SELECT arm, seed, rep, sum(times * -{LOSS})/sum(times) AS v FROM ew GROUP BY 1, 2, 3), hv AS (SELECT arm, a.rep, sum(times*v)/sum(times) AS value FROM rr a JOIN sd ON sd.rep=a.rep AND sd.seed=a.seed GROUP BY 1, 2),
-    pv AS (SELECT a.rep, a.value-b.value AS value FROM hv a JOIN hv b ON a.rep=b.rep AND a.arm='fusion' AND b.arm='audio') {ci_sql('pv', '', B10)}""",
+    rt AS (SELECT arm, seed, rep, sum(times*y)/sum(times) AS rate FROM cw GROUP BY 1, 2, 3),
+    bf AS (SELECT f.arm, f.seed, f.rep, CASE WHEN slope <= 0 THEN ln(rate) - ln(1 - rate) ELSE intercept END AS intercept, greatest(slope, 1e-12) AS slope
+      FROM fit f JOIN rt ON rt.arm=f.arm AND rt.seed=f.seed AND rt.rep=f.rep),
+    ew AS (SELECT e.arm, e.seed, d.rep, e.y, e.logit, times, 1/(1+exp(-(intercept + slope*logit))) AS prob FROM ev e JOIN de d ON d.unit_id=e.unit_id JOIN bf f ON f.arm=e.arm AND f.seed=e.seed AND f.rep=d.rep),
+    rr AS (SELECT arm, seed, rep, 'neg_nll' AS metric, sum(times * -{LOSS})/sum(times) AS v FROM ew GROUP BY 1, 2, 3
+      UNION ALL SELECT arm, seed, rep, 'neg_brier', sum(times * -(prob-y)*(prob-y))/sum(times) FROM ew GROUP BY 1, 2, 3
+      UNION ALL SELECT arm, seed, rep, 'auroc', auroc FROM ({auc_sql('ew', 'arm, seed, rep', weight='times')})),
+    hv AS (SELECT arm, metric, a.rep, sum(times*v)/sum(times) AS value FROM rr a JOIN sd ON sd.rep=a.rep AND sd.seed=a.seed GROUP BY 1, 2, 3),
+    pv AS (SELECT a.metric, a.rep, a.value-b.value AS value FROM hv a JOIN hv b ON a.rep=b.rep AND a.metric=b.metric AND a.arm='fusion' AND b.arm='audio') {ci_sql('pv', 'metric')}""",
 )
 def _(t):
     from tessera.plans.evaluation import transport_replicates
 
     s = splits.stratified_split(t.units().select("unit_id", "y"), "unit_id", ["y"], "cal", [("cal", 0.5)], "eval").select("unit_id", "split")
     p = t.predictions().join(s, "unit_id")
-    v = transport_replicates(p.where("split = 'cal'"), p.where("split = 'eval'"), ["arm"], "seed", "unit_id", "y", "logit", B10, "tb")
-    return ci(bootstrap.paired_replicates(v, "arm", "fusion", "audio"), [], B10)
+    v = transport_replicates(p.where("split = 'cal'"), p.where("split = 'eval'"), ["arm"], "seed", "unit_id", "y", "logit", REPS, "tb")
+    return ci(bootstrap.paired_replicates(v, "arm", "fusion", "audio", ["metric"]), ["metric"])
 
 
 # ---- retrieval ----
@@ -687,7 +691,7 @@ MONO = f"{BASE}, {newton_sql('preds', 'arm, seed', 'logit')}"
 
 @query(
     "l11_monotone_transport",
-    f"{MONO} SELECT arm, seed, {r('CASE WHEN slope <= 0 THEN (SELECT ln(avg(y)) - ln(1-avg(y)) FROM preds) ELSE intercept END')} AS intercept, {r('greatest(slope, 1e-12)')} AS slope, slope <= 0 AS boundary_fit FROM fit",
+    f"{MONO} SELECT arm, seed, {r('CASE WHEN slope <= 0 THEN (SELECT ln(avg(y)) - ln(1-avg(y)) FROM preds) ELSE intercept END')} AS intercept, {r('greatest(slope, 1e-12)')} AS slope, slope <= 0 AS boundary_fit, converged FROM fit",
 )
 def _(t):
     return rounded(calibrate.monotone_fit(t.predictions(), CELL, "logit", "y"), "intercept", "slope")
@@ -757,9 +761,16 @@ def _(t):
     return gates.grid_gates(ci(auroc_replicates(t), ["arm"]), 0.01)
 
 
-@query("x1_metric_comparison", f"""{HB}, pv AS (SELECT 'auroc' AS metric, a.rep, a.value-b.value AS value FROM hv a JOIN hv b ON a.rep=b.rep AND a.arm='fusion' AND b.arm='audio'), i AS ({ci_sql('pv', 'metric')}) SELECT metric, ci_low, ci_high, n_valid FROM i""")
+@query(
+    "x1_metric_comparison",
+    f"""{HB}, ad AS (SELECT p.arm, p.seed, rep, CASE WHEN sum(times*y) > 0 AND sum(times*(1-y)) > 0 THEN sum(times * -{LOSS})/sum(times) END AS neg_nll,
+      CASE WHEN sum(times*y) > 0 AND sum(times*(1-y)) > 0 THEN sum(times * -(prob-y)*(prob-y))/sum(times) END AS neg_brier FROM preds p JOIN dr ON dr.unit_id=p.unit_id GROUP BY 1, 2, 3),
+    al AS (SELECT arm, seed, rep, metric, v FROM ad UNPIVOT INCLUDE NULLS (v FOR metric IN (neg_nll, neg_brier)) UNION ALL SELECT arm, seed, rep, 'auroc', auroc FROM au),
+    hm AS (SELECT arm, metric, a.rep, CASE WHEN count(*) = count(v) THEN sum(times*v)/sum(times) END AS value FROM al a JOIN sd ON sd.rep=a.rep AND sd.seed=a.seed GROUP BY 1, 2, 3),
+    pv AS (SELECT a.metric, a.rep, a.value-b.value AS value FROM hm a JOIN hm b ON a.rep=b.rep AND a.metric=b.metric AND a.arm='fusion' AND b.arm='audio'), i AS ({ci_sql('pv', 'metric')}) SELECT metric, ci_low, ci_high, n_valid FROM i""",
+)
 def _(t):
-    return compare_arms(t.predictions(), "arm", "fusion", "audio", "seed", "unit_id", ("auroc",), "y", "logit", "prob", REPS, "hb").select(
+    return compare_arms(t.predictions(), "arm", "fusion", "audio", "seed", "unit_id", bootstrap.METRICS, "y", "logit", "prob", REPS, "hb").select(
         "metric", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "n_valid"
     )
 

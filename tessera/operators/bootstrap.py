@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import hash_below, hash_unit, poisson_weight, salted_sha
-from tessera.operators import metrics
+from tessera.operators import metrics, replicates
 from tessera.operators.joins import ContractError, same_key_join
-from tessera.operators.ranked import range_edges, ranked
+from tessera.operators.ranked import ranked
 from tessera.session import cut_lineage
 
 METRICS = ("auroc", "neg_nll", "neg_brier")
@@ -106,31 +106,34 @@ def replicate_metric(
 ) -> DataFrame:
     """Replicates ``(cell..., rep, value)`` of one of METRICS; one-class replicates are NULL.
 
-    Additive metrics are reduced to cluster sums before the draws are joined. Only AUROC carries
-    rows, and those are grouped by distinct score at once.
+    Rows are reduced first: additive metrics to sums per cluster, AUROC to one row per cluster, score and label. What is
+    left carries its draws as arrays; Poisson draws are computed from the cluster in place, without a join.
     """
     if metric not in METRICS:
         raise ValueError(metric)
     extra = [seed] if seed else []
-    d = draws(pred, cluster, reps, salt, scheme=scheme)
+    keys = [*cell, *extra]
+    y = F.col(label)
     if metric == "auroc":
-        edges = range_edges(pred, score)
-        # rows of one cluster with the same score and label are one row from here on
-        tied = pred.groupBy(*cell, *extra, cluster, score, label).agg(F.count(F.lit(1)).alias("__k"))
-        rows = tied.join(d, cluster).withColumn("times", F.col("times") * F.col("__k"))
-        per = metrics.auroc(rows, [*cell, *extra, "rep"], score, label, "times", edges).withColumnRenamed("auroc", "value")
+        rows = pred.groupBy(*keys, cluster, score, label).agg(F.count(F.lit(1)).alias("__k"))
     else:
-        y = F.col(label)
         loss = metrics.log_loss(y, F.col(prob)) if metric == "neg_nll" else metrics.brier(y, F.col(prob))
-        sums = pred.groupBy(*cell, *extra, cluster).agg(
+        rows = pred.groupBy(*keys, cluster).agg(
             F.sum(-loss).alias("__s"), F.count(F.lit(1)).alias("__c"), F.sum((y == 1).cast("long")).alias("__p")
         )
-        t = F.col("times")
-        both = (F.sum(t * F.col("__p")) > 0) & (F.sum(t * (F.col("__c") - F.col("__p"))) > 0)
-        per = sums.join(d, cluster).groupBy(*cell, *extra, "rep").agg(
-            F.when(both, F.sum(t * F.col("__s")) / F.sum(t * F.col("__c"))).alias("value")
-        )
-    return over_seeds(per.select(*cell, *extra, "rep", "value"), pred, cell, seed, reps, salt)
+    rows, cells = replicates.keyed(rows, keys)
+    if scheme == "poisson":
+        drawn = replicates.with_poisson(rows, [cluster], reps, salt)
+    else:
+        drawn = replicates.joined_draws(rows, draws(pred, cluster, reps, salt, scheme=scheme), [cluster])
+    if metric == "auroc":
+        drawn = drawn.withColumn("__times", F.transform("__times", lambda t: (t * F.col("__k")).cast("int")))
+        per = replicates.auroc(drawn, cells, keys, score, label, reps).withColumnRenamed("auroc", "value")
+    else:
+        sums = replicates.additive(drawn, cells, reps, ["__s", "__c", "__p"])
+        both = (F.col("__p") > 0) & (F.col("__c") > F.col("__p"))
+        per = sums.withColumn("value", F.when(both, F.col("__s") / F.col("__c")))
+    return over_seeds(per.select(*keys, "rep", "value"), pred, cell, seed, reps, salt)
 
 
 def paired_replicates(values: DataFrame, arm: str, a: str, b: str, shared: Sequence[str] = ()) -> DataFrame:
@@ -167,9 +170,10 @@ def replicate_macro_auroc(
     pred: DataFrame, cell: Sequence[str], rater: str, unit: str, score: str, label: str, reps: int, salt: str
 ) -> DataFrame:
     """Units redrawn within each rater; the replicate is the mean AUROC over raters with both classes."""
-    d = draws(pred, unit, reps, salt, by=[rater])
-    rows = pred.join(d, [rater, unit])
-    per = metrics.auroc(rows, [*cell, rater, "rep"], score, label, "times", range_edges(pred, score))
+    keys = [*cell, rater]
+    rows, cells = replicates.keyed(pred, keys)
+    drawn = replicates.joined_draws(rows, draws(pred, unit, reps, salt, by=[rater]), [rater, unit])
+    per = replicates.auroc(drawn, cells, keys, score, label, reps)
     return per.groupBy(*cell, "rep").agg(F.avg("auroc").alias("value"))
 
 

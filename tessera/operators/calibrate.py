@@ -8,24 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import logit, sigmoid
-from tessera.operators.joins import BROADCAST_ROWS, broadcast_if_small, same_key_join
+from tessera.operators import replicates
+from tessera.operators.joins import broadcast_if_small, same_key_join
 from tessera.operators.ranked import range_edges, with_range_bucket
 from tessera.session import cut_lineage
 
-ITERATIONS = 30
-TOLERANCE = 1e-10
-
-
-def cell_counts(df: DataFrame, cell: Sequence[str], x: str, label: str, weight: str | None = None) -> DataFrame:
-    """Rows reduced to weights per (cell, x, label), materialised because every Newton step reads them."""
-    w = F.col(weight) if weight else F.lit(1)
-    return cut_lineage(
-        df.groupBy(*cell, F.col(x).cast("double").alias("__x"), F.col(label).cast("double").alias("__y")).agg(
-            F.sum(w).cast("double").alias("__w")
-        )
-    )
-
-
 def fit_cells(
     df: DataFrame,
     cell: Sequence[str],
@@ -35,86 +22,34 @@ def fit_cells(
     l2: float = 0.0,
     fixed_slope: bool = False,
 ) -> DataFrame:
-    """``(cell..., intercept, slope)`` of the logistic regression of ``label`` on ``x`` per cell.
+    """``(cell..., intercept, slope, converged)`` of the logistic regression of ``label`` on ``x`` per cell.
 
-    ``l2`` penalises the slope. With ``fixed_slope`` the slope stays 1.
+    ``l2`` penalises the slope. With ``fixed_slope`` the slope stays 1. All cells are fitted at once.
     """
-    return fit_counts(cell_counts(df, cell, x, label, weight), cell, l2, fixed_slope)
+    rows, cells = replicates.plain_rows(df, cell, x, label, weight)
+    return replicates.fit_replicates(rows, cells, cell, 1, l2, fixed_slope).select(*cell, "intercept", "slope", "converged")
 
 
-def fit_counts(data: DataFrame, cell: Sequence[str], l2: float = 0.0, fixed_slope: bool = False) -> DataFrame:
-    """Newton steps over all cells at once until the largest step is below the tolerance.
+def bounded_fits(fits: DataFrame) -> DataFrame:
+    """Fits with a positive slope; a slope of 0 or less moves to the boundary 1e-12.
 
-    One step is a join with the coefficient table and one grouped sum; the 2x2 system is solved in
-    column expressions. Up to ``BROADCAST_ROWS`` cells the coefficients are broadcast and kept on
-    the driver between steps; beyond that they are checkpointed and joined by a shuffle.
+    At the boundary the score has no weight left, so the intercept is the logit of the base rate.
     """
-    mean_x, mean_y = "sum(__w * __x) / sum(__w)", "sum(__w * __y) / sum(__w)"
-    start = logit(F.expr(mean_y), 1e-12)
-    beta = data.groupBy(*cell).agg(
-        ((start - F.expr(mean_x)) if fixed_slope else start).alias("intercept"),
-        F.lit(1.0 if fixed_slope else 0.0).alias("slope"),
+    low, rate = F.col("slope") <= 0, F.col("n_pos") / F.col("n")
+    return fits.withColumns(
+        {
+            "boundary_fit": low,
+            "intercept": F.when(low, logit(rate, 1e-12)).otherwise(F.col("intercept")),
+            "slope": F.when(low, F.lit(1e-12)).otherwise(F.col("slope")),
+        }
     )
-    # eta is clipped to +-40, so the plain logistic form cannot overflow
-    p = "1D / (1D + exp(-greatest(least(intercept + slope * __x, 40D), -40D)))"
-    sums = {
-        "b0": "first(intercept)",
-        "b1": "first(slope)",
-        "g0": "sum(__r)",
-        "g1": "sum(__r * __x)",
-        "h00": "sum(__h)",
-        "h01": "sum(__h * __x)",
-        "h11": "sum(__h * __x * __x)",
-    }
-    g1, h11 = f"(g1 + {l2!r}D * b1)", f"(h11 + {l2!r}D)"
-    det = f"(h00 * {h11} - h01 * h01)"
-    if fixed_slope:
-        step0, step1 = "g0 / h00", "0D"
-    else:
-        step0 = f"IF({det} > 0, ({h11} * g0 - h01 * {g1}) / {det}, 0D)"
-        step1 = f"IF({det} > 0, (h00 * {g1} - h01 * g0) / {det}, 0D)"
-    update = [
-        F.expr(f"greatest(least({b} - {s}, 100D), -100D) AS {n}")
-        for b, s, n in (("b0", step0, "intercept"), ("b1", step1, "slope"))
-    ]
-    moved = F.expr(f"greatest(abs({step0}), abs({step1})) AS __moved")
-    terms = [F.expr(f"{v} AS {n}") for n, v in sums.items()]
-    beta = cut_lineage(beta)
-    few = beta.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    for _ in range(ITERATIONS):
-        j = same_key_join(data, F.broadcast(beta) if few else beta, cell).withColumn("__p", F.expr(p))
-        j = j.withColumns({"__r": F.expr("__w * (__p - __y)"), "__h": F.expr("__w * greatest(__p * (1D - __p), 1e-9D)")})
-        step = j.groupBy(*cell).agg(*terms).select(*cell, *update, moved)
-        if few:
-            # one row per cell, counted above: the driver holds the coefficients between steps
-            rows = step.collect()
-            beta = data.sparkSession.createDataFrame(rows, step.schema).drop("__moved")
-            largest = max((row["__moved"] for row in rows if row["__moved"] is not None), default=None)
-        else:
-            step = cut_lineage(step)
-            beta = step.drop("__moved")
-            largest = step.agg(F.max("__moved")).first()[0]
-        if largest is None or largest < TOLERANCE:
-            break
-    return beta
 
 
 def monotone_fit(df: DataFrame, cell: Sequence[str], x: str, label: str, weight: str | None = None) -> DataFrame:
-    """Logistic fit with a positive slope; a negative slope moves to the boundary 1e-12.
-
-    At the boundary the score has no weight left, so the intercept is the logit of the base rate.
-    """
-    data = cell_counts(df, cell, x, label, weight)
-    rates = data.groupBy(*cell).agg(F.expr("sum(__w * __y) / sum(__w) AS __rate"))
-    j = same_key_join(fit_counts(data, cell), rates, cell)
-    low = F.col("slope") <= 0
-    fits = j.select(
-        *cell,
-        F.when(low, logit(F.col("__rate"), 1e-12)).otherwise(F.col("intercept")).alias("intercept"),
-        F.when(low, F.lit(1e-12)).otherwise(F.col("slope")).alias("slope"),
-        low.alias("boundary_fit"),
-    )
-    return cut_lineage(fits)
+    """Logistic fit with a positive slope per cell: intercept, slope, boundary_fit, converged."""
+    rows, cells = replicates.plain_rows(df, cell, x, label, weight)
+    fits = bounded_fits(replicates.fit_replicates(rows, cells, cell, 1))
+    return cut_lineage(fits.select(*cell, "intercept", "slope", "boundary_fit", "converged"))
 
 
 def apply_fit(df: DataFrame, fits: DataFrame, cell: Sequence[str], x: str, out: str) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import bootstrap, calibrate, metrics, retrieval
+from tessera.operators import bootstrap, calibrate, metrics, replicates, retrieval
 from tessera.operators.joins import same_key_join
+from tessera.session import cut_lineage
 
 
 def compare_arms(
@@ -28,24 +29,33 @@ def compare_arms(
 def transport_replicates(
     calibration: DataFrame, evaluation: DataFrame, cell: Sequence[str], seed: str, unit: str, label: str, logit: str, reps: int, salt: str
 ) -> DataFrame:
-    """Replicates of the negative log loss after transport, refitting every calibrator per replicate.
+    """Replicates ``(cell..., metric, rep, value)`` of AUROC, negative log loss and negative Brier score after transport.
 
-    A replicate with one class on either side is NULL. Both sets are redrawn; one grouped fit covers every (cell, seed, replicate).
+    Both sets are redrawn and every calibrator is refitted in every replicate; all fits are taken together. AUROC ranks by
+    the score before transport, which a positive slope does not reorder. A replicate with one class on either side is NULL.
     """
-    keys = [*cell, seed, "rep"]
-    dc = bootstrap.draws(calibration, unit, reps, f"{salt}-cal")
-    de = bootstrap.draws(evaluation, unit, reps, f"{salt}-eval")
-    drawn = calibration.select(*cell, seed, unit, label, logit).join(dc, unit)
-    fits = calibrate.monotone_fit(drawn, keys, logit, label, "times")
-    held = evaluation.select(*cell, seed, unit, label, logit).join(de, unit)
-    scored = calibrate.apply_fit(held, fits, keys, logit, "moved")
-    loss = metrics.log_loss(F.col(label), F.col("moved"))
-    both = F.min(label) != F.max(label)
-    per = scored.groupBy(*keys).agg(F.when(both, F.sum(-loss * F.col("times")) / F.sum("times")).alias("value"))
-    usable = drawn.groupBy(*keys).agg((F.min(label) != F.max(label)).alias("__ok"))
-    per = same_key_join(per, usable, keys).withColumn("value", F.when(F.col("__ok"), F.col("value"))).drop("__ok")
+    keys = [*cell, seed]
+
+    def drawn(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.select(*keys, unit, F.col(logit).cast("double").alias("__x"), F.col(label).cast("double").alias("__y"))
+        rows, cells = replicates.keyed(replicates.joined_draws(rows, bootstrap.draws(rows, unit, reps, f"{salt}-{side}"), [unit]), keys)
+        return cut_lineage(rows), cut_lineage(cells)
+
+    fitted, cells = drawn(calibration, "cal")
+    fits = calibrate.bounded_fits(replicates.fit_replicates(fitted, cells, keys, reps))
+    two_classes = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
+    usable = fits.where(two_classes).select(*keys, "rep", "intercept", "slope")
+    held, cells = drawn(evaluation, "eval")
+    losses = replicates.score_fits(held, cells, usable, keys, reps, metrics.EPS).where(two_classes)
+    area = replicates.auroc(held, cells, keys, "__x", "__y", reps)
+    both = same_key_join(losses, area, [*keys, "rep"])
+    # a replicate without a usable fit has NaN losses
+    both = both.withColumns({"neg_nll": F.nanvl(-F.col("nll") / F.col("n"), F.lit(None).cast("double")), "neg_brier": F.nanvl(-F.col("brier") / F.col("n"), F.lit(None).cast("double"))})
+    both = both.withColumn("auroc", F.when(F.col("neg_nll").isNotNull(), F.col("auroc")))
+    every = cells.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    per = same_key_join(every, both, [*keys, "rep"], "left").unpivot([*keys, "rep"], list(bootstrap.METRICS), "metric", "value")
     seeds = calibration.select(seed).unionByName(evaluation.select(seed))
-    return bootstrap.over_seeds(per, seeds, cell, seed, reps, salt)
+    return bootstrap.over_seeds(per, seeds, [*cell, "metric"], seed, reps, salt)
 
 
 def retrieval_audit(
