@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from itertools import accumulate
 
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.bindings.base import H, HU, PREDS, UNITS, query, r, rounded
 from tessera.bindings.splits_balance import SPLIT_U, frozen_split, split_sql
-from tessera.operators import bootstrap, calibrate, gates, heads, metrics, profile, retrieval, splits
+from tessera.operators import bootstrap, calibrate, gates, heads, metrics, profile, readouts, retrieval, splits
 from tessera.plans.evaluation import compare_arms
 from tessera.session import cut_lineage
 
@@ -674,6 +675,118 @@ def _(t):
     )
 
 
+def readout_sql(src: str, cell: str, grid: Sequence[float] = heads.C_GRID, steps: int = 10, name: str = "rf") -> str:
+    """Unrolled Newton steps of penalised fits on two standardised features x1, x2, one per cell and strength; ends in ``name``
+    (cell..., c, a, b1, b2), for features as they are."""
+    d = name
+    on = " AND ".join(f"x.{c.strip()} = b.{c.strip()}" for c in cell.split(","))
+    sd = lambda x: f"CASE WHEN stddev_pop({x}) > 0 THEN stddev_pop({x}) ELSE 1 END"
+    out = [
+        f"{d}_st AS (SELECT {cell}, avg(x1) AS m1, {sd('x1')} AS s1, avg(x2) AS m2, {sd('x2')} AS s2 FROM {src} GROUP BY {cell})",
+        f"{d}_rd AS (SELECT x.*, g.c, (x1 - m1)/s1 AS u, (x2 - m2)/s2 AS v FROM {src} x JOIN {d}_st b ON {on}, (SELECT unnest([{', '.join(f'{c!r}::DOUBLE' for c in grid)}]) AS c) g)",
+        f"{d}_0 AS (SELECT {cell}, c, ln(avg(y)) - ln(1 - avg(y)) AS a, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q FROM {d}_rd GROUP BY {cell}, c)",
+    ]
+    det = "(h00*(h11*h22 - h12*h12) - h01*(h01*h22 - h12*h02) + h02*(h01*h12 - h11*h02))"
+    for i in range(steps):
+        out.append(f"""{d}_g{i} AS (SELECT {cell}, c, any_value(a) AS a, any_value(p) AS p, any_value(q) AS q, sum(e) AS g0, sum(e*u) + any_value(p)/c AS g1, sum(e*v) + any_value(q)/c AS g2,
+          sum(h) AS h00, sum(h*u) AS h01, sum(h*v) AS h02, sum(h*u*u) + 1/c AS h11, sum(h*u*v) AS h12, sum(h*v*v) + 1/c AS h22 FROM (
+            SELECT *, pr - y AS e, pr*(1 - pr) AS h FROM (SELECT x.*, b.a, b.p, b.q, 1/(1 + exp(-(b.a + b.p*x.u + b.q*x.v))) AS pr FROM {d}_rd x JOIN {d}_{i} b ON {on} AND x.c = b.c)) GROUP BY {cell}, c),
+        {d}_{i + 1} AS (SELECT {cell}, c, a - (g0*(h11*h22 - h12*h12) - h01*(g1*h22 - h12*g2) + h02*(g1*h12 - h11*g2))/{det} AS a,
+          p - (h00*(g1*h22 - g2*h12) - g0*(h01*h22 - h12*h02) + h02*(h01*g2 - g1*h02))/{det} AS p, q - (h00*(h11*g2 - h12*g1) - h01*(h01*g2 - g1*h02) + g0*(h01*h12 - h11*h02))/{det} AS q FROM {d}_g{i})""")
+    out.append(f"{name} AS (SELECT x.*, x.a0 - x.b1*m1 - x.b2*m2 AS a FROM (SELECT {', '.join('x.' + c.strip() for c in cell.split(','))}, x.c, x.a AS a0, x.p/s1 AS b1, x.q/s2 AS b2, m1, m2 FROM {d}_{steps} x JOIN {d}_st b ON {on}) x)")
+    return ", ".join(out)
+
+
+def one_se_sql(src: str, by: str = "") -> str:
+    """CTEs ``ps`` and ``pick``: per (by, c) the mean fold AUROC of ``src`` (by, c, fold, auroc), and the strength chosen."""
+    pre, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    on = f"WHERE {' AND '.join(f'p.{b.strip()} = t.{b.strip()}' for b in by.split(','))}" if by else ""
+    return f"""ps AS (SELECT {pre}c, avg(auroc) AS mean, stddev_samp(auroc)/sqrt(count(auroc)) AS se FROM {src} GROUP BY {pre}c),
+    th AS (SELECT * FROM (SELECT {pre}mean - se AS threshold, row_number() OVER ({part}ORDER BY mean DESC, c) AS k FROM ps) WHERE k = 1),
+    pick AS (SELECT {pre}min(c) AS chosen, any_value(threshold) AS threshold FROM (SELECT p.*, t.threshold FROM ps p, th t {on}) WHERE mean >= threshold{f' GROUP BY {by}' if by else ''})"""
+
+
+TARGET = f"""{UNITS}, fo AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY sha256('tgt|' || unit_id)) - 1) % 5 AS fold, ln(1 + n_chars) AS x1, toxic::DOUBLE AS x2 FROM units),
+fr AS (SELECT h.held, f.y, f.x1, f.x2 FROM fo f, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS held) h WHERE h.held <> f.fold), {readout_sql('fr', 'held')},
+oo AS (SELECT f.unit_id, f.fold, f.y, r.c, round(r.a + r.b1*f.x1 + r.b2*f.x2, 10) AS logit FROM fo f JOIN rf r ON r.held = f.fold), oa AS ({auc_sql('oo', 'c, fold')}), {one_se_sql('oa')}"""
+
+
+def target_rows(t) -> DataFrame:
+    u = splits.stratified_folds(t.units(), "unit_id", "y", None, 5, "tgt")
+    return u.select("unit_id", "y", "fold", F.array(F.log(1 + F.col("n_chars")), F.col("toxic").cast("double")).alias("x"))
+
+
+@query(
+    "l6_target_head",
+    f"""WITH {TARGET}, po AS (SELECT 0 AS one, y, logit FROM oo, pick WHERE c = chosen), {newton_sql('po', 'one', 'logit', l2=1.0)}
+    SELECT f.unit_id, chosen AS c, {r('o.logit', 4)} AS oof_logit, {r('r.a + r.b1*f.x1 + r.b2*f.x2', 4)} AS logit, {r('1/(1+exp(-(intercept + slope*(r.a + r.b1*f.x1 + r.b2*f.x2))))', 5)} AS prob
+    FROM fo f, pick, fit, rf r, oo o WHERE r.held = -1 AND r.c = chosen AND o.unit_id = f.unit_id AND o.c = chosen""",
+)
+def _(t):
+    head = readouts.target_head(target_rows(t), "x", "y", "fold")
+    out = head.scores.select("unit_id", F.lit(head.c).alias("c"), "oof_logit", "logit", "prob")
+    return rounded(rounded(out, "oof_logit", "logit", places=4), "prob", places=5)
+
+
+@query("l6_target_selection", f"WITH {TARGET} SELECT c, {r('mean', 5)} AS mean, {r('se', 5)} AS se, {r('threshold', 5)} AS threshold, c = chosen AS chosen FROM ps, pick")
+def _(t):
+    head = readouts.target_head(target_rows(t), "x", "y", "fold")
+    return rounded(head.selection.select("c", "mean", "se", "threshold", "chosen"), "mean", "se", "threshold", places=5)
+
+
+COHORT = f"""{UNITS}, s0 AS ({SPLIT_U}), vf AS (SELECT unit_id, (row_number() OVER (PARTITION BY y ORDER BY sha256('chf|' || unit_id)) - 1) % 5 AS fold FROM s0 WHERE split='validation'),
+ch AS (SELECT s.*, coalesce(fold, -1) AS fold FROM (SELECT unit_id, y, split, ln(1 + n_chars) AS z1, toxic::DOUBLE AS z2 FROM s0) s LEFT JOIN vf ON vf.unit_id = s.unit_id),
+ar AS (SELECT unnest(['text', 'metadata', 'text_plus_metadata']) AS arm), ca AS (SELECT arm, ch.*, CASE WHEN arm <> 'metadata' THEN z1 ELSE 0 END AS x1, CASE WHEN arm <> 'text' THEN z2 ELSE 0 END AS x2 FROM ch, ar),
+tr AS (SELECT arm, y, x1, x2 FROM ca WHERE split='train'), {readout_sql('tr', 'arm')},
+sc AS (SELECT x.*, r.c, round(r.a + r.b1*x1 + r.b2*x2, 10) AS logit FROM ca x JOIN rf r ON r.arm = x.arm), va AS ({auc_sql("(SELECT * FROM sc WHERE fold >= 0)", 'arm, c, fold')}), {one_se_sql('va', 'arm')}"""
+
+
+def cohort_rows(t) -> DataFrame:
+    s = study(t).select("unit_id", "y", "split", F.log(1 + F.col("n_chars")).alias("z1"), F.col("toxic").cast("double").alias("z2"))
+    val = splits.stratified_folds(s.where("split = 'validation'").select("unit_id", "y"), "unit_id", "y", None, 5, "chf").select("unit_id", "fold")
+    arrays = {"text": F.array("z1"), "metadata": F.array("z2"), "text_plus_metadata": F.array("z1", "z2")}
+    return s.join(val, "unit_id", "left").fillna(-1, ["fold"]).withColumns(arrays)
+
+
+@query("l2_readout_logits", f"WITH {COHORT} SELECT unit_id, {r('logit', 4)} AS logit FROM sc WHERE arm='text_plus_metadata' AND c=1.0")
+def _(t):
+    d = cohort_rows(t)
+    fits = readouts.fit_grid(d.where("split = 'train'"), "text_plus_metadata", "y", None, [None], [1.0])
+    return rounded(fits.logits(d, "text_plus_metadata", [0], "z").select("unit_id", F.element_at("z", 1).alias("logit")), "logit", places=4)
+
+
+@query(
+    "l3_selection_on_full_grid",
+    f"WITH {COHORT} SELECT p.c, {r('mean', 5)} AS mean, {r('se', 5)} AS se, {r('threshold', 5)} AS threshold, p.c = chosen AS chosen FROM ps p JOIN pick k ON k.arm=p.arm WHERE p.arm='text_plus_metadata'",
+)
+def _(t):
+    _, selection, _ = readouts.select_readout(cohort_rows(t), "text_plus_metadata", "y", "split", "fold")
+    return rounded(selection.select("c", "mean", "se", "threshold", "chosen"), "mean", "se", "threshold", places=5)
+
+
+@query(
+    "l8_fusion_readouts",
+    f"WITH {COHORT}, k AS (SELECT sc.* FROM sc JOIN pick p ON p.arm=sc.arm AND p.chosen=sc.c), a AS ({auc_sql('k', 'arm, c, split')}) SELECT arm, c, split, n_pos, n_neg, {r('auroc', 5)} AS auroc FROM a",
+)
+def _(t):
+    arms = ("text", "metadata", "text_plus_metadata")
+    return rounded(readouts.arm_results(cohort_rows(t), {a: a for a in arms}, "y", "split", "fold"), "auroc", places=5)
+
+
+PROBE = f"""{COHORT.replace('ln(1 + n_chars) AS z1, toxic::DOUBLE AS z2', "ln(1 + n_chars) AS z1, (source = (SELECT min(source) FROM units))::DOUBLE AS z2").replace('SELECT unit_id, y, split,', 'SELECT unit_id, toxic AS y, split,')}"""
+
+
+@query("l5_probe_on_full_grid", f"WITH {PROBE}, k AS (SELECT sc.* FROM sc JOIN pick p ON p.arm=sc.arm AND p.chosen=sc.c WHERE sc.arm='text_plus_metadata'), a AS ({auc_sql('k', 'c, split')}) SELECT c, split, n_pos, n_neg, {r('auroc', 5)} AS auroc FROM a")
+def _(t):
+    u = study(t)
+    first = u.agg(F.min("source")).scalar()
+    d = u.select("unit_id", "y", "split", F.col("toxic").alias("target"), F.array(F.log(1 + F.col("n_chars")), (F.col("source") == first).cast("double")).alias("x"))
+    val = splits.stratified_folds(d.where("split = 'validation'").select("unit_id", "y"), "unit_id", "y", None, 5, "chf").select("unit_id", "fold")
+    d = d.join(val, "unit_id", "left").fillna(-1, ["fold"])
+    c, _, scored = readouts.select_readout(d, "x", "target", "split", "fold")
+    return rounded(metrics.auroc(scored.withColumn("c", F.lit(c)), ["c", "split"], "logit", "target"), "auroc", places=5)
+
+
 @query(
     "l10_prior_shift_curve",
     f"""{BASE}, pi AS (SELECT arm, seed, avg(y) AS rate FROM preds GROUP BY 1, 2), z AS (SELECT p.arm, p.seed, p.y, lam, lam * (ln({CP}) - ln(1-{CP}) - (ln(rate) - ln(1-rate))) AS q FROM preds p JOIN pi ON pi.arm=p.arm AND pi.seed=p.seed, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) v(lam))
