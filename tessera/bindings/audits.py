@@ -178,10 +178,18 @@ NORMS = "nm AS (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUB
 
 @query(
     "a21_embedding_audit",
-    f"""WITH {NORMS} SELECT count(*) AS n, min(d)::INT AS min_dim, max(d)::INT AS max_dim, 0::BIGINT AS n_not_finite, sum((nrm=0)::INT)::BIGINT AS n_zero, {r('min(nrm)')} AS min_norm, {r('avg(nrm)')} AS mean_norm, {r('max(nrm)')} AS max_norm FROM nm""",
+    f"""WITH {NORMS} SELECT count(*) AS n, min(d)::INT AS min_dim, max(d)::INT AS max_dim,
+      (SELECT count(*) FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS n_not_finite, sum((nrm=0)::INT)::BIGINT AS n_zero,
+      {r('min(nrm)')} AS min_norm, {r('avg(nrm)')} AS mean_norm, {r('max(nrm)')} AS max_norm, {r('quantile_cont(nrm, 0.5)')} AS median_norm FROM nm""",
 )
 def _(t):
-    return rounded(profile.embedding_audit(t("embeddings"), "embedding"), "min_norm", "mean_norm", "max_norm")
+    return rounded(profile.embedding_audit(t("embeddings"), "embedding"), "min_norm", "mean_norm", "max_norm", "median_norm")
+
+
+@query("a21_window_histogram", "SELECT greatest(1, ceil(n_chars / 500.0))::BIGINT AS n_windows, count(*) AS n FROM documents GROUP BY 1")
+def _(t):
+    windows = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 500.0)).cast("long")
+    return profile.window_histogram(t("documents").select(windows.alias("n_windows")), "n_windows")
 
 
 POOL = """e AS (SELECT vec_id, vec_id % 40 AS unit, vec_id % 120 AS rec, label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
@@ -482,6 +490,20 @@ def _(t):
     return sinks.identifier_leaks(t("customer").select("c_name", "c_mktsegment"), t("customer"), "c_name")
 
 
+@query(
+    "k2_contained_identifiers",
+    """WITH n AS (SELECT c_mktsegment, 'members: ' || coalesce(string_agg(c_name, ', ') FILTER (c_custkey % 7 = 0), '') AS note FROM customer GROUP BY 1),
+    l AS (SELECT 'note' AS "column", n.c_mktsegment FROM n JOIN customer c ON contains(lower(note), lower(c_name)) UNION SELECT 'segment', n.c_mktsegment FROM n JOIN customer c ON contains(lower(n.c_mktsegment), lower(c_name)))
+    SELECT "column", count(*) AS n_cells FROM l GROUP BY 1""",
+)
+def _(t):
+    c = t("customer")
+    notes = c.groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("largest"), F.concat(F.lit("members: "), F.array_join(F.array_sort(F.collect_set(F.when(F.col("c_custkey") % 7 == 0, F.col("c_name")))), ", ")).alias("note")
+    )
+    return sinks.identifier_leaks(notes, c, "c_name")
+
+
 @query("k3_no_clobber", "SELECT 'written' AS first, 'identical' AS second")
 def _(t):
     out = t.scratch()

@@ -70,14 +70,35 @@ def _(t):
 
 @query(
     "s6_manifest_discovery",
-    f"WITH {CUST} SELECT o_custkey AS unit_id, count(*) AS n_files, min(o_orderkey) AS first_file FROM orders WHERE o_custkey IN (SELECT unit_id FROM cust WHERE y = 0) GROUP BY 1",
+    f"WITH {CUST} SELECT o_custkey AS unit_id, count(*) AS n_files, min('audio/' || o_orderkey) AS first_file FROM orders WHERE o_custkey IN (SELECT unit_id FROM cust WHERE y = 0) AND o_orderstatus <> 'P' GROUP BY 1",
 )
 def _(t):
-    manifest = t("orders").select(F.col("o_custkey").alias("unit_id"), F.col("o_orderkey").alias("path"))
-    found = recordings.discover(t.spark, "", t.customers().where("y = 0"), "unit_id", manifest)
+    kind = F.when(F.col("o_orderstatus") == "F", "Cough").when(F.col("o_orderstatus") == "O", "BREATH").otherwise("voice")
+    manifest = t("orders").select(F.col("o_custkey").alias("unit_id"), F.col("o_orderkey").alias("path"), kind.alias("modality"))
+    found = recordings.discover(t.spark, "audio", t.customers().where("y = 0"), "unit_id", manifest, modalities=("cough", "breath"))
     return found.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_file"))
 
 
+@query(
+    "s6_tree_layouts",
+    """WITH p AS (SELECT o_orderkey % 5 AS k, o_custkey, o_orderkey, o_orderstatus, ['_cough.wav', '_COUGH.FLAC', '_breath.wav', '_cough.txt'][1 + o_orderkey % 4] AS tail FROM orders),
+    f AS (SELECT o_custkey::VARCHAR AS unit_id, CASE WHEN lower(tail) LIKE '%cough%' THEN 'cough' ELSE 'breath' END AS modality FROM p WHERE k IN (0, 1, 2) AND tail <> '_cough.txt')
+    SELECT unit_id, modality, count(*) AS n_files FROM f GROUP BY 1, 2""",
+)
+def _(t):
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("_cough.wav", "_COUGH.FLAC", "_breath.wav", "_cough.txt")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    name, k, unit = F.concat(F.col("o_orderkey").cast("string"), tail), F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    path = (
+        F.when(k == 0, F.concat_ws("/", unit, "o_orderstatus", name))
+        .when(k == 1, F.concat_ws("/", F.lit("form-app-users"), unit, name))
+        .when(k == 2, F.concat_ws("/", F.lit("form-app-users"), unit, F.lit("2020"), F.lit("05"), name))
+        .when(k == 3, F.concat_ws("/", unit, F.concat(F.lit("._"), name)))
+        .otherwise(name)
+    )
+    found = recordings.in_layout(t("orders").select(path.alias("path")), "path", "unit_id", "form-app-users", ("cough", "breath"))
+    return found.groupBy("unit_id", "modality").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def release_paths(t) -> DataFrame:
     """Release-like relative paths of orders: shared web folder, 10- and 12-character subjects, loose files."""
     pad = lambda w: F.lpad(F.col("o_custkey").cast("string"), w, "0")

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import hash_unit, salted_sha
 from tessera.bindings.base import H, HU, PREDS, UNITS, query, r, rounded
 from tessera.bindings.splits_balance import SPLIT_U, frozen_split, split_sql
 from tessera.operators import bootstrap, calibrate, gates, heads, metrics, profile, readouts, retrieval, splits
@@ -376,6 +377,85 @@ def _(t):
     return ci(bootstrap.replicate_means(v, [], "unit", "x", REPS, "mx", "seed"), [])
 
 
+@query(
+    "b7_paired_matrix_interval",
+    f"""WITH v AS (SELECT l_linenumber AS seed, l_suppkey AS unit, avg(l_quantity*l_discount) - avg(l_quantity*l_tax) AS x FROM lineitem GROUP BY 1, 2), {draws_sql('v', 'unit', 'pm')}, {draws_sql('v', 'seed', 'pm-seed', name='sd')},
+    hv AS (SELECT d.rep, sum(d.times*s.times*x)/sum(d.times*s.times) AS value FROM v JOIN dr d ON d.unit=v.unit JOIN sd s ON s.rep=d.rep AND s.seed=v.seed GROUP BY 1), i AS ({ci_sql('hv', '')}),
+    ps AS (SELECT seed, avg(x) AS m FROM v GROUP BY 1)
+    SELECT (SELECT {r('avg(x)')} FROM v) AS observed, ci_low, ci_high, n_valid, (SELECT count(DISTINCT unit) FROM v) AS n_units, (SELECT count(*) FROM ps) AS n_seeds,
+      (SELECT count(*) FROM ps WHERE m > 0) AS n_positive, (SELECT count(*) FROM ps WHERE m < 0) AS n_negative, (SELECT count(*) FROM ps WHERE m = 0) AS n_zero FROM i""",
+)
+def _(t):
+    product = lambda c: F.avg(F.col("l_quantity") * F.col(c)).alias(c)
+    v = t("lineitem").groupBy(F.col("l_linenumber").alias("seed"), F.col("l_suppkey").alias("unit")).agg(product("l_discount"), product("l_tax"))
+    long = v.unpivot(["seed", "unit"], ["l_discount", "l_tax"], "arm", "x")
+    return rounded(bootstrap.paired_matrix_interval(long, "arm", "l_discount", "l_tax", "seed", "unit", "x", REPS, "pm"), "observed", "ci_low", "ci_high")
+
+
+@query(
+    "m14_absolute_intervals",
+    f"""{BASE}, {POPS}, {draws_sql('pp', 'unit_id', 'ai', by='population')}, {draws_sql('pp', 'seed', 'ai-seed', name='sd')},
+    rw AS (SELECT p.arm, p.seed, p.population, p.y, p.logit, p.prob, rep, times FROM pp p JOIN dr ON dr.population=p.population AND dr.unit_id=p.unit_id), au AS ({auc_sql('rw', 'arm, seed, population, rep', weight='times')}),
+    lo AS (SELECT arm, seed, population, rep, sum(times*{LOSS})/sum(times) AS nll, sum(times*(prob-y)*(prob-y))/sum(times) AS brier FROM rw GROUP BY 1, 2, 3, 4),
+    al AS (SELECT arm, seed, population, rep, 'auroc' AS metric, auroc AS v FROM au UNION ALL SELECT l.arm, l.seed, l.population, l.rep, m, CASE WHEN a.auroc IS NULL THEN NULL WHEN m = 'nll' THEN nll ELSE brier END
+      FROM lo l JOIN au a ON a.arm=l.arm AND a.seed=l.seed AND a.population=l.population AND a.rep=l.rep, (SELECT unnest(['nll', 'brier']) AS m)),
+    hv AS (SELECT arm, population, metric, a.rep, CASE WHEN count(*) = count(v) THEN sum(times*v)/sum(times) END AS value FROM al a JOIN sd ON sd.rep=a.rep AND sd.seed=a.seed GROUP BY 1, 2, 3, 4),
+    i AS ({ci_sql('hv', 'arm, population, metric')}),
+    ob AS (SELECT arm, population, 'auroc' AS metric, avg(auroc) AS o FROM ({auc_sql('pp', 'arm, seed, population')}) GROUP BY 1, 2
+      UNION ALL SELECT arm, population, 'nll', avg({LOSS}) FROM pp GROUP BY 1, 2 UNION ALL SELECT arm, population, 'brier', avg((prob-y)*(prob-y)) FROM pp GROUP BY 1, 2)
+    SELECT i.arm, i.population, i.metric, {r('o')} AS observed, ci_low, ci_high, n_valid FROM i JOIN ob ON ob.arm=i.arm AND ob.population=i.population AND ob.metric=i.metric""",
+)
+def _(t):
+    out = bootstrap.absolute_intervals(populations(t), ["arm", "population"], "seed", "unit_id", "y", "logit", "prob", REPS, "ai", by=["population"])
+    flat = out.select("arm", "population", "metric", "observed", F.col("ci.low").alias("ci_low"), F.col("ci.high").alias("ci_high"), "n_valid")
+    return rounded(flat, "observed", "ci_low", "ci_high")
+
+
+@query(
+    "a26_grid_delta_intervals",
+    f"""WITH g AS (SELECT l_tax AS rho, l_linenumber AS seed, avg(l_quantity) FILTER (l_linestatus='O') - avg(l_quantity) FILTER (l_linestatus='F') AS d FROM lineitem GROUP BY 1, 2), v AS (SELECT * FROM g WHERE d IS NOT NULL), {draws_sql('v', 'seed', 'gd')},
+    hv AS (SELECT rho, rep, sum(times*d)/sum(times) AS value FROM v JOIN dr ON dr.seed=v.seed GROUP BY 1, 2), i AS ({ci_sql('hv', 'rho')})
+    SELECT v.rho, count(*) AS n_seeds, {r('avg(d)')} AS mean, {r('stddev_pop(d)')} AS sd, min(sign(d)) = max(sign(d)) AS same_sign, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high FROM v JOIN i ON i.rho=v.rho GROUP BY 1""",
+)
+def _(t):
+    d = t("lineitem").select(F.col("l_tax").alias("rho"), F.col("l_linenumber").alias("seed"), F.col("l_linestatus").alias("arm"), "l_quantity")
+    out = profile.grid_delta_intervals(d, ["rho"], "arm", "l_quantity", "O", "F", REPS, "gd")
+    return rounded(out.select("rho", "n_seeds", "mean", "sd", "same_sign", F.col("ci.low").alias("ci_low"), F.col("ci.high").alias("ci_high")), "mean", "sd", "ci_low", "ci_high")
+
+
+OVR = f"""{BASE}, ov AS (SELECT p.arm, p.seed, p.unit_id, e.c AS class, (p.lang = e.c)::INT AS y,
+  p.logit + (p.lang = e.c)::INT * 0.5::DOUBLE + 2.0::DOUBLE * {HU("'ovr|' || e.c || '|' || p.unit_id")} AS s FROM preds p, (SELECT DISTINCT lang AS c FROM units) e)"""
+
+
+def class_scores(t) -> DataFrame:
+    """Predictions with one row per language: is the document in it, and a score for it."""
+    p = t.predictions().select("arm", "seed", "unit_id", "lang", "logit")
+    classes = p.agg(F.array_sort(F.collect_set("lang"))).scalar()  # a handful of languages
+    long = p.withColumn("class", F.explode(classes)).withColumn("y", (F.col("lang") == F.col("class")).cast("int"))
+    noise = hash_unit(salted_sha("ovr", "class", "unit_id"))
+    return long.select("arm", "seed", "unit_id", "class", "y", (F.col("logit") + F.col("y") * 0.5 + 2.0 * noise).alias("s"))
+
+
+@query(
+    "m10_macro_interval",
+    f"""{OVR}, {draws_sql('ov', 'unit_id', 'ovr')}, {draws_sql('ov', 'seed', 'ovr-seed', name='sd')},
+    rw AS (SELECT o.*, rep, times FROM ov o JOIN dr ON dr.unit_id=o.unit_id), pc AS ({auc_sql('rw', 'arm, seed, class, rep', 's', weight='times')}),
+    ma AS (SELECT arm, seed, rep, avg(auroc) AS v FROM pc GROUP BY 1, 2, 3), hv AS (SELECT arm, a.rep, sum(times*v)/sum(times) AS value FROM ma a JOIN sd ON sd.rep=a.rep AND sd.seed=a.seed GROUP BY 1, 2),
+    ct AS (SELECT arm AS contrast, rep, value FROM hv UNION ALL SELECT 'difference', a.rep, a.value-b.value FROM hv a JOIN hv b ON a.rep=b.rep AND a.arm='fusion' AND b.arm='audio'),
+    ob AS (SELECT arm, avg(auroc) AS o FROM ({auc_sql('ov', 'arm, seed, class', 's')}) GROUP BY 1), oc AS (SELECT arm AS contrast, o FROM ob UNION ALL SELECT 'difference', max(o) FILTER (arm='fusion') - max(o) FILTER (arm='audio') FROM ob),
+    i AS ({ci_sql('ct', 'contrast')}) SELECT i.*, {r('o')} AS observed FROM i JOIN oc ON oc.contrast=i.contrast""",
+)
+def _(t):
+    long = class_scores(t)
+    v = bootstrap.replicate_one_vs_rest(long, ["arm"], "class", "unit_id", "s", "y", REPS, "ovr", "seed")
+    both = bootstrap.paired_replicates(v, "arm", "fusion", "audio").withColumn("contrast", F.lit("difference"))
+    i = ci(v.withColumnRenamed("arm", "contrast").unionByName(both), ["contrast"])
+    point = metrics.macro_auroc(long, ["arm", "seed"], "class", "s", "y").groupBy("arm").agg(F.avg("macro_auroc").alias("observed"))
+    gap = point.agg((F.max(F.when(F.col("arm") == "fusion", F.col("observed"))) - F.max(F.when(F.col("arm") == "audio", F.col("observed")))).alias("observed"))
+    every = point.withColumnRenamed("arm", "contrast").unionByName(gap.withColumn("contrast", F.lit("difference")))
+    return rounded(i.join(every, "contrast"), "observed")
+
+
 @query(
     "b8_profile_macro_interval",
     f"""{BASE}, pm AS (SELECT arm, seed, source AS profile, avg(prob) AS x FROM preds GROUP BY 1, 2, 3), {draws_sql('pm', 'profile', 'pf')}, {draws_sql('pm', 'seed', 'pf-seed', name='sd')},

@@ -450,6 +450,42 @@ def _(t):
     return rounded(out.select("unit_id", known, "strict_agreement"), "strict_agreement")
 
 
+EIGHT = ("toxic", "source", "third", "odd", "fifth", "big", "seventh", "eleventh")
+EIGHT_SQL = """e8 AS (SELECT unit_id, y, lang, toxic, source, unit_id % 3 AS third, n_chars % 2 AS odd, n_chars % 5 AS fifth, (n_chars > 1500)::INT AS big, unit_id % 7 AS seventh, n_chars % 11 AS eleventh,
+  floor(n_chars / 100)::BIGINT AS size FROM units)"""
+HAM8 = "(" + " + ".join(f"(a.{f}<>b.{f})::INT" for f in EIGHT) + ")"
+
+
+def eight_fields(t):
+    n, u = F.col("n_chars"), F.col("unit_id")
+    return t.units().select(
+        "unit_id", "y", "lang", "toxic", "source", (u % 3).alias("third"), (n % 2).alias("odd"), (n % 5).alias("fifth"),
+        (n > 1500).cast("int").alias("big"), (u % 7).alias("seventh"), (n % 11).alias("eleventh"), F.floor(n / 100).alias("size"),
+    )
+
+
+@query(
+    "j11_nearest_of_eight_fields",
+    f"""WITH {UNITS}, {EIGHT_SQL}, d AS (SELECT a.unit_id, {HAM8} AS h, (a.size < 5) = (b.size < 5) AS same FROM e8 a JOIN e8 b ON a.lang=b.lang AND a.y<>b.y)
+    SELECT u.unit_id, coalesce(min(h), -1) AS nearest_mismatches, {r('avg(same::INT) FILTER (h = 0)')} AS strict_agreement FROM e8 u LEFT JOIN d ON d.unit_id=u.unit_id GROUP BY 1""",
+)
+def _(t):
+    u = eight_fields(t).withColumn("short", F.col("size") < 5)
+    out = matching.nearest_mismatches(u, "y", matching.MatchSpec(equal=("lang",), hamming=EIGHT), "short")
+    return rounded(out.select("unit_id", F.coalesce("nearest_mismatches", F.lit(-1)).alias("nearest_mismatches"), "strict_agreement"), "strict_agreement")
+
+
+@query(
+    "j11_nearest_partner_of_eight_fields",
+    f"""WITH {UNITS}, {EIGHT_SQL}, d AS (SELECT a.unit_id, round(abs(a.size-b.size)/10.0::DOUBLE + {HAM8}, 9) AS tt, {HAM8} AS h, abs(a.size-b.size)::DOUBLE AS g FROM e8 a JOIN e8 b ON a.lang=b.lang AND a.y<>b.y),
+    k AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY tt, h, g) AS rn FROM d)
+    SELECT u.unit_id, g AS nearest_gap, coalesce(h, -1) AS nearest_hamming, tt AS nearest_total FROM e8 u LEFT JOIN k ON k.unit_id=u.unit_id AND rn=1""",
+)
+def _(t):
+    out = matching.nearest_partner(eight_fields(t), "y", matching.MatchSpec(equal=("lang",), hamming=EIGHT, numeric="size"), 10.0)
+    return out.select("unit_id", "nearest_gap", F.coalesce("nearest_hamming", F.lit(-1)).alias("nearest_hamming"), "nearest_total")
+
+
 TIER_COUNTS = f"""{UNITS}, pt AS (SELECT a.unit_id, a.y, a.source, a.lang, a.toxic,
   count(b.unit_id) AS n_other_source,
   coalesce(sum(((a.lang<>b.lang)::INT + (a.toxic<>b.toxic)::INT = 2)::INT), 0)::BIGINT AS n_differ_2,

@@ -103,9 +103,12 @@ def replicate_metric(
     salt: str,
     seed: str | None = None,
     scheme: str = "multinomial",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Replicates ``(cell..., rep, value)`` of one of METRICS; one-class replicates are NULL.
 
+    With ``by``, columns of the cell, clusters are drawn anew inside each of their values.
+
     Rows are reduced first: additive metrics to sums per cluster, AUROC to one row per cluster, score and label. What is
     left carries its draws as arrays; Poisson draws are computed from the cluster in place, without a join.
     """
@@ -123,9 +126,9 @@ def replicate_metric(
         )
     rows, cells = replicates.keyed(rows, keys)
     if scheme == "poisson":
-        drawn = replicates.with_poisson(rows, [cluster], reps, salt)
+        drawn = replicates.with_poisson(rows, [*by, cluster], reps, salt)
     else:
-        drawn = replicates.joined_draws(rows, draws(pred, cluster, reps, salt, scheme=scheme), [cluster])
+        drawn = replicates.joined_draws(rows, draws(pred, cluster, reps, salt, by), [*by, cluster])
     if metric == "auroc":
         drawn = drawn.withColumn("__times", F.transform("__times", lambda t: (t * F.col("__k")).cast("int")))
         per = replicates.auroc(drawn, cells, keys, score, label, reps).withColumnRenamed("auroc", "value")
@@ -177,6 +180,70 @@ def replicate_macro_auroc(
     return per.groupBy(*cell, "rep").agg(F.avg("auroc").alias("value"))
 
 
+def replicate_one_vs_rest(
+    pred: DataFrame, cell: Sequence[str], cls: str, cluster: str, score: str, label: str, reps: int, salt: str, seed: str | None = None
+) -> DataFrame:
+    """Replicates of the mean one-vs-rest AUROC: ``pred`` has a row per class, and one draw of clusters serves all classes.
+
+    A class that a replicate leaves with one label takes no part in its mean.
+    """
+    extra = [seed] if seed else []
+    per = replicate_metric(pred, [*cell, *extra, cls], cluster, "auroc", label, score, score, reps, salt)
+    macro = per.groupBy(*cell, *extra, "rep").agg(F.avg("value").alias("value"))
+    return over_seeds(macro, pred, cell, seed, reps, salt)
+
+
+def matrix_replicates(values: DataFrame, cell: Sequence[str], seed: str, unit: str, value: str, reps: int, salt: str) -> DataFrame:
+    """Replicates of a mean over a seed x unit matrix with both axes redrawn: sum of w_seed v w_unit over the sum of the weights.
+
+    ``values`` lists the matrix's cells; cells that are absent take no part. Units are weighted by arrays over replicates
+    inside each row of the matrix; the rows' sums, one per (cell, seed), then meet the seeds' draws.
+    """
+    keys = [*cell, seed]
+    sums = values.where(F.col(value).isNotNull()).groupBy(*keys, unit).agg(F.sum(value).alias("__v"), F.count(F.lit(1)).alias("__c"))
+    rows, cells = replicates.keyed(sums, keys)
+    drawn = replicates.joined_draws(rows, draws(values, unit, reps, salt), [unit])
+    per = replicates.additive(drawn, cells, reps, ["__v", "__c"])
+    seeds = draws(values, seed, reps, f"{salt}-seed")
+    t = F.col("times")
+    weighed = same_key_join(per, seeds, ["rep", seed]).groupBy(*cell, "rep").agg(F.sum(t * F.col("__v")).alias("__v"), F.sum(t * F.col("__c")).alias("__c"))
+    return weighed.select(*cell, "rep", F.when(F.col("__c") > 0, F.col("__v") / F.col("__c")).alias("value"))
+
+
+def paired_matrix_interval(values: DataFrame, arm: str, a: str, b: str, seed: str, unit: str, value: str, reps: int, salt: str) -> DataFrame:
+    """One row: observed mean of arm ``a`` - arm ``b``, its two-way interval, the number of seeds and units, and how many
+    seeds' means are positive, negative or zero. Both arms must cover the same (seed, unit) cells, once each."""
+    wide = values.where(F.col(arm).isin(a, b)).groupBy(seed, unit).agg(
+        F.sum(F.when(F.col(arm) == a, F.col(value))).alias("__a"), F.sum(F.when(F.col(arm) == b, F.col(value))).alias("__b"), F.count(value).alias("__n")
+    )
+    wide = cut_lineage(wide)
+    if wide.where("__a IS NULL OR __b IS NULL OR __n != 2").limit(1).count():
+        raise ContractError("the arms do not cover the same cells once each")
+    delta = wide.select(seed, unit, (F.col("__a") - F.col("__b")).alias("delta"))
+    ci = interval(matrix_replicates(delta, [], seed, unit, "delta", reps, salt), [], reps=reps)
+    sign = lambda c: F.sum((F.signum("delta") == c).cast("long"))
+    seeds = delta.groupBy(seed).agg(F.avg("delta").alias("delta")).agg(F.count(F.lit(1)).alias("n_seeds"), sign(1).alias("n_positive"), sign(-1).alias("n_negative"), sign(0).alias("n_zero"))
+    whole = delta.agg(F.avg("delta").alias("observed"), F.count_distinct(unit).alias("n_units"))
+    both = ci.withColumns({"__w": whole.select(F.struct(*whole.columns)).scalar(), "__s": seeds.select(F.struct(*seeds.columns)).scalar()})
+    return both.select("__w.observed", "ci_low", "ci_high", "n_valid", "__w.n_units", "__s.n_seeds", "__s.n_positive", "__s.n_negative", "__s.n_zero")
+
+
+def absolute_intervals(
+    pred: DataFrame, cell: Sequence[str], seed: str, unit: str, label: str, score: str, prob: str, reps: int, salt: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """``(cell..., metric, observed, ci)``: AUROC, log loss and Brier score as means over seeds, with intervals over units and
+    seeds as a struct (low, high). Units are redrawn inside each value of ``by`` (columns of the cell, such as a population)."""
+    point = metrics.absolute_results(pred, [*cell, seed], score, prob, label).groupBy(*cell).agg(*[F.avg(m).alias(m) for m in ("auroc", "nll", "brier")])
+    point = point.unpivot([*cell], ["auroc", "nll", "brier"], "metric", "observed")
+    parts = {}
+    for metric, name, sign in zip(METRICS, ("auroc", "nll", "brier"), (1, -1, -1), strict=True):
+        v = replicate_metric(pred, cell, unit, metric, label, score, prob, reps, salt, seed, by=by)
+        parts[name] = v.withColumn("value", F.col("value") * sign)
+    i = interval(union_metrics(parts), [*cell, "metric"], reps=reps)
+    ci = i.select(*cell, "metric", F.struct(F.col("ci_low").alias("low"), F.col("ci_high").alias("high")).alias("ci"), "n_valid")
+    return same_key_join(point, ci, [*cell, "metric"])
+
+
 def union_metrics(parts: dict[str, DataFrame]) -> DataFrame:
     """Replicates of several metrics in one table, so that one aggregate gives all intervals."""
     return reduce(DataFrame.unionByName, [p.withColumn("metric", F.lit(m)) for m, p in parts.items()])

@@ -125,31 +125,39 @@ def parse_location(code: Column) -> Column:
     )
 
 
+#: Bytes of vocabulary that are broadcast to the encoding of the rows; a larger one is joined by a shuffle.
+VOCABULARY_BYTES = 16 << 20
+
+
 def encoded_nodes(rows: DataFrame, unit: str, train: DataFrame, salt: str, anonymous: bool = False) -> DataFrame:
     """Value ids per (unit, field) from the training vocabulary; unseen and missing values get 0.
 
-    Numeric fields are binned at the training deciles (bin = number of edges below the value).
-    Ids number the distinct (field, value) entries in hash order. ``anonymous`` drops the field
-    identity from the vocabulary key.
+    Numeric fields are binned at the training deciles (bin = number of edges below the value). Ids number the distinct
+    (field, value) entries in hash order. ``anonymous`` drops the field identity from the vocabulary key.
+
+    Training rows are reduced once, to counts per (field, value); kinds, deciles and tokens follow from those. Fields are
+    columns of the study, so their kinds and deciles are literals of one expression, and rows are encoded in place.
     """
     rows = cut_lineage(rows)
     numeric = F.col("value").try_cast("double")
-    fit = rows.join(train.select(unit), unit, "left_semi").where(~F.col("missing"))
-    numbers = fit.select("field", numeric.alias("v")).where("v IS NOT NULL")
-    deciles = quantile_array(numbers, "v", [i / 10 for i in range(1, 10)], ["field"]).withColumnRenamed("q", "edges")
-    kinds = fit.groupBy("field").agg((F.count(F.lit(1)) == F.count(numeric)).alias("is_number"))
-    kinds = kinds.join(deciles, "field", "left")
-
-    def keyed(d: DataFrame) -> DataFrame:
-        j = d.join(kinds, "field", "left")
-        below = F.size(F.filter("edges", lambda e: e < numeric))
-        token = F.when(F.col("is_number") & numeric.isNotNull(), F.concat(F.lit("q"), below.cast("string"))).otherwise(F.col("value"))
-        key = token if anonymous else F.concat_ws("#", "field", token)
-        return j.withColumn("token", F.when(~F.col("missing"), key)).drop("edges", "is_number")
-
-    vocabulary = keyed(fit).select("token").distinct().withColumn("__h", salted_sha(salt, "token"))
-    ids = ranked(vocabulary, [], "__h", "value_id").drop("__h")
-    return keyed(rows).join(ids, "token", "left").select(
+    fit = rows.join(train.select(unit).distinct(), unit, "left_semi").where(~F.col("missing"))
+    levels = cut_lineage(fit.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("v", numeric))
+    kinds = levels.groupBy("field").agg((F.count(F.lit(1)) == F.count("v")).alias("is_number")).where("is_number")
+    numbers = levels.where("v IS NOT NULL").join(F.broadcast(kinds), "field", "left_semi")  # a row per field
+    edges = {r["field"]: r["q"] for r in quantile_array(numbers, "v", [i / 10 for i in range(1, 10)], ["field"], "n").collect()}
+
+    def token(d: DataFrame) -> DataFrame:
+        entries = [x for f, q in sorted(edges.items()) for x in (F.lit(f), F.array(*[F.lit(float(e)) for e in q]))]
+        own = F.try_element_at(F.create_map(*entries), F.col("field")) if entries else F.lit(None).cast("array<double>")
+        below = F.size(F.filter(own, lambda e: e < numeric))
+        value = F.when(own.isNotNull() & numeric.isNotNull(), F.concat(F.lit("q"), below.cast("string"))).otherwise(F.col("value"))
+        return d.withColumn("token", value if anonymous else F.concat_ws("#", "field", value))
+
+    vocabulary = token(levels).select("token").distinct().withColumn("__h", salted_sha(salt, "token"))
+    ids = cut_lineage(ranked(vocabulary, [], "__h", "value_id").drop("__h"))
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("token") + F.lit(24)), F.lit(0))).first()[0]
+    keyed = token(rows).withColumn("token", F.when(~F.col("missing"), F.col("token")))
+    return keyed.join(F.broadcast(ids) if size <= VOCABULARY_BYTES else ids, "token", "left").select(
         unit, "field", F.coalesce("value_id", F.lit(0)).alias("value_id"), F.col("missing").cast("int").alias("missing")
     )
 

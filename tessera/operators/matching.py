@@ -159,24 +159,52 @@ def partner_counts(units: DataFrame, label: str, spec: MatchSpec, out: str = "n_
     return joined.withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
+def _lattice(cells: DataFrame, spec: MatchSpec, label: str, answer, done):
+    """Walks the subsets of differing fields by size, over covariate cells that are still open.
+
+    At size s the open cells and the other side of their strata are spread over the subsets of s fields; ``answer`` gives
+    ``(cell..., __new)`` structs, of which the least is kept; ``done(best, s)`` tells which cells no larger subset can
+    improve. Cells leave as they are answered, so the 2^k subsets are formed for those only that need them.
+    """
+    cell = [label, *spec.equal, *spec.hamming, *([spec.numeric] if spec.numeric else [])]
+    stratum = ["__side", *spec.equal]
+    other = cut_lineage(cells.withColumn("__side", 1 - F.col(label)))
+    asking = cells.withColumn("__side", F.col(label))
+    asking = cut_lineage(same_key_join(asking, other.select(*stratum).distinct(), stratum, "left_semi"))  # no partner at all: no answer
+    held: list[DataFrame] = []
+    best = asking.select(*cell, F.lit(None).cast("struct<t: double, h: int, g: double>").alias("__best"))
+    for size in range(len(spec.hamming) + 1):
+        masks = list(combinations(range(len(spec.hamming)), size))
+        zero = [0] * len(masks)
+        strata = asking.select(*stratum).distinct()
+        pool = _masked(same_key_join(other, strata, stratum, "left_semi"), spec.hamming, masks, zero)
+        found = answer(_masked(asking, spec.hamming, masks, zero), pool, ["__side", *spec.equal, "__key"], cell)
+        best = cut_lineage(same_key_join(best, found, cell, "left").withColumn("__best", F.least("__best", "__new")).drop("__new"))
+        open_ = ~F.coalesce(done(F.col("__best"), size), F.lit(False))
+        held.append(best.where(~open_))
+        best = best.where(open_)
+        if size == len(spec.hamming) or not best.limit(1).count():
+            held.append(best)
+            break
+        asking = cut_lineage(same_key_join(asking, best.select(*cell), cell, "left_semi"))
+    return reduce(DataFrame.unionByName, held), cell
+
+
 def nearest_partner(units: DataFrame, label: str, spec: MatchSpec, scale: float) -> DataFrame:
     """Distance to the closest opposite-label unit equal on ``spec.equal``.
 
-    Total = gap / ``scale`` + number of differing fields. For every subset of fields that may
-    differ, the nearest numeric value is an as-of lookup; the smallest gap / scale + subset size
-    over all subsets is the exact minimum. The expansion is 2^k per covariate cell.
+    Total = gap / ``scale`` + number of differing fields. For a subset of fields that may differ, the nearest numeric
+    value is an as-of lookup; a larger subset costs at least one more, so a cell is done once its best total is at most
+    the size of the next subset.
     """
     cells = _cells(units.where(_finite(F.col(spec.numeric))), spec, label).drop("__c")
-    masks = _masks(spec.hamming, len(spec.hamming))
-    wide = _masked(cells, spec.hamming, masks, [0] * len(masks))
-    keys = ["__side", *spec.equal, "__key"]
-    pool = wide.withColumn("__side", 1 - F.col(label)).select(*keys, spec.numeric)
-    asks = wide.withColumn("__side", F.col(label))
-    near = nearest_value(asks, pool, keys, spec.numeric, "__gap").where(F.col("__gap").isNotNull())
-    total = F.round(F.col("__gap") / F.lit(scale) + F.col("__width"), 9)
-    cell = [label, *spec.equal, *spec.hamming, spec.numeric]
-    least = F.min(F.struct(total.alias("t"), F.col("__width").alias("h"), F.col("__gap").alias("g")))
-    best = near.groupBy(*cell).agg(least.alias("__best"))
+
+    def answer(asks: DataFrame, pool: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
+        near = nearest_value(asks, pool.select(*keys, spec.numeric), keys, spec.numeric, "__gap").where(F.col("__gap").isNotNull())
+        total = F.round(F.col("__gap") / F.lit(scale) + F.col("__width"), 9)
+        return near.groupBy(*cell).agg(F.min(F.struct(total.alias("t"), F.col("__width").alias("h"), F.col("__gap").alias("g"))).alias("__new"))
+
+    best, cell = _lattice(cells, spec, label, answer, lambda b, size: b["t"] <= size + 1)
     return same_key_join(units, best, cell, "left").select(
         *units.columns,
         F.col("__best.g").alias("nearest_gap"),
@@ -192,14 +220,16 @@ def nearest_mismatches(
 
     With ``diagnostic``, also the share of fully matching partners that agree on that extra field.
     """
-    cells = _cells(units, spec, label).drop("__c")
-    masks = _masks(spec.hamming, len(spec.hamming))
-    wide = _masked(cells, spec.hamming, masks, [0] * len(masks))
-    keys = ["__side", *spec.equal, "__key"]
-    pool = wide.withColumn("__side", 1 - F.col(label)).select(*keys).distinct()
-    asks = wide.withColumn("__side", F.col(label))
-    cell = [label, *spec.equal, *spec.hamming]
-    best = same_key_join(asks, pool, keys).groupBy(*cell).agg(F.min("__width").alias("nearest_mismatches"))
+    bare = MatchSpec(equal=spec.equal, hamming=spec.hamming)
+    cells = _cells(units, bare, label).drop("__c")
+
+    def answer(asks: DataFrame, pool: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
+        hit = same_key_join(asks, pool.select(*keys).distinct(), keys, "left_semi")
+        new = F.struct(F.min("__width").cast("double").alias("t"), F.min("__width").alias("h"), F.lit(0.0).alias("g"))
+        return hit.groupBy(*cell).agg(new.alias("__new"))
+
+    best, cell = _lattice(cells, bare, label, answer, lambda b, size: b.isNotNull())
+    best = best.select(*cell, F.col("__best.h").alias("nearest_mismatches"))
     out = same_key_join(units, best, cell, "left")
     if diagnostic:
         exact = [*spec.equal, *spec.hamming]

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cosine, l2_norm, or_missing, salted_sha
+from tessera.operators import bootstrap
 from tessera.operators.joins import same_key_join
 from tessera.operators.quantiles import exact_quantile, quantile_array, quantile_summary
 from tessera.operators.ranked import ranked
+from tessera.session import cut_lineage
 
 
 def text_key(text: str) -> Column:
@@ -185,7 +187,10 @@ def expected_collision(df: DataFrame, text: str, batch: int) -> DataFrame:
 
 
 def embedding_audit(df: DataFrame, vector: str) -> DataFrame:
-    """Counts, shape, finiteness and norm range of an embedding table."""
+    """Counts, shape, finiteness and norm range of an embedding table; the median norm is exact, over vectors with a norm."""
+    df = cut_lineage(df.select(l2_norm(F.col(vector)).alias("__norm"), F.col(vector)))
+    known = df.where(F.col("__norm").isNotNull() & ~F.isnan("__norm") & (F.col("__norm") < float("inf")))
+    median = exact_quantile(known, "__norm", [0.5], []).select("quantile")
     norm = l2_norm(F.col(vector))
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df.select(norm.alias("norm"), finite.alias("finite"), F.size(vector).alias("dim")).agg(
@@ -197,7 +202,12 @@ def embedding_audit(df: DataFrame, vector: str) -> DataFrame:
         F.min("norm").alias("min_norm"),
         F.avg("norm").alias("mean_norm"),
         F.max("norm").alias("max_norm"),
-    )
+    ).withColumn("median_norm", median.scalar())
+
+
+def window_histogram(df: DataFrame, windows: str) -> DataFrame:
+    """How many recordings have each number of windows."""
+    return df.groupBy(windows).agg(F.count(F.lit(1)).alias("n"))
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str, out: str = "vector") -> DataFrame:
@@ -247,6 +257,20 @@ def grid_deltas(df: DataFrame, grid: Sequence[str], arm: str, value: str, a: str
     return seed_summary(wide.withColumn("delta", F.col(a) - F.col(b)), grid, "delta")
 
 
+def grid_delta_intervals(
+    df: DataFrame, grid: Sequence[str], arm: str, value: str, a: str, b: str, reps: int, salt: str
+) -> DataFrame:
+    """:func:`grid_deltas` with a bootstrap interval of each mean over seeds: struct ``ci`` (low, high).
+
+    Seeds are redrawn, the same draws for every grid cell. A seed without both arms in a cell takes no part in it.
+    """
+    wide = df.groupBy(*grid, "seed").pivot(arm, [a, b]).agg(F.avg(value))
+    deltas = cut_lineage(wide.withColumn("delta", F.col(a) - F.col(b)).where("delta IS NOT NULL"))
+    v = bootstrap.replicate_means(deltas, grid, "seed", "delta", reps, salt)
+    i = bootstrap.interval(v, grid, reps=reps).select(*grid, F.struct(F.col("ci_low").alias("low"), F.col("ci_high").alias("high")).alias("ci"))
+    return same_key_join(seed_summary(deltas, grid, "delta"), i, grid)
+
+
 def acquisition_medians(df: DataFrame, source: str, values: Sequence[str], clip: str) -> DataFrame:
     """Exact medians of the listed columns and the clipping rate, per source."""
     rates = df.groupBy(source).agg(
@@ -269,11 +293,16 @@ def shared_hashes(df: DataFrame, digest: str, within: str) -> DataFrame:
 
 
 def overlap_matrix(df: DataFrame, item: str, group: str) -> DataFrame:
-    """Items common to each pair of groups, from one grouping per item (groups are few)."""
-    sets = df.groupBy(item).agg(F.array_sort(F.collect_set(group)).alias("g"))
-    a = sets.select("g", F.posexplode("g").alias("i", "a"))
-    both = a.select("a", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("b"))
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_common"))
+    """Items common to each pair of groups.
+
+    Items in the same set of groups collapse to one signature with a count before pairs are formed, so pairs grow with
+    the signatures, not with the items. NULL groups are left out.
+    """
+    sets = df.where(F.col(group).isNotNull()).groupBy(item).agg(F.array_sort(F.collect_set(group)).alias("g"))
+    signatures = sets.where(F.size("g") > 1).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    a = signatures.select("g", "n", F.posexplode("g").alias("i", "a"))
+    both = a.select("a", "n", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("b"))
+    return both.groupBy("a", "b").agg(F.sum("n").alias("n_common"))
 
 
 def keep_one_owner(df: DataFrame, digest: str, owner: str, file: str, salt: str) -> DataFrame:

@@ -11,21 +11,26 @@ from tessera.operators.joins import same_key_join
 from tessera.operators.ranked import running_total
 
 
-def exact_quantile(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantile(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """``(by..., probability, quantile)`` with linear interpolation; NULL values are ignored.
 
+    ``count`` names a column that says how many rows a row stands for. A row looks up the probabilities that fall on it, so
+    distinct values are not multiplied by them.
+
     Distinct values get their cumulative count by value range, so a group never has to fit into
     one task, unlike with ``percentile``, which keeps all distinct values of a group together.
     """
     levels = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(
-        F.count(F.lit(1)).alias("__c")
+        (F.sum(count) if count else F.count(F.lit(1))).alias("__c")
     )
     steps = running_total(levels, by, "__v", {"__c": F.col("__c")})
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    position = F.col("__p") * (F.col("__c_total") - 1)
-    low, high = F.floor(position), F.ceil(position)
+    at = lambda p: p * (F.col("__c_total") - 1)
     inside = lambda at: (at >= F.col("__c_before")) & (at < F.col("__c_before") + F.col("__c"))
-    hit = steps.withColumn("__p", F.explode(wanted)).where(inside(low) | inside(high))
+    here = F.filter(wanted, lambda p: inside(F.floor(at(p))) | inside(F.ceil(at(p))))
+    hit = steps.withColumn("__p", F.explode(here))
+    position = at(F.col("__p"))
+    low, high = F.floor(position), F.ceil(position)
     return hit.groupBy(*by, "__p").agg(
         F.max(F.when(inside(low), F.col("__v"))).alias("__a"),
         F.max(F.when(inside(high), F.col("__v"))).alias("__b"),
@@ -33,9 +38,9 @@ def exact_quantile(df: DataFrame, value: str, probabilities: Sequence[float], by
     ).select(*by, F.col("__p").alias("probability"), F.expr("__a + (__b - __a) * __w").alias("quantile"))
 
 
-def quantile_array(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def quantile_array(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """``(by..., q)``: the quantiles as an array in ascending order of probability."""
-    q = exact_quantile(df, value, probabilities, by)
+    q = exact_quantile(df, value, probabilities, by, count)
     packed = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("probability", "quantile"))).alias("__q"))
     return packed.select(*by, F.transform("__q", lambda e: e["quantile"]).alias("q"))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.joins import ContractError
+from tessera.session import cut_lineage
 
 _PARTS = 4
 _HEX = 12
@@ -59,17 +61,44 @@ def write_if_same(df: DataFrame, path: str) -> str:
     return "identical"
 
 
+def _text_columns(df: DataFrame) -> list[str]:
+    """Columns that can hold an identifier: everything that is not a number, a date, a flag or bytes."""
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+    return [f.name for f in df.schema if not isinstance(f.dataType, plain)]
+
+
+def _tokens(text: Column) -> Column:
+    """Maximal runs of letters and digits, in lower case."""
+    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+
+
 def identifier_leaks(report: DataFrame, ids: DataFrame, unit: str) -> DataFrame:
-    """Identifier values that occur as a cell of the report (equi-join on the unpivoted cells)."""
-    text = report.select(*[F.col(c).cast("string").alias(c) for c in report.columns])
-    cells = text.unpivot([], list(report.columns), "column", "value").select("column", F.col("value").alias("__v"))
-    return cells.join(ids.select(F.col(unit).cast("string").alias("__v")).distinct(), "__v", "left_semi").groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_cells")
+    """Per column, the cells of the report that contain an identifier, alone or inside a longer text.
+
+    Texts and identifiers are cut into tokens; an identifier of g tokens is looked for among the g-token runs of the
+    texts, by an equi-join, for each length that identifiers have. Columns of numbers are aggregates and are not searched;
+    nested columns are searched as JSON. Case and the characters between tokens do not matter.
+    """
+    columns = _text_columns(report)
+    if not columns:
+        return report.sparkSession.createDataFrame([], "column string, n_cells long")
+    shown = [F.col(c) if dict(report.dtypes)[c] == "string" else F.to_json(F.struct(c)) for c in columns]
+    text = report.select(F.monotonically_increasing_id().alias("__row"), *[x.alias(c) for x, c in zip(shown, columns, strict=True)])
+    cells = cut_lineage(text.unpivot(["__row"], columns, "column", "value").select("__row", "column", _tokens(F.col("value")).alias("w")))
+    wanted = cut_lineage(ids.select(_tokens(F.col(unit).cast("string")).alias("w")).where(F.size("w") > 0).select(F.size("w").alias("g"), F.concat_ws(" ", "w").alias("run")).distinct())
+    lengths = [r["g"] for r in wanted.select("g").distinct().collect()]  # token counts of identifiers: a handful
+    starts = F.explode(F.filter(F.array(*[F.lit(g) for g in lengths]), lambda g: g <= F.size("w"))) if lengths else None
+    if starts is None:
+        return report.sparkSession.createDataFrame([], "column string, n_cells long")
+    runs = cells.select("__row", "column", "w", starts.alias("g")).select(
+        "__row", "column", "g", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("g") + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.col("g"))))).alias("run")
     )
+    hits = runs.distinct().join(wanted, ["g", "run"], "left_semi").select("__row", "column").distinct()
+    return hits.groupBy("column").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 def write_public_report(df: DataFrame, allowed: Sequence[str], path: str, ids: DataFrame, unit: str) -> None:
-    """JSON report of allow-listed columns; refused when a cell equals an identifier."""
+    """JSON report of allow-listed columns; refused when a text in it contains an identifier."""
     shown = df.select(*[c for c in allowed if c in df.columns])
     if identifier_leaks(shown, ids, unit).limit(1).count():
         raise ContractError("the report would publish an identifier")

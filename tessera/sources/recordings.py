@@ -20,21 +20,47 @@ def path_part(path: Column, from_end: int) -> Column:
     return F.try_element_at(F.split(path, "/"), F.lit(-from_end))
 
 
+def in_layout(paths: DataFrame, relative: str, unit: str, shared_folder: str, modalities: Sequence[str]) -> DataFrame:
+    """Recordings of the wanted modalities among paths relative to a release's folder, with their ``unit`` and ``modality``.
+
+    Both layouts may be mixed: ``<unit>/.../file`` and ``<shared_folder>/<unit>/.../file``. Files that are not audio, that
+    lie outside a unit's folder, or whose names start with ``._`` are left out.
+    """
+    parts = F.split(relative, "/")
+    shared = F.col("__parts")[0] == shared_folder
+    name = F.element_at("__parts", -1)
+    d = paths.withColumn("__parts", parts).where(F.size("__parts") >= F.when(shared, 3).otherwise(2))
+    d = d.where(name.rlike(AUDIO_PATTERN) & ~name.startswith("._"))
+    d = d.withColumns({unit: F.when(shared, F.col("__parts")[1]).otherwise(F.col("__parts")[0]), "modality": modality(name)})
+    return d.where(F.col("modality").isin(*modalities)).drop("__parts")
+
+
 def discover(
-    spark: SparkSession, root: str, allowed: DataFrame, unit: str, manifest: DataFrame | None = None, depth: int = 2
+    spark: SparkSession,
+    root: str,
+    allowed: DataFrame,
+    unit: str,
+    manifest: DataFrame | None = None,
+    shared_folder: str = "form-app-users",
+    modalities: Sequence[str] = ("cough",),
 ) -> DataFrame:
-    """``(unit, path)`` of recordings of allowed units, from a manifest or from the folder tree.
+    """``(unit, path, modality)`` of recordings of allowed units, from a manifest or from the folder tree.
 
-    In the tree the unit is the folder ``depth`` levels above the end of the path. The listing
-    reads no file contents.
+    A manifest has ``path`` and may have ``modality`` (without it every row counts as the first one wanted, and case does
+    not matter); relative paths are below ``root``. The listing of a tree reads no file contents.
     """
     if manifest is None:
-        found = list_files(spark, root, "*").where(F.col("path").rlike(AUDIO_PATTERN)).select(
-            path_part(F.col("path"), depth).alias(unit), "path"
-        )
+        prefix = spark._jvm.org.apache.hadoop.fs.Path(root)
+        prefix = prefix.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(prefix).toString().rstrip("/") + "/"
+        listed = list_files(spark, root, "*").withColumn("__relative", F.expr(f"substring(path, {len(prefix) + 1})"))
+        found = in_layout(listed, "__relative", unit, shared_folder, modalities).select(unit, "path", "modality")
     else:
-        found = manifest.select(unit, "path")
-    return found.join(allowed.select(unit), unit, "left_semi").dropDuplicates([unit, "path"])
+        named = F.lower("modality") if "modality" in manifest.columns else F.lit(modalities[0])
+        path = F.col("path").cast("string")
+        whole = F.when(path.startswith("/") | path.contains("://"), path).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/" if root else ""), path))
+        wanted = [m.lower() for m in modalities]
+        found = manifest.select(unit, whole.alias("path"), named.alias("modality")).where(F.col("modality").isin(*wanted))
+    return found.join(allowed.select(unit).distinct(), unit, "left_semi").dropDuplicates([unit, "path"])
 
 
 def modality(name: Column) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, platform_from_path
 from tessera.operators.joins import ContractError, require_unique
+from tessera.session import cut_lineage
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
@@ -56,25 +57,57 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     )
 
 
+#: Different header lines that the files of one folder may have.
+MOST_HEADERS = 1000
+
+
+def header_lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``(path, header)``: the first line of every file below a folder, found in one pass."""
+    lines = _lines(spark, root, pattern).where("start = 0").withColumn("i", F.monotonically_increasing_id())
+    return lines.groupBy("path").agg(F.min_by("value", "i").alias("header"))
+
+
+def _without_mark(c: str) -> Column:
+    """Text without a leading byte order mark."""
+    return F.expr(f"trim(LEADING '\ufeff' FROM {c})")
+
+
+def _lines(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    text = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root)
+    return text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+
 def read_many(
     spark: SparkSession, root: str, pattern: str, aliases: Mapping[str, Sequence[str]], key: str
 ) -> tuple[DataFrame, int]:
     """Union of all metadata files that have the key column, tagged with the platform of their path.
 
-    Headers differ between files, so each file is planned on its own (the list holds one entry
-    per metadata file, not per row). Returns the union and the number of skipped files.
+    Headers differ between files: one pass finds them, and files of the same header are one case of the expression that
+    parses a line, so the plan grows with the different headers, not with the files. A line that repeats its file's
+    header is dropped; values do not run over lines. Returns the union and the number of skipped files.
     """
-    paths = [r["path"] for r in list_files(spark, root, pattern).select("path").orderBy("path").collect()]
-    frames, skipped = [], 0
-    for p in paths:
-        raw = read_table(spark, p)
-        if find_column(raw, aliases[key], required=False) is None:
-            skipped += 1
+    heads = cut_lineage(header_lines(spark, root, pattern))
+    kinds = heads.groupBy("header").agg(F.count(F.lit(1)).alias("n")).limit(MOST_HEADERS + 1).collect()
+    if len(kinds) > MOST_HEADERS:
+        raise ContractError(f"more than {MOST_HEADERS} different header lines below {root}")
+    parsed, skipped = None, 0
+    for kind in sorted(kinds):
+        line = kind["header"].lstrip("\ufeff")
+        sep = ";" if line.count(";") > line.count(",") else ","
+        names = next(csv.reader([line], delimiter=sep), [])
+        place = {n.strip().lower(): i for i, n in reversed(list(enumerate(names)))}
+        at = {name: next((place[a.strip().lower()] for a in own if a.strip().lower() in place), None) for name, own in aliases.items()}
+        if at[key] is None:
+            skipped += kind["n"]
             continue
-        frames.append(resolve_columns(raw, aliases, [key]).withColumn("platform", platform_from_path(F.lit(p))))
-    if not frames:
+        cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": sep})
+        row = F.struct(*[(F.lit(None).cast("string") if i is None else cells[f"c{i}"]).alias(name) for name, i in at.items()])
+        own = F.col("header") == kind["header"]
+        parsed = F.when(own, row) if parsed is None else parsed.when(own, row)
+    if parsed is None:
         raise ContractError(f"no file below {root} has a {key} column")
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    lines = _lines(spark, root, pattern).join(heads, "path").where(_without_mark("value") != _without_mark("header"))
+    merged = lines.select(parsed.alias("r"), "path").where("r IS NOT NULL").select("r.*", platform_from_path(F.col("path")).alias("platform"))
     return merged.where(canonical(F.col(key)).isNotNull()), skipped
 
 
