@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import given_id, plain, query, table
+from tessera.llm.common import given_id, plain, query, stored, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,17 +147,28 @@ def scan_licenses(
     rows = plain(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     rows = rows.withColumn("lower", F.translate("text", _UPPER, _LOWER))
     rows = rows.select("id", "key", "lower", F.filter(F.split("lower", _BETWEEN), lambda w: w != "").alias("words"))
-    sized = rows.select("id", "key", F.size("words").cast("long").alias("n_words"))
     marked = F.lit(False)
     for word in markers:
         marked = marked | F.contains("lower", F.lit(word))
-    places = rows.where(marked).select("id", "key", F.posexplode(F.arrays_zip(F.col("words").alias("w1"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("w2"))).alias("place", "w"))
-    places = places.select("id", "key", "place", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
-    places = places.where("w2 IS NOT NULL").withColumn("pair", F.xxhash64("w1", "w2"))
-    votes = places.join(F.broadcast(_template_pairs(spark, templates)), "pair").where("w1 = t1 AND w2 = t2")
+    # one pass over the texts: a row's votes, and one entry in front of them that carries its number of words
+    nothing = F.array(F.lit(""))
+    rows = rows.select("id", "key", F.size("words").cast("long").alias("n_words"), F.when(marked, F.col("words")).otherwise(F.array().cast("array<string>")).alias("words"))
+    first = F.concat(nothing, "words")
+    second = F.concat(nothing, F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))))
+    places = rows.select("id", "key", "n_words", F.posexplode(F.arrays_zip(first.alias("w1"), second.alias("w2"))).alias("place", "w"))
+    places = places.select("id", "key", "n_words", (F.col("place") - 1).alias("place"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"))
+    places = places.where("w1 IS NOT NULL AND w2 IS NOT NULL").withColumn("pair", F.xxhash64("w1", "w2"))
+    pairs = _template_pairs(spark, templates)
+    carrier = spark.range(1).select(
+        F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("at"), F.lit("").alias("t1"), F.lit("").alias("t2"), F.lit(0).alias("pairs"), F.xxhash64(F.lit(""), F.lit("")).alias("pair")
+    )
+    votes = places.join(F.broadcast(pairs.unionByName(carrier)), "pair").where("w1 = t1 AND w2 = t2")
+    votes = stored(votes.select("id", "key", "n_words", "label", "base", "pairs", "at", "place"))
+    sized = votes.where("label = ''").select("id", "key", "n_words")
+    votes = votes.where("label != ''")
     group = ["id", "key", "label", "base", "pairs"]
     diagonals = votes.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*group, "diagonal")
-    diagonals = diagonals.agg(F.collect_set("at").alias("ats"), F.min("place").alias("place"))
+    diagonals = stored(diagonals.agg(F.collect_set("at").alias("ats"), F.min("place").alias("place")))
     # a phrase must be whole on its diagonal; a template may be spread over neighbouring ones
     whole = diagonals.where(F.col("base") & (F.size("ats") == F.col("pairs")))
     order = Window.partitionBy(*group).orderBy("diagonal")
