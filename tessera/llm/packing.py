@@ -116,9 +116,9 @@ def token_pieces(
     schema, arrow = arrow_schema("id long, piece int, start long, length long, ids_crc32 long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, "spaceless").encode
-        for rows, _, _ in text_batches(batches, _SLICE):
-            ids, counts = encode(rows.column(rows.schema.get_field_index("text")).to_pylist())
+        encode = encoder(tokenizer, "spaceless").encode_bytes
+        for rows, data, row_start in text_batches(batches, _SLICE):
+            ids, counts = encode(data, row_start)
             out: list[tuple[int, int, int, int, int]] = []
             at = 0
             for key, n in zip(ids_of(rows).tolist(), counts.tolist(), strict=True):

@@ -50,8 +50,8 @@ def write_flat_tokens(
         def row(*values: object) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
-        for rows, _, _ in text_batches(batches, 1 << 20):
-            ids, counts = encode.encode(rows.column(rows.schema.get_field_index("text")).to_pylist())
+        for rows, data, row_start in text_batches(batches, 1 << 20):
+            ids, counts = encode.encode_bytes(data, row_start)
             if (ids == end_id).any():
                 raise ValueError(f"a text yields the id {end_id}, which is to end documents")
             ends = np.cumsum(counts + 1) - 1

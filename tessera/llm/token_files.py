@@ -119,10 +119,10 @@ def write_token_files(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode = encoder(tokenizer, "byte-level").encode
+        encode = encoder(tokenizer, "byte-level").encode_bytes
         wide = encoder(tokenizer, "byte-level").tokenizer.get_vocab_size() > 1 << 16
-        for number, (rows, _, _) in enumerate(text_batches(batches, BLOCK)):
-            ids, counts = encode(rows.column(rows.schema.get_field_index("text")).to_pylist())
+        for number, (rows, data, row_start) in enumerate(text_batches(batches, BLOCK)):
+            ids, counts = encode(data, row_start)
             ends = np.cumsum(counts + 1)
             whole = np.full(int(ends[-1]), end_id, "<u4" if wide else "<u2")
             inner = np.ones(len(whole), bool)

@@ -1,29 +1,31 @@
 """Token ids of whole texts by a public tokenizer, with the ids of repeated words kept per worker.
 
 Byte-pair encoding never merges across a word boundary of the tokenizer's own splitting
-rule, so a text's ids are the ids of its words end to end. Each distinct word is encoded
-once per Python worker; at most ``MEMORY`` words are kept, further ones are encoded each time.
+rule, so a text's ids are the ids of its words end to end. A slice of texts is cut into words
+as numpy passes over its bytes; its distinct words (by hash) are looked up, and only words
+that this Python worker has not met are handed to the tokenizer. At most ``MEMORY`` words are
+kept, further ones are encoded once per slice.
 
 * ``"spaceless"``: white space separates words and leaves no ids (texts are cut at blanks and newlines).
-* ``"byte-level"``: one blank belongs to the word behind it and a newline is a piece of its own
+* ``"byte-level"``: a blank or newline belongs to the word behind it
   (texts with runs of white space, or with white space at an end, are encoded whole).
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain, repeat
+import os
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from tessera.llm.words import ranges
+from tessera.llm.words import LONG, Words, ranges, split_words
 
-#: Words whose ids a worker keeps.
-MEMORY = 500_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
+#: Words whose ids a worker keeps, at about 40 bytes each.
+MEMORY = 1_500_000
 
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
 _kept: dict[tuple[str, str], Encoder] = {}
 
 
@@ -34,71 +36,80 @@ def encoder(path: str, kind: str) -> Encoder:
     return _kept[path, kind]
 
 
+def _has_odd_space(data: np.ndarray, row_start: np.ndarray) -> np.ndarray:
+    """Per text: does it have white space other than single blanks and newlines between words?"""
+    space = (data == 32) | (data == 10)
+    odd = ((data >= 9) & (data <= 13) & (data != 10)) | ((data >= 28) & (data <= 31))
+    odd[:-1] |= space[:-1] & space[1:]
+    # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(at):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        x, y, z = padded[at], padded[at + 1], padded[at + 2]
+        wide = (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+        wide |= (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+        odd[at[wide]] = True
+    total = np.concatenate([[0], np.cumsum(odd)])
+    out = total[row_start[1:]] > total[row_start[:-1]]
+    full = np.flatnonzero(np.diff(row_start) > 0)
+    out[full] |= space[row_start[full]] | space[row_start[full + 1] - 1]
+    return out
+
+
 class Encoder:
     def __init__(self, path: str, kind: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level = kind == "byte-level"
-        self.number: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)  # of each kept word's ids; one more gives the end
-        self.used = 0
+        self.hashes = np.empty(0, np.uint64)  # of the kept words, ascending
+        self.start = np.empty(0, np.int64)  # where their ids begin in ``ids``, and how many there are
+        self.length = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
 
-    def _pieces(self, text: str) -> list[str]:
+    def _words(self, data: np.ndarray, row_start: np.ndarray) -> Words:
+        space = (data == 32) | (data == 10)
         if not self.byte_level:
-            return text.replace("\n", " ").split(" ")
-        if _UNEVEN.search(text) or _OTHER_SPACE.search(text):
-            return [text]
-        words = text.replace("\n", " \n").split(" ")
-        return words[:1] + [w if w[:1] == "\n" else " " + w for w in words[1:]]
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _keep(self, words: list[str], encoded: list[list[int]]) -> None:
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
-        have, need = len(self.number), self.used + len(flat)
-        while need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while have + len(words) + 1 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[self.used : need] = flat
-        ends = self.used + np.cumsum([len(e) for e in encoded])
-        self.start[have + 1 : have + 1 + len(words)] = ends
-        self.number.update(zip(words, range(have, have + len(words)), strict=True))
-        self.used = need
+            return split_words(data, row_start, space)
+        begins = space
+        begins[row_start[:-1][np.diff(row_start) > 0]] = True
+        for i in np.flatnonzero(_has_odd_space(data, row_start)):
+            begins[row_start[i] + 1 : row_start[i + 1]] = False
+        start = np.flatnonzero(begins)
+        return Words(data, row_start, start, np.append(start[1:], len(data)), np.searchsorted(start, row_start))
+
+    def encode_bytes(self, data: np.ndarray, row_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end (unsigned 32-bit), and the number of ids of each text; ``data``: the UTF-8 bytes of the texts."""
+        words = self._words(data, row_start)
+        found, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
+        known = self.hashes[place] == found if len(self.hashes) else np.zeros(len(found), bool)
+        begin, length = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        begin[known], length[known] = self.start[place[known]], self.length[place[known]]
+        source, new = self.ids, np.flatnonzero(~known)
+        if len(new):
+            first, last = words.start[at[new]], words.end[at[new]]
+            raw = data.tobytes()
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(first.tolist(), last.tolist(), strict=True)], add_special_tokens=False)]
+            length[new] = [len(e) for e in encoded]
+            begin[new] = len(source) + np.cumsum(length[new]) - length[new]
+            source = np.concatenate([source, np.fromiter(chain.from_iterable(encoded), np.uint32)])
+            self._keep(found[new], begin[new], length[new], source, np.flatnonzero(last - first <= LONG))
+        total = np.concatenate([[0], np.cumsum(length[which])])
+        return source[ranges(begin[which], length[which])], np.diff(total[words.first])
+
+    def _keep(self, hashes: np.ndarray, begin: np.ndarray, length: np.ndarray, source: np.ndarray, short: np.ndarray) -> None:
+        """Takes the short ones of the new words, as far as there is room."""
+        own = short[: max(MEMORY - len(self.hashes), 0)]
+        if not len(own):
+            return
+        ids = source[ranges(begin[own], length[own])]
+        start = len(self.ids) + np.cumsum(length[own]) - length[own]
+        merged = np.concatenate([self.hashes, hashes[own]])
+        order = np.argsort(merged, kind="stable")
+        self.hashes = merged[order]
+        self.start = np.concatenate([self.start, start])[order]
+        self.length = np.concatenate([self.length, length[own]])[order]
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end (unsigned 32-bit), and the number of ids of each text."""
-        pieces = [self._pieces(t) for t in texts]
-        flat = [w for p in pieces for w in p]
-        number = self.number
-        at = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(at < 0)
-        extra_ids, extra_start = np.empty(0, np.uint32), np.zeros(1, np.int64)
-        if len(missing):
-            new = list(dict.fromkeys(flat[i] for i in missing))
-            encoded = self._encode(new)
-            # a whole text, or one more word than there is room for, is not kept
-            room = MEMORY - len(number)
-            keep = [i for i, w in enumerate(new) if len(w) <= 64][: max(room, 0)]
-            kept = set(keep)
-            rest = [i for i in range(len(new)) if i not in kept]
-            self._keep([new[i] for i in keep], [encoded[i] for i in keep])
-            place = {new[i]: -1 - k for k, i in enumerate(rest)}
-            extra_ids = np.fromiter((x for i in rest for x in encoded[i]), np.uint32)
-            extra_start = np.concatenate([[0], np.cumsum([len(encoded[i]) for i in rest])]).astype(np.int64)
-            at[missing] = [place[w] if (w := flat[i]) in place else number[w] for i in missing]
-        stored = at >= 0
-        k = np.where(stored, at, -1 - at)
-        begin = np.where(stored, self.start[np.minimum(k, len(self.start) - 2)], 0)
-        length = np.where(stored, self.start[np.minimum(k, len(self.start) - 2) + 1] - begin, 0)
-        if not stored.all():
-            e = k[~stored]
-            begin[~stored] = self.used + extra_start[e]
-            length[~stored] = extra_start[e + 1] - extra_start[e]
-        source = self.ids if stored.all() else np.concatenate([self.ids[: self.used], extra_ids])
-        ids = source[ranges(begin, length)]
-        per_text = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        total = np.concatenate([[0], np.cumsum(length)])
-        ends = np.cumsum(per_text)
-        return ids, total[ends] - total[ends - per_text]
+        raw = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
