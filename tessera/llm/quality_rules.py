@@ -229,19 +229,21 @@ def quality_rules(
     sample: int = 20_000,
     **learning: float,
 ) -> DataFrame:
-    """``docs`` with the base statistics, base_failed, rule (first rule met, 0 for none) and kept.
+    """Every row of ``docs`` as row (struct of all its columns), with the base statistics, base_failed, rule (first rule met, 0 for none) and kept.
 
     kept is false where base_failed, or where a learned rule says that the document is bad. Labels: 1 good, 0 bad;
     null labels and labels without a document are passed over. Rows are never dropped or merged; a null text has
-    no words and fails the base rule. Only the labelled rows are read for learning, at most ``sample`` of them.
+    no words and fails the base rule. Only the labelled rows are read for learning, at most ``sample`` of them; their
+    ids, so many at most, are broadcast. Columns of ``docs`` may have any name.
     """
     labelled = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IN (0, 1)")
     labelled = labelled.groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = labelled.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_given"))
-    learn = with_base(texts.join(chosen, "_id"), "_given").drop("_given").where("NOT base_failed").withColumn("bad", 1 - F.col("_label"))
+    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_given"))
+    learn = with_base(texts.join(F.broadcast(chosen), "_id"), "_given").drop("_given").where("NOT base_failed").withColumn("bad", 1 - F.col("_label"))
     rules = learn_rules(learn, **learning)
-    scored = with_base(docs, text_col).withColumn("rule", decision(rules))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_given"))
+    scored = with_base(packed, "_given").drop("_given").withColumn("rule", decision(rules))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
@@ -251,4 +253,4 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 @query("op5_quality_rules")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return quality_rules(docs, table(spark, folder, "labels")).select("doc_id", *BASE, "base_failed", "kept", "rule")
+    return quality_rules(docs, table(spark, folder, "labels")).select("row.doc_id", *BASE, "base_failed", "kept", "rule")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 
 from .test_jaccard import all_pairs
 from .test_substring import by_definition
@@ -33,6 +34,19 @@ def test_stages_one_after_another(spark):
     assert set(r["doc_id"] for r in cp.STAGES[-1][1](spark, docs, FOLDER).collect()) == set(after)
 
 
+def test_extra_columns_of_clashing_names(spark):
+    names = ["n_words", "n_removed", "kept", "_kept", "rule", "row", "cut", "id", "component_id", "n_shingles", "item_id", "distance", "_text", "_words", "length", "piece"]
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.dtypes == docs.dtypes
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert all(r[c] == f"{c}{k}" for k, r in rows.items() for c in names)
+        assert set(rows) == {r["doc_id"] for r in stage(spark, plain, FOLDER).collect()}
+    assert cp.STAGES[-1][1](spark, docs, FOLDER).count() > 0
+
+
 def test_run(spark):
     got = cp.run(spark, FOLDER)
     assert got.columns[0] == "doc_id" and got.count() > 0

@@ -60,13 +60,24 @@ def labelled(seed=2, n=600):
 
 def test_rules_find_the_cause(spark):
     docs, labels = labelled()
-    schema = "doc_id long, text string, n_words string, bad int"
-    df = spark.createDataFrame([(k, t) for k, t, *_ in docs], "doc_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_words string, bad int")
     known = spark.createDataFrame(labels[:450] + [(None, 1), (3, None), (99999, 0)], "doc_id long, quality int")
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df, known).collect()}
+    got = {r["row"]["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df, known).collect()}
     held_out = [got[k] == bool(q) for k, q in labels[450:]]
     assert sum(held_out) / len(held_out) > 0.97
-    assert all(got[k] for k, q in labels if q), schema
+    assert all(got[k] for k, q in labels if q)
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    names = ["n_words", "rule", "kept", "base_failed", "_text", "_words", "_windows", "_given", "row", "bad", "n_lines", "_id", "_order", "_label"]
+    docs, labels = labelled(n=120)
+    df = spark.createDataFrame([(k, t, *[f"{c}{k}" for c in names]) for k, t, *_ in docs], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    plain = spark.createDataFrame([(k, t) for k, t, *_ in docs], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["row"]["doc_id"]: r for r in quality_rules.quality_rules(df, known).collect()}
+    want = {r["row"]["doc_id"]: r for r in quality_rules.quality_rules(plain, known).collect()}
+    assert all(got[k]["row"][c] == f"{c}{k}" for k in got for c in names)
+    assert {k: tuple(r)[1:] for k, r in got.items()} == {k: tuple(r)[1:] for k, r in want.items()}
 
 
 def test_rules_read_as_conditions(spark):
@@ -82,7 +93,7 @@ def test_rules_read_as_conditions(spark):
 def test_no_bad_label_leaves_the_base_rule(spark, labels):
     df = spark.createDataFrame([(1, "w " * 5, None), (2, " ".join(map(str, range(30))), None), (2, " ".join(map(str, range(30))), None), (None, None, None)], "doc_id long, text string, kind string")
     got = quality_rules.quality_rules(df, spark.createDataFrame(labels, "doc_id long, quality int"))
-    assert sorted((r["doc_id"] or -1, r["kept"], r["rule"]) for r in got.collect()) == [(-1, False, 0), (1, False, 0), (2, True, 0), (2, True, 0)]
+    assert sorted((r["row"]["doc_id"] or -1, r["kept"], r["rule"]) for r in got.collect()) == [(-1, False, 0), (1, False, 0), (2, True, 0), (2, True, 0)]
 
 
 def test_empty_table(spark):
