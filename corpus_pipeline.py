@@ -21,7 +21,7 @@ from tessera.llm.substring import dedup_substrings
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels).where("kept").select(*docs.columns)
+    return quality_rules(docs, labels).where("kept").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of windows that occur earlier; an untouched text stays as it is, an emptied one goes."""
-    cut = dedup_substrings(docs).where("n_removed > 0").select("doc_id", "n_words", "n_removed", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
-    joined = docs.join(cut, "doc_id", "left").where("n_removed IS NULL OR n_removed < n_words")
-    text = F.coalesce("_kept", "text")
-    columns = {"text": text.alias("text"), "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept")).cast("long").alias("n_chars")}
-    return joined.select(*[columns.get(c, F.col(c)) for c in docs.columns])
+    cut = dedup_substrings(docs).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.struct("n_words", "n_removed", "kept").alias("cut"))
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(cut, F.col("row.doc_id") == F.col("id"), "left").where("cut IS NULL OR cut.n_removed < cut.n_words")
+    own = {"text": F.col("cut.kept"), "n_chars": F.char_length("cut.kept").cast("long")}
+    given = lambda c: F.col("row").getField(c)
+    return joined.select(*[(F.when(F.col("cut").isNotNull(), own[c]).otherwise(given(c)) if c in own else given(c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
