@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,20 +71,11 @@ class View:
         return self.intercept + np.bincount(np.repeat(np.arange(len(counts)), counts), flat, len(counts))
 
 
-def _places(spark: SparkSession, bits: int) -> np.ndarray:
-    """Where the hashing transformer puts each feature number."""
-    rows = HashingTF(inputCol="w", outputCol="v", numFeatures=1 << bits).transform(spark.range(1 << bits).select("id", F.array(F.col("id").cast("string")).alias("w")))
-    out = np.zeros(1 << bits, np.int64)
-    for r in rows.select("id", "v").collect():
-        out[r["id"]] = r["v"].indices[0]
-    return out
-
-
-def _fit(rows: DataFrame, view: str, bits: int, places: np.ndarray) -> View:
-    hashing = HashingTF(inputCol="w", outputCol="x", numFeatures=1 << bits, binary=True)
-    train = hashing.transform(rows.select(F.col(view).cast("array<string>").alias("w"), "good")).select("x", "good")
+def _fit(rows: DataFrame, view: str, bits: int) -> View:
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(1 << bits)], inputCol="w", outputCol="x")  # feature i at place i
+    train = vectors.setBinary(True).transform(rows.select(F.col(view).cast("array<string>").alias("w"), "good")).select("x", "good")
     model = LogisticRegression(featuresCol="x", labelCol="good", regParam=0.003, maxIter=40).fit(train)
-    return View(model.coefficients.toArray()[places], float(model.intercept))
+    return View(model.coefficients.toArray(), float(model.intercept))
 
 
 def _confident(unlabelled: DataFrame, models: dict[str, View], confident: float, share: float) -> DataFrame | None:
@@ -149,15 +140,14 @@ def _confident(unlabelled: DataFrame, models: dict[str, View], confident: float,
 def cotrain(labelled: DataFrame, unlabelled: DataFrame, text_bits: int, rounds: int = 2, confident: float = 0.95, share: float = 0.02) -> dict[str, View]:
     """Both views after ``rounds`` of exchange. ``labelled``: text, page, good; ``unlabelled``: id, text, page."""
     bits = dict(zip(VIEWS, (text_bits, PAGE_BITS), strict=True))
-    places = {v: _places(labelled.sparkSession, bits[v]) for v in VIEWS}
-    models = {v: _fit(labelled, v, bits[v], places[v]) for v in VIEWS}
+    models = {v: _fit(labelled, v, bits[v]) for v in VIEWS}
     for _ in range(rounds):
         handed = _confident(unlabelled, models, confident, share)
         if handed is None:
             break
         for view, other in (VIEWS, VIEWS[::-1]):
             own = handed.where(F.col("view") == view).select(*VIEWS, "good")
-            models[other] = _fit(labelled.select(*VIEWS, "good").union(own), other, bits[other], places[other])
+            models[other] = _fit(labelled.select(*VIEWS, "good").union(own), other, bits[other])
     return models
 
 

@@ -71,7 +71,7 @@ def test_exchange_helps_on_documents_without_labels(spark):
         got = cotraining.classify_quality(df, known, ["source"], rounds=rounds, text_bits=12, confident=0.7, share=0.3)
         got = {r["doc_id"]: r["p_text"] >= 0.5 for r in got.collect()}
         right[rounds] = sum(got[k] == bool(q) for k, q, _ in labels[60:]) / len(labels[60:])
-    assert right[2] > right[0] + 0.05 and right[2] > 0.9, right
+    assert 1 - right[2] < 0.7 * (1 - right[0]) and right[2] > 0.9, right  # a third of the wrong cases goes
 
 
 def test_every_unlabelled_row_is_offered(spark):
@@ -80,7 +80,7 @@ def test_every_unlabelled_row_is_offered(spark):
     rows = cotraining.featured(spark.createDataFrame(docs, SCHEMA), ["source"], 10, "doc_id", "text").checkpoint()
     labelled = rows.join(spark.createDataFrame([(k, q) for k, q, _ in labels[:300]], "id long, good int"), "id")
     bits = {"text": 10, "page": cotraining.PAGE_BITS}
-    models = {v: cotraining._fit(labelled, v, b, cotraining._places(spark, b)) for v, b in bits.items()}
+    models = {v: cotraining._fit(labelled, v, b) for v, b in bits.items()}
     for share in (0.02, 0.1):
         got = cotraining._confident(rows, models, 0.6, share).groupBy("view", "good").count().collect()
         for r in got:
