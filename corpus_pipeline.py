@@ -34,11 +34,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of windows that occur earlier; an untouched text stays as it is, an emptied one goes."""
     cut = dedup_substrings(docs).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.struct("n_words", "n_removed", "kept").alias("cut"))
-    rows = docs.select(F.struct("*").alias("row"))
-    joined = rows.join(cut, F.col("row.doc_id") == F.col("id"), "left").where("cut IS NULL OR cut.n_removed < cut.n_words")
     own = {"text": F.col("cut.kept"), "n_chars": F.char_length("cut.kept").cast("long")}
-    given = lambda c: F.col("row").getField(c)
-    return joined.select(*[(F.when(F.col("cut").isNotNull(), own[c]).otherwise(given(c)) if c in own else given(c)).alias(c) for c in docs.columns])
+    names = {c: f"given_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the operator's
+    rows = docs.toDF(*names.values())
+    joined = rows.join(cut, F.col(names["doc_id"]) == F.col("id"), "left").where("cut IS NULL OR cut.n_removed < cut.n_words")
+    return joined.select(*[(F.when(F.col("cut").isNotNull(), own[c]).otherwise(F.col(n)) if c in own else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
