@@ -208,8 +208,10 @@ def trim_pairs(
 
     The exact greedy path; of equal objectives the least ``pair_id`` goes. Each step depends on the one before, so
     the path is walked in one task, over classes of pairs that agree in all fields: Spark ranks the pairs and
-    aggregates the classes; the task gets a class's fields and ranks, and returns the ranks to remove. Above
-    ``PAIRS_IN_TASK`` pairs every step is a round of jobs over the whole table instead, with the same result.
+    aggregates the classes; the task gets a class's fields and ranks, and returns the ranks to remove. A step bounds
+    the objective over blocks of classes and judges only those that may be best, so its time grows with about the root
+    of the number of classes. Above ``PAIRS_IN_TASK`` pairs every step is a round of jobs over the whole table instead,
+    with the same result.
     """
     pattern = _patterns([*continuous, *categorical])
     current = cut_lineage(ranked(wide, [], "pair_id", out="__rank"))
@@ -221,7 +223,7 @@ def trim_pairs(
         return _trimmed_by_rounds(current, walk).drop("__rank")
     typed = [F.col(c).cast("double").alias(c) for c in _patterns(continuous)] + [or_missing(F.col(c)).alias(c) for c in _patterns(categorical)]
     classes = current.select("__rank", *typed).groupBy(*pattern).agg(F.sort_array(F.collect_list("__rank")).alias("ranks"))  # at most PAIRS_IN_TASK in all
-    removed = classes.repartition(1).mapInPandas(walk.removed, "__rank long")
+    removed = cut_lineage(classes.repartition(1).mapInPandas(walk.removed, "__rank long"))  # walked once, however often it is read
     return current.join(removed, "__rank", "left_anti").drop("__rank")
 
 
@@ -254,66 +256,311 @@ class _Walk:
         smd = np.divide(difference, scale, out=np.where(difference == 0, 0.0, np.inf), where=scale > 0)
         return np.maximum(smd / self.max_smd, difference / self.max_difference)
 
-    def _numeric(self, a: np.ndarray, b: np.ndarray, seen: np.ndarray, left: np.ndarray, less: np.ndarray) -> np.ndarray:
-        """Scaled SMD without ``less`` pairs of a class."""
-        weight, gone = left * seen, less * seen
-        k = weight.sum() - gone
-        mean, var = [], []
-        for v in (a, b):
-            s, ss = (weight * v).sum() - gone * v, (weight * v * v).sum() - gone * v * v
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mean.append(s / k)
-                var.append(np.maximum((ss - s * s / k) / (k - 1), 0.0))
-        pooled, gap = np.sqrt((var[0] + var[1]) / 2), np.abs(mean[0] - mean[1])
-        smd = np.divide(gap, pooled, out=np.where(gap == 0, 0.0, np.inf), where=pooled > 0)
-        return np.where(k >= 2, smd / self.max_smd, np.inf)
-
-    def _levels(self, ln: np.ndarray, lp: np.ndarray, left: np.ndarray, size: int, less: int) -> np.ndarray:
-        """Worst gap of a field's levels without ``less`` pairs of a class."""
-        ca, cb = np.bincount(ln, left, size), np.bincount(lp, left, size)
-        after = left.sum() - less
-        gaps = self._gap(ca / after, cb / after)
-        if not less:
-            return np.full(len(ln), gaps.max())
-        worst, equal = np.argsort(-gaps, kind="stable")[:3], ln == lp
-        others = np.where((worst[:, None] == ln) | (worst[:, None] == lp), 0.0, gaps[worst][:, None]).max(axis=0)
-        own = self._gap((ca[ln] - 1) / after, (cb[ln] - equal) / after), self._gap((ca[lp] - equal) / after, (cb[lp] - 1) / after)
-        return np.maximum(others, np.maximum(*own))
-
     def removed(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = pd.concat(list(batches), ignore_index=True)
         if classes.empty:
             return
-        ranks = [np.asarray(r, np.int64) for r in classes.ranks]
-        left = np.array([len(r) for r in ranks], np.float64)
-        taken = np.zeros(len(ranks), np.int64)
-        numeric, levels = [], []
-        for f in self.continuous:
-            a, b = classes[f"neg_{f}"].to_numpy(float), classes[f"pos_{f}"].to_numpy(float)
-            seen = np.isfinite(a) & np.isfinite(b)
-            numeric.append((np.where(seen, a, 0.0), np.where(seen, b, 0.0), seen.astype(float)))
-        for f in self.categorical:
-            codes, names = pd.factorize(pd.concat([classes[f"neg_{f}"], classes[f"pos_{f}"]]))
-            levels.append((codes[: len(ranks)], codes[len(ranks) :], len(names)))
-        out: list[int] = []
-
-        def objective(less: int) -> np.ndarray:
-            if left.sum() - less < 1:
-                return np.full(len(ranks), np.inf)
-            parts = [self._numeric(*x, left, np.full(len(ranks), float(less))) for x in numeric]
-            parts += [self._levels(ln, lp, left, size, less) for ln, lp, size in levels]
-            return np.maximum.reduce([np.zeros(len(ranks)), *parts])
-
-        while left.sum() > self.minimum and (self.to_minimum or objective(0)[0] > 1.0):
-            values = np.where(left > 0, objective(1), np.nan)
-            tied = np.flatnonzero(values == np.nanmin(values))
-            best = min(tied.tolist(), key=lambda c: ranks[c][taken[c]])
-            out.append(int(ranks[best][taken[best]]))
-            taken[best] += 1
-            left[best] -= 1
+        path, out = _Path(self, classes), []
+        while path.n > self.minimum and (self.to_minimum or path.objective() > 1.0):
+            out.append(path.remove(path.best()))
         yield pd.DataFrame({"__rank": np.array(out, np.int64)})
 
 
+class _Numeric:
+    """A numeric field of the classes: values, running sums over the pairs left, and the box of every block."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, left: np.ndarray):
+        self.seen = (np.isfinite(a) & np.isfinite(b)).astype(float)
+        self.a, self.b = np.where(self.seen > 0, a, 0.0), np.where(self.seen > 0, b, 0.0)
+        total = lambda v: (left * self.seen * v).sum(dtype=np.longdouble)
+        self.sums = [total(v) for v in (1.0, self.a, self.b, self.a * self.a, self.b * self.b)]  # in more digits, since they run over the whole path
+        some = self.seen > 0
+        self.reach = [(np.longdouble(v[some].min()), np.longdouble(v[some].max())) if some.any() else (np.longdouble(0),) * 2 for v in (self.a, self.b, self.a - self.b)]
+        self.unseen = None if some.all() else np.flatnonzero(~some)[:1]
+
+    def remove(self, i: int) -> None:
+        a, b = np.longdouble(self.a[i]), np.longdouble(self.b[i])
+        self.sums = [s - self.seen[i] * v for s, v in zip(self.sums, (1, a, b, a * a, b * b), strict=True)]
+
+    def without(self, at: np.ndarray | None, max_smd: float) -> np.ndarray:
+        """Scaled SMD without one pair of the classes ``at``; of all pairs for None."""
+        n, sa, sb, saa, sbb = (float(s) for s in self.sums)
+        a, b, seen = (np.zeros(1),) * 3 if at is None else (self.a[at], self.b[at], self.seen[at])
+        k, mean, var = n - seen, [], []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for v, s, ss in ((a, sa, saa), (b, sb, sbb)):
+                s, ss = s - v, ss - v * v
+                mean.append(s / k)
+                var.append(np.maximum((ss - s * s / k) / (k - 1), 0.0))
+            pooled, gap = np.sqrt((var[0] + var[1]) / 2), np.abs(mean[0] - mean[1])
+            smd = np.where(pooled > 0, gap / pooled, np.where(gap == 0, 0.0, np.inf))
+        return np.where(k >= 2, smd / max_smd, np.inf)
+
+    def drift(self, then: Sequence[np.longdouble], max_smd: float) -> float:
+        """A lower limit, over all classes, of :meth:`without` now by its value at the sums ``then``; 0 if unknown.
+
+        The gap's quotient is monotone in a - b; the variance has moved by a concave quadratic in a and b.
+        """
+        (n0, sa0, sb0, saa0, sbb0), (n1, sa1, sb1, saa1, sbb1) = then, self.sums
+        k0, k1 = n0 - 1, n1 - 1
+        if k1 < 2:
+            return 0.0
+        gap0, gap1 = [sa0 - sb0 - d for d in self.reach[2]], [sa1 - sb1 - d for d in self.reach[2]]
+        if not (min(gap0) > 0 and min(gap1) > 0 or max(gap0) < 0 and max(gap1) < 0):
+            return 0.0
+        gap = min(g1 / g0 for g0, g1 in zip(gap0, gap1, strict=True)) * k0 / k1
+        moved, least, most = np.longdouble(0), np.longdouble(0), np.longdouble(0)
+        c2 = (1 + 1 / k0) / (k0 - 1) - (1 + 1 / k1) / (k1 - 1)
+        for (lo, hi), s0, ss0, s1, ss1 in ((self.reach[0], sa0, saa0, sa1, saa1), (self.reach[1], sb0, sbb0, sb1, sbb1)):
+            c0 = (ss1 - s1 * s1 / k1) / (k1 - 1) - (ss0 - s0 * s0 / k0) / (k0 - 1)
+            c1 = 2 * s1 / (k1 * (k1 - 1)) - 2 * s0 / (k0 * (k0 - 1))
+            moved += c0 + max(c1 * v + c2 * v * v for v in (lo, hi, min(max(-c1 / (2 * c2), lo), hi) if c2 < 0 else lo))
+            then_var = lambda v, s0=s0, ss0=ss0: (ss0 - v * v - (s0 - v) ** 2 / k0) / (k0 - 1)
+            least, most = least + min(then_var(lo), then_var(hi)), most + then_var(min(max(s0 / n0, lo), hi))
+        grown = 1 + moved / (least if moved > 0 else most) if least > 0 else np.longdouble(0)
+        out = gap / np.sqrt(grown) if grown > 0 else 0.0
+        if self.unseen is not None:
+            before, now = self._plain(then, max_smd), self._plain(self.sums, max_smd)
+            out = min(out, now / before if 0 < before < np.inf else 0.0)
+        return float(out) * (1 - 1e-12)
+
+    def _plain(self, sums: Sequence[np.longdouble], max_smd: float) -> float:
+        """:meth:`without` for a class that has no value, at the given sums."""
+        now, self.sums = self.sums, list(sums)
+        try:
+            return float(self.without(self.unseen, max_smd)[0])
+        finally:
+            self.sums = now
+
+    def boxed(self, blocks: np.ndarray) -> None:
+        self.box = np.zeros((7, len(blocks)))
+        for i in range(len(blocks)):
+            self.fit(i, blocks[i][blocks[i] >= 0])
+
+    def fit(self, i: int, at: np.ndarray) -> None:
+        """The box of block ``i`` around the classes ``at``; its classes are alike in having a value."""
+        if len(at):
+            a, b = self.a[at], self.b[at]
+            d = a - b
+            self.box[:, i] = a.min(), a.max(), b.min(), b.max(), d.min(), d.max(), self.seen[at[0]]
+
+    def bounds(self, max_smd: float, upper: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Limits of :meth:`without` over each block, with room for rounding.
+
+        The gap of the means is linear in a - b. A variance without a value is concave in it: least at an end of the
+        block's range, greatest at the value next to the mean.
+        """
+        n, sa, sb, saa, sbb = (float(s) for s in self.sums)
+        a0, a1, b0, b1, d0, d1, seen = self.box
+        k = np.maximum(n - seen, 2.0)
+        room_gap = 1e-14 * (abs(sa) + abs(sb) + saa**0.5 + sbb**0.5) / k
+        room_var = 1e-13 * (saa + sbb) / (k - 1)
+        var = lambda v, s, ss: (ss - v * v - (s - v) ** 2 / k) / (k - 1)
+        top = (var(np.minimum(np.maximum(sa / (k + 1), a0), a1), sa, saa) + var(np.minimum(np.maximum(sb / (k + 1), b0), b1), sb, sbb)) / 2 + room_var
+        near = np.maximum(np.maximum(sa - sb - d1, d0 - (sa - sb)) / k - room_gap, 0.0)
+        low = np.where(top > 0, near / np.sqrt(np.where(top > 0, top, 1.0)), 0.0) * ((1 - 1e-12) / max_smd)
+        few = n - seen < 2
+        low = np.where(few, np.inf, low)
+        if not upper:
+            return low, None
+        least = (np.minimum(var(a0, sa, saa), var(a1, sa, saa)) + np.minimum(var(b0, sb, sbb), var(b1, sb, sbb))) / 2 - room_var
+        far = np.maximum(np.abs(sa - sb - d0), np.abs(sa - sb - d1)) / k + room_gap
+        high = np.where(least > 0, far / np.sqrt(np.where(least > 0, least, 1.0)), np.inf) * ((1 + 1e-12) / max_smd)
+        return low, np.where(few, np.inf, high)
+
+
+#: Blocks judged together, and the fewest classes a pattern of levels must have on average for blocks of one pattern.
+_AT_ONCE = 16
+_OF_ONE_PATTERN = 512
+
+
+class _Path:
+    """State of the greedy path. A step judges a short list of classes if the best one is sure to stand there. Else it
+    bounds the objective over blocks of classes near each other in the numeric fields, and judges one by one only the
+    classes of blocks, or of patterns of levels, that may hold the best one."""
+
+    def __init__(self, walk: _Walk, classes: pd.DataFrame):
+        self.walk = walk
+        self.ranks = [np.asarray(r, np.int64) for r in classes.ranks]
+        self.left = np.array([len(r) for r in self.ranks])
+        self.head = np.array([r[0] for r in self.ranks])
+        self.n = int(self.left.sum())
+        weight = self.left.astype(float)
+        self.numeric = [_Numeric(classes[f"neg_{f}"].to_numpy(float), classes[f"pos_{f}"].to_numpy(float), weight) for f in walk.continuous]
+        size, codes, self.counts = len(classes), [], []
+        for f in walk.categorical:
+            both, names = pd.factorize(pd.concat([classes[f"neg_{f}"], classes[f"pos_{f}"]]))
+            ln, lp = both[:size], both[size:]
+            codes += [ln, lp]
+            self.counts.append((np.bincount(ln, weight, len(names)), np.bincount(lp, weight, len(names))))
+        patterns, self.pattern = np.unique(np.stack(codes, axis=1), axis=0, return_inverse=True) if codes else (np.zeros((1, 0), int), np.zeros(size, int))
+        self.pattern = self.pattern.ravel()
+        self.levels = [(patterns[:, 2 * i], patterns[:, 2 * i + 1]) for i in range(len(walk.categorical))]
+        self.alive = np.bincount(self.pattern, minlength=len(patterns))
+        self.by_pattern, self.ends = np.argsort(self.pattern, kind="stable"), np.cumsum(self.alive)
+        self.pure = size >= _OF_ONE_PATTERN * len(patterns) or len(patterns) == 1
+        alike = np.stack([x.seen for x in self.numeric] + [self.pattern if self.pure else np.zeros(size)], axis=1)
+        width = max(32, int(size**0.5 / 5))
+        parts = _near(alike, [v for x in self.numeric for v in (x.a, x.b)], width)
+        self.blocks = np.full((len(parts), width), -1)
+        for i, part in enumerate(parts):
+            self.blocks[i, : len(part)] = part
+        self.block = np.empty(size, int)
+        self.block[self.blocks[self.blocks >= 0]] = np.nonzero(self.blocks >= 0)[0]
+        for x in self.numeric:
+            x.boxed(self.blocks)
+        self.of = self.pattern[self.blocks[:, 0]]
+        self.first = np.array([self.head[p].min() for p in parts])
+        self.filled = np.array([len(p) for p in parts])
+        self.short, self.limit, self.then = None, 0.0, []
+        self.lasted, self.wait, self.pause = 0, 0, 1
+
+    def objective(self) -> float:
+        parts = [float(x.without(None, self.walk.max_smd)[0]) for x in self.numeric]
+        return max([0.0, *parts, *[float(self.walk._gap(ca / self.n, cb / self.n).max()) for ca, cb in self.counts]])
+
+    def _worst_levels(self) -> np.ndarray:
+        """Per pattern the worst gap of any level without one of its pairs; inf for a pattern that has none."""
+        out, after, gap = np.zeros(len(self.alive)), self.n - 1, self.walk._gap
+        for (ca, cb), (ln, lp) in zip(self.counts, self.levels, strict=True):
+            gaps = gap(ca / after, cb / after)
+            worst, equal = np.argsort(-gaps, kind="stable")[:3], ln == lp
+            others = np.where((worst[:, None] == ln) | (worst[:, None] == lp), 0.0, gaps[worst][:, None]).max(axis=0)
+            own = np.maximum(gap((ca[ln] - 1) / after, (cb[ln] - equal) / after), gap((ca[lp] - equal) / after, (cb[lp] - 1) / after))
+            out = np.maximum(out, np.maximum(others, own))
+        return np.where(self.alive > 0, out, np.inf)
+
+    def _of_short(self, levels: np.ndarray) -> int | None:
+        """The best class if it is sure to stand in the short list: of the classes with the least numeric objective when
+        the list was made. All others had ``limit`` at least, and have since kept a share of it that :meth:`drift` gives.
+        """
+        max_smd = self.walk.max_smd
+        for fresh in (False, True):
+            if fresh:
+                self.wait -= 1
+                if self.wait > 0:
+                    return None
+                items = np.flatnonzero(self.left > 0)
+                size = 4 * int(len(items) ** 0.5)
+                if not self.numeric or len(items) <= 2 * size:
+                    return None
+                values = np.maximum.reduce([x.without(items, max_smd) for x in self.numeric])
+                place = np.argpartition(values, size)
+                self.short, self.limit, self.then = items[place[:size]], float(values[place[size]]), [x.sums for x in self.numeric]
+                self.lasted = 0
+            if self.short is None:
+                continue
+            items = self.short[self.left[self.short] > 0]
+            if len(items):
+                values = np.maximum.reduce([levels[self.pattern[items]], *[x.without(items, max_smd) for x in self.numeric]])
+                least = values.min()
+                if least < self.limit * min(x.drift(t, max_smd) for x, t in zip(self.numeric, self.then, strict=True)):
+                    self.lasted += 1
+                    tied = items[values == least]
+                    return int(tied[np.argmin(self.head[tied])])
+            self.short = None
+            if fresh or self.lasted < 16:  # a list that does not last is made less often
+                self.wait = self.pause = min(2 * self.pause, 4096)
+            else:
+                self.wait = self.pause = 1
+        return None
+
+    def best(self) -> int:
+        """The class whose pair is best removed; of equal ones that of the least rank."""
+        if self.n < 2:
+            return int(np.argmax(self.left > 0))
+        levels, max_smd = self._worst_levels(), self.walk.max_smd
+        found = self._of_short(levels)
+        if found is not None:
+            return found
+        floor = levels[self.of] if self.pure else np.full(len(self.blocks), levels.min())
+        open_, high = self.filled > 0, np.zeros(len(floor))
+        known = floor
+        for x in self.numeric:
+            low, top = x.bounds(max_smd, self.pure)
+            floor = np.maximum(floor, low)
+            high = np.maximum(high, top) if self.pure else high
+        value, at = np.inf, -1
+
+        def judge(items: np.ndarray) -> None:
+            nonlocal value, at
+            values = levels[self.pattern[items]]
+            for x in self.numeric:
+                values = np.maximum(values, x.without(items, max_smd))
+            least = values.min()
+            if least <= value:
+                tied = items[values == least]
+                i = tied[np.argmin(self.head[tied])]
+                if least < value or at < 0 or self.head[i] < self.head[at]:
+                    value, at = least, int(i)
+
+        if self.pure:  # blocks whose levels decide have one value: their least rank is enough
+            whole = np.flatnonzero(open_ & (high <= known))
+            if len(whole):
+                open_[whole] = False
+                tied = whole[known[whole] == known[whole].min()]
+                row = self.blocks[tied[np.argmin(self.first[tied])]]
+                judge(row[row >= 0])
+        while True:
+            todo = np.flatnonzero(open_ & (floor <= value))
+            if not len(todo):
+                return at
+            if at >= 0 and not self.pure:
+                few = np.flatnonzero(levels <= value)
+                if self.alive[few].sum() < self.filled[todo].sum():
+                    items = np.concatenate([self.by_pattern[self.ends[p - 1] if p else 0 : self.ends[p]] for p in few])
+                    judge(items[self.left[items] > 0])
+                    return at
+            if len(todo) > 2 * _AT_ONCE:
+                todo = todo[np.argpartition(floor[todo], _AT_ONCE)[:_AT_ONCE]]
+            open_[todo] = False
+            items = self.blocks[todo].ravel()
+            judge(items[items >= 0])
+
+    def remove(self, i: int) -> int:
+        """Takes the least rank of class ``i``."""
+        rank, b, p = int(self.head[i]), self.block[i], self.pattern[i]
+        self.n -= 1
+        self.left[i] -= 1
+        for x in self.numeric:
+            x.remove(i)
+        for (ca, cb), (ln, lp) in zip(self.counts, self.levels, strict=True):
+            ca[ln[p]] -= 1
+            cb[lp[p]] -= 1
+        if self.left[i]:
+            self.head[i] = self.ranks[i][-self.left[i]]
+        else:
+            self.alive[p] -= 1
+            self.filled[b] -= 1
+            self.blocks[b][self.blocks[b] == i] = -1
+        at = self.blocks[b][self.blocks[b] >= 0]
+        if len(at):
+            self.first[b] = self.head[at].min()
+            if not self.left[i]:
+                for x in self.numeric:
+                    x.fit(b, at)
+        return rank
+
+
+def _near(alike: np.ndarray, values: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Rows in blocks of at most ``width`` that agree in ``alike``, halved at the median of the widest of ``values``."""
+    _, group = np.unique(alike, axis=0, return_inverse=True)
+    order = np.argsort(group.ravel(), kind="stable")
+    todo = np.split(order, np.cumsum(np.bincount(group.ravel()))[:-1])
+    scale = [max(float(v.std()), 1e-300) for v in values]
+    out = []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= width:
+            out.append(rows)
+            continue
+        if values:
+            v = max(((v[rows] / s) for v, s in zip(values, scale, strict=True)), key=np.ptp)
+            rows = rows[np.argpartition(v, len(rows) // 2)]
+        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+    return out
+
+
 def _long_sides(wide: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per pair member, labelled by side."""
     row = lambda i, s: F.struct(F.lit(i).alias("side"), *[F.col(f"{s}_{f}").alias(f) for f in fields])

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import balance
@@ -81,6 +82,53 @@ def test_rounds_over_the_table_take_the_same_path(spark, monkeypatch):
     assert one == {r["pair_id"] for r in balance.trim_pairs(wide, ["age"], ["a"], 13, to_minimum=True).collect()}
 
 
+def plain_path(a, b, na, nb, minimum):
+    """Ranks removed, every pair judged in every step."""
+    left, out = np.ones(len(a), bool), []
+    while left.sum() > minimum:
+        i = np.flatnonzero(left)
+        k = len(i) - 1
+        mean, var = zip(*[((v[i].sum() - v[i]) / k, ((v[i] ** 2).sum() - v[i] ** 2 - (v[i].sum() - v[i]) ** 2 / k) / (k - 1)) for v in (a, b)])
+        worst = np.abs(mean[0] - mean[1]) / np.sqrt((var[0] + var[1]) / 2) / 0.12
+        for level in range(int(max(na.max(), nb.max())) + 1):
+            pa, pb = ((v[i] == level).sum() - (v[i] == level) for v in (na, nb))
+            pa, pb = pa / k, pb / k
+            scale, gap = np.sqrt((pa * (1 - pa) + pb * (1 - pb)) / 2), np.abs(pa - pb)
+            worst = np.maximum(worst, np.maximum(np.where(scale > 0, gap / np.where(scale > 0, scale, 1), np.where(gap > 0, np.inf, 0)) / 0.12, gap / 0.08))
+        gone = i[np.flatnonzero(worst <= worst.min() + 1e-11)[0]]
+        left[gone] = False
+        out.append(int(gone) + 1)
+    return out
+
+
+@pytest.mark.parametrize(("shift", "levels"), [(5.0, 4), (0.0, 3), (0.3, 12)])
+def test_step_judges_few_classes(monkeypatch, shift, levels):
+    rng = np.random.default_rng(levels)
+    n, share = 3000, rng.dirichlet(np.ones(levels))
+    a, b = rng.normal(shift, 1, n), rng.normal(0, 1, n)
+    na, nb = rng.choice(levels, n, p=share), rng.choice(levels, n, p=share[::-1] if shift < 5 else share)
+    classes = pd.DataFrame({"neg_x": a, "pos_x": b, "neg_c": na.astype(str), "pos_c": nb.astype(str), "ranks": [[k + 1] for k in range(n)]})
+    judged, without = [0], balance._Numeric.without
+
+    def counted(self, at, max_smd):
+        judged[0] += 0 if at is None else len(at)
+        return without(self, at, max_smd)
+
+    monkeypatch.setattr(balance._Numeric, "without", counted)
+    walk = balance._Walk(["x"], ["c"], n - 150, 0.12, 0.08, True)
+    got = next(walk.removed(iter([classes])))["__rank"].tolist()
+    assert got == plain_path(a, b, na, nb, n - 150)
+    assert judged[0] / 150 < n / 2
+
+
+def test_path_is_walked_once(spark, tmp_path, monkeypatch):
+    walked = balance._Walk.removed
+    monkeypatch.setattr(balance._Walk, "removed", lambda self, batches: [(tmp_path / f"{random.random()}").touch(), *walked(self, batches)][1:])
+    kept = balance.trim_pairs(spark.createDataFrame(pairs(5), SCHEMA), ["age"], ["a"], 30, to_minimum=True)
+    assert kept.count() == kept.distinct().count() == 30
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_few_pairs_and_empty_table(spark):
     wide = spark.createDataFrame(pairs(3, 5), SCHEMA)
     assert balance.trim_pairs(wide, ["age"], ["a"], 5, to_minimum=True).count() == 5
