@@ -17,9 +17,10 @@ def compare_arms(
 ) -> DataFrame:
     """Paired unit x seed intervals of the enumerated metrics, one row per metric."""
     two = pred.where(F.col(arm).isin(a, b))
+    lists = bootstrap.draw_lists(two, unit, reps, salt)
     parts = {
         m: bootstrap.paired_replicates(
-            bootstrap.replicate_metric(two, [arm], unit, m, label, score, prob, reps, salt, seed), arm, a, b
+            bootstrap.replicate_metric(two, [arm], unit, m, label, score, prob, reps, salt, seed, lists=lists), arm, a, b
         )
         for m in names
     }
@@ -38,7 +39,7 @@ def transport_replicates(
 
     def drawn(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
         rows = rows.select(*keys, unit, F.col(logit).cast("double").alias("__x"), F.col(label).cast("double").alias("__y"))
-        rows, cells = replicates.keyed(replicates.joined_draws(rows, bootstrap.draws(rows, unit, reps, f"{salt}-{side}"), [unit]), keys)
+        rows, cells = replicates.keyed(replicates.joined_draws(rows, bootstrap.draw_lists(rows, unit, reps, f"{salt}-{side}"), [unit]), keys)
         return cut_lineage(rows), cut_lineage(cells)
 
     fitted, cells = drawn(calibration, "cal")
@@ -47,7 +48,7 @@ def transport_replicates(
     usable = fits.where(two_classes).select(*keys, "rep", "intercept", "slope")
     held, cells = drawn(evaluation, "eval")
     losses = replicates.score_fits(held, cells, usable, keys, reps, metrics.EPS).where(two_classes)
-    area = replicates.auroc(held, cells, keys, "__x", "__y", reps)
+    area = replicates.auroc(held, cells, keys, "__x", "__y", reps, replicates.score_edges(held, "__x"))
     both = same_key_join(losses, area, [*keys, "rep"])
     # a replicate without a usable fit has NaN losses
     both = both.withColumns({"neg_nll": F.nanvl(-F.col("nll") / F.col("n"), F.lit(None).cast("double")), "neg_brier": F.nanvl(-F.col("brier") / F.col("n"), F.lit(None).cast("double"))})

@@ -129,3 +129,52 @@ def test_transport_refits_in_every_replicate(spark):
             for i, metric in enumerate(bootstrap.METRICS):
                 want = sum(t * per[s][i] for s, t in ds[rep].items()) / sum(ds[rep].values())
                 assert got[arm, metric, rep] == pytest.approx(want, abs=1e-7)
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_draws_are_packed_by_ranges_of_ranks(spark, monkeypatch, by):
+    import hashlib
+
+    monkeypatch.setattr(replicates, "_RANKS", 7)
+    monkeypatch.setattr(replicates, "_DRAWS", 300)
+    units = [(g, u) for g in ("a", None) for u in range(90)] if by else [(None, u) for u in range(90)]
+    df = spark.createDataFrame(units, "g string, u long")
+    sha = lambda *parts: hashlib.sha256("|".join(str(p) for p in parts if p is not None).encode()).hexdigest()
+    want = defaultdict(int)
+    for g in {g for g, _ in units}:
+        order = sorted((u for h, u in units if h == g), key=lambda u: sha("s", u))
+        for rep in range(REPS):
+            for slot in range(1, len(order) + 1):
+                want[g, rep, order[int(sha("s", *([g] if by else []), rep, slot)[:12], 16) % len(order)]] += 1
+    got = bootstrap.draw_lists(df, "u", REPS, "s", by)
+    assert {(r["g"] if by else None, rep, r["u"]): t for r in got.collect() for rep, t in zip(r["__reps"], r["__times"])} == want
+    placed = spark.createDataFrame([("a", 1, 1, 2), ("a", 2, 2, 2)], "g string, u long, __r long, __n long")
+    plan = replicates.multinomial_lists(placed, by, "u", REPS, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row for each replicate and slot
+
+
+def test_poisson_draw_takes_one_hash(spark):
+    plan = replicates.with_poisson(spark.range(3), ["id"], REPS, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
+def test_paired_replicates_read_the_arms_once(spark):
+    v = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 0.25), ("a", 1, None), ("b", 1, 1.0), ("a", 2, 3.0)], "arm string, rep int, value double")
+    out = bootstrap.paired_replicates(v, "arm", "a", "b")
+    assert {r["rep"]: r["value"] for r in out.collect()} == {0: 0.75, 1: None}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mean_leaves_out_cells_without_a_drawn_cluster(spark):
+    rows = [("x", 0, 1, 2.0), ("x", 1, 1, 4.0), ("x", 1, 2, None), ("y", 0, 3, None)]
+    df = spark.createDataFrame(rows, "c string, s int, k int, v double")
+    t = drawn(df.select("k"), "k", "m")
+    got = {(r["c"], r["s"], r["rep"]): r["value"] for r in bootstrap.replicate_means(df, ["c", "s"], "k", "v", REPS, "m").collect()}
+    want = {}
+    for rep in range(REPS):
+        for cell in {(c, s) for c, s, _, _ in rows}:
+            own = [(t[rep].get(k, 0), v) for c, s, k, v in rows if (c, s) == cell]
+            if sum(n for n, _ in own):
+                seen = [n * v for n, v in own if n and v is not None]
+                want[*cell, rep] = sum(seen) / sum(n for n, _ in own) if seen else None
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
