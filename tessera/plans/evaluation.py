@@ -34,19 +34,25 @@ def transport_replicates(
 
     Both sets are redrawn and every calibrator is refitted in every replicate; all fits are taken together. AUROC ranks by
     the score before transport, which a positive slope does not reorder. A replicate with one class on either side is NULL.
+    Rows of equal score and label are added up with their draws first; every step then reads those sums.
     """
     keys = [*cell, seed]
 
     def drawn(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-        rows = rows.select(*keys, unit, F.col(logit).cast("double").alias("__x"), F.col(label).cast("double").alias("__y"))
-        rows, cells = replicates.keyed(replicates.joined_draws(rows, bootstrap.draw_lists(rows, unit, reps, f"{salt}-{side}"), [unit]), keys)
-        return cut_lineage(rows), cut_lineage(cells)
+        rows, cells = replicates.keyed(rows, keys)
+        lists = bootstrap.draw_lists(rows, unit, reps, f"{salt}-{side}")
+        rows = replicates.joined_draws(rows.select("__key", unit, "__x", "__y"), lists, [unit])
+        levels = cut_lineage(replicates.levels(rows, reps, replicates.score_edges(sets[side], "__x")))
+        return levels, cut_lineage(cells.join(levels.select("__key").distinct(), "__key", "left_semi"))
 
-    fitted, cells = drawn(calibration, "cal")
+    values = [F.col(logit).cast("double").alias("__x"), F.col(label).cast("double").alias("__y")]
+    sets = {side: cut_lineage(rows.select(*keys, unit, *values)) for side, rows in (("cal", calibration), ("eval", evaluation))}
+
+    fitted, cells = drawn(sets["cal"], "cal")
     fits = calibrate.bounded_fits(replicates.fit_replicates(fitted, cells, keys, reps))
     two_classes = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
     usable = fits.where(two_classes).select(*keys, "rep", "intercept", "slope")
-    held, cells = drawn(evaluation, "eval")
+    held, cells = drawn(sets["eval"], "eval")
     losses = replicates.score_fits(held, cells, usable, keys, reps, metrics.EPS).where(two_classes)
     area = replicates.auroc(held, cells, keys, "__x", "__y", reps, replicates.score_edges(held, "__x"))
     both = same_key_join(losses, area, [*keys, "rep"])
@@ -55,7 +61,7 @@ def transport_replicates(
     both = both.withColumn("auroc", F.when(F.col("neg_nll").isNotNull(), F.col("auroc")))
     every = cells.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     per = same_key_join(every, both, [*keys, "rep"], "left").unpivot([*keys, "rep"], list(bootstrap.METRICS), "metric", "value")
-    seeds = calibration.select(seed).unionByName(evaluation.select(seed))
+    seeds = sets["cal"].select(seed).unionByName(sets["eval"].select(seed))
     return bootstrap.over_seeds(per, seeds, [*cell, "metric"], seed, reps, salt)
 
 

@@ -178,3 +178,32 @@ def test_mean_leaves_out_cells_without_a_drawn_cluster(spark):
                 seen = [n * v for n, v in own if n and v is not None]
                 want[*cell, rep] = sum(seen) / sum(n for n, _ in own) if seen else None
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
+
+
+@pytest.mark.parametrize("held", [8 << 20, 40])
+def test_levels_add_up_rows_of_equal_score(spark, monkeypatch, held):
+    monkeypatch.setattr(replicates, "_HELD", held)
+    data = rows(9, 80, ("a", None))
+    df = frame(spark, data)
+    draws = drawn(df, "u", "l")
+    want = defaultdict(int)
+    for arm, seed, u, _, y, z in data:
+        for rep in range(REPS):
+            if draws[rep].get(u):
+                want[arm, seed, z, y, rep] += draws[rep][u]
+    plain = df.select("arm", "seed", "u", F.col("z").alias("__x"), F.col("y").cast("double").alias("__y"))
+    keyed, cells = replicates.keyed(replicates.joined_draws(plain, bootstrap.draw_lists(df, "u", REPS, "l"), ["u"]), ["arm", "seed"])
+    found = cells.join(replicates.levels(keyed.repartition(5), REPS, replicates.score_edges(keyed, "__x")), "__key").collect()
+    assert len(found) == len({(r["arm"], r["seed"], r["__x"], r["__y"]) for r in found})  # one row a level
+    assert {(r["arm"], r["seed"], r["__x"], r["__y"], rep): t for r in found for rep, t in zip(r["__reps"], r["__times"])} == want
+
+
+def test_transport_steps_read_levels(spark, monkeypatch):
+    read = {}
+    for name in ("fit_replicates", "score_fits"):
+        own = getattr(replicates, name)
+        monkeypatch.setattr(replicates, name, lambda d, *a, own=own, name=name, **k: (read.update({name: d.count()}), own(d, *a, **k))[1])
+    data = [("a", s, u, 0, u % 2, float(u % 3)) for s in (0, 1) for u in range(120)]
+    df = frame(spark, data)
+    got = transport_replicates(df.where("u < 60"), df.where("u >= 60"), ["arm"], "seed", "u", "y", "z", REPS, "x").collect()
+    assert len(got) == 3 * REPS and read == {"fit_replicates": 2 * 6, "score_fits": 2 * 6}
