@@ -207,3 +207,14 @@ def test_transport_steps_read_levels(spark, monkeypatch):
     df = frame(spark, data)
     got = transport_replicates(df.where("u < 60"), df.where("u >= 60"), ["arm"], "seed", "u", "y", "z", REPS, "x").collect()
     assert len(got) == 3 * REPS and read == {"fit_replicates": 2 * 6, "score_fits": 2 * 6}
+
+
+def test_predictions_are_dealt_before_they_become_many_rows(spark, data, monkeypatch):
+    from tessera.bindings import base
+
+    want = base.Tables(spark, data).predictions().orderBy("unit_id", "arm", "seed").collect()
+    monkeypatch.setattr(base, "UNITS_A_TASK", 50, raising=False)
+    got = base.Tables(spark, data).predictions()
+    held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 6 and max(held) < len(want) / 3  # a task's aggregate holds a share of the rows
+    assert got.orderBy("unit_id", "arm", "seed").collect() == want
