@@ -153,6 +153,24 @@ def test_draws_are_packed_by_ranges_of_ranks(spark, monkeypatch, by):
     assert "Generate" not in plan  # no row for each replicate and slot
 
 
+def test_no_task_draws_for_all_units_of_a_matrix(spark, monkeypatch):
+    drawn = []
+    spread = replicates._spread
+
+    def held(units, reps):
+        out = spread(units, reps)
+        drawn.extend(reps * r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        return out
+
+    monkeypatch.setattr(replicates, "_DRAWS", 300)
+    monkeypatch.setattr(replicates, "_spread", held)
+    rows = [(arm, s, u, float(u % 7 + s * (arm == "a"))) for arm in "ab" for s in range(3) for u in range(200)]
+    df = spark.createDataFrame(rows, "arm string, s int, u int, x double").coalesce(1)
+    got = bootstrap.paired_matrix_interval(df, "arm", "a", "b", "s", "u", "x", REPS, "m").collect()
+    assert len(got) == 1 and got[0]["observed"] == pytest.approx(1.0) and got[0]["n_units"] == 200
+    assert sum(drawn) == REPS * (200 + 3) and max(drawn) <= 2 * 300  # units, then seeds
+
+
 def test_poisson_draw_takes_one_hash(spark):
     plan = replicates.with_poisson(spark.range(3), ["id"], REPS, "s")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sha2(") == 1
